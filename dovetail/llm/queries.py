@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dovetail.llm import common, packing, trie_counts, wavelet
+from dovetail.llm import common, ngram_join, packing, trie_counts, wavelet
 
 #: Tokenizer files, a parameter of the operators.
 WORD_BPE = "word_bpe_49k.json"
@@ -34,12 +34,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(common.table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_token_counts,
         op4_token_ids,
         op6_best_fit_packing,
+        op9_ngram_jaccard_join,
     )
 }
 
