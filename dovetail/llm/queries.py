@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dovetail.llm import common, ngram_join, packing, trie_counts, wavelet
+from dovetail.llm import common, decontamination, line_dedup, ngram_join, packing, trie_counts, wavelet
 
 #: Tokenizer files, a parameter of the operators.
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     pieces = packing.cut_pieces(docs, public_tokenizers.path(WORD_BPE), CAPACITY, end_id=0)
     return packing.pack(common.stash(pieces, "pieces"), CAPACITY)
@@ -38,13 +42,19 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(common.table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "kept", "n_removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_token_counts,
         op4_token_ids,
+        op5_decontamination,
         op6_best_fit_packing,
         op9_ngram_jaccard_join,
+        op10_line_dedup,
     )
 }
 
