@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark contexts (by application id) that already have the package.
 _SHIPPED: set[str] = set()
@@ -67,3 +68,16 @@ def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of rejected documents that may be broadcast (16 bytes each).
+MOST_REJECTED = 100_000
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` less the rows with the doc_id and text hash (th) of ``rejected``. Null ids are compared as equal."""
+    keys = stash(rejected.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "rejected")
+    if keys.limit(MOST_REJECTED + 1).count() <= MOST_REJECTED:
+        keys = F.broadcast(keys)
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th"))
+    return docs.join(keys, same, "left_anti")

@@ -59,9 +59,11 @@ def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     ids, texts, size = [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        first = batch.column(0)
+        keys = zip(*(c.to_pylist() for c in first.flatten())) if pa.types.is_struct(first.type) else first.to_pylist()
+        for key, text in zip(keys, batch.column(1)):
             text = text.as_py()
-            ids.append(doc)
+            ids.append(key)
             texts.append(text)
             size += len(text or "")
             if size >= SLICE_BYTES:
@@ -72,7 +74,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the set) of every row."""
+    """doc_id, th (hash of the text), n_shingles, cls (digest of the set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dovetail.llm.shingles import hash_shingles, set_digest
@@ -80,9 +82,10 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         for ids, texts in _slices(batches):
             hashes, at = hash_shingles(texts, width)
             digests = [set_digest(hashes[a:b]) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(digests, pa.int64())], names=["doc_id", "n_shingles", "cls"])
+            doc_ids, th = zip(*ids)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc_ids, th, np.diff(at), digests)], names=["doc_id", "th", "n_shingles", "cls"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("k"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, cls long")
 
 
 def _blocks(docs: DataFrame, width: int, parts: int) -> DataFrame:
@@ -344,7 +347,7 @@ def _products(first: list, second: list, percent: int) -> pa.RecordBatch:
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, cls, component_id for every row of ``docs`` (doc_id, text).
+    """doc_id, th (hash of the text), n_shingles, root (of the component), component_id for every row of ``docs`` (doc_id, text).
 
     Two rows link when 100 * intersection >= percent * union of their sets of ``width``-word shingles.
     """
@@ -373,5 +376,5 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     top = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(top, "root").select("cls", "component_id")
-    return rows.join(of_class, "cls", "left").select("doc_id", "n_shingles", "cls", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = rooted.join(top, "root").select("cls", "root", "component_id")
+    return rows.join(of_class, "cls", "left").select("doc_id", "th", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

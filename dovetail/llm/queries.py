@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dovetail.llm import common, decontamination, line_dedup, ngram_join, packing, trie_counts, wavelet
+from dovetail.llm import chat, common, cross_polytope, decontamination, language_id, line_dedup, ngram_join, packing, trie_counts, url_filter, wavelet
 
 #: Tokenizer files, a parameter of the operators.
 WORD_BPE = "word_bpe_49k.json"
@@ -15,10 +16,25 @@ PIECES = "piece_bpe_32k.model"
 CAPACITY = 2048
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return language_id.identify(language_id.document_evidence(docs), *language_id.train(docs)).drop("th")
+
+
+def llm_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over pages, with markup, suffix and host evidence; trained on documents."""
+    trained = language_id.train(common.table(spark, sf_dir, "documents"))
+    return language_id.identify(language_id.page_evidence(common.table(spark, sf_dir, "pages")), *trained).drop("th")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "wavelet")
     wavelet.write_shards(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE), end_id=2)
@@ -38,8 +54,19 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
+    records = chat.records_of_turns(common.table(spark, sf_dir, "conversations")).unionByName(extra)
+    return chat.read_back(chat.format_records(records))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(common.table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similarity_classes(common.table(spark, sf_dir, "documents"), width=5, percent=80)
+    return ngram_join.similarity_classes(common.table(spark, sf_dir, "documents"), width=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +76,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op2_token_counts,
+        op3_cross_polytope,
         op4_token_ids,
         op5_decontamination,
         op6_best_fit_packing,
+        op7_chat_formatting,
+        op8_url_filter,
         op9_ngram_jaccard_join,
         op10_line_dedup,
+        llm_page_languages,
     )
 }
 
