@@ -57,7 +57,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """How many postings each of ``terms`` (term) has in ``docs``; terms without any are left out."""
     held, _ = _few(terms, MOST_TERMS)
-    postings = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(lower_ascii(F.col("word")).alias("term"))
+    # outer, so that no filter on the array's size splits every text twice
+    postings = docs.select(F.explode_outer(raw_words(F.col("text"))).alias("word")).select(lower_ascii(F.col("word")).alias("term"))
     return postings.join(held, "term").groupBy("term").agg(F.count("*").alias("postings"))
 
 
@@ -78,12 +79,14 @@ def exact_matches(docs: DataFrame, found: DataFrame) -> DataFrame:
     seeds, few = _few(common.stash(_seeds(found, counts), "seeds"), MOST_WINDOWS)
     start = F.col("p") - F.col("o")
     if few:
-        postings = _keyed(docs).select("doc_id", "th", "words", F.posexplode("words").alias("p", "word")).withColumn("at", lower_ascii(F.col("word")))
+        # no lambdas from the scan to the join: all of it is one generated loop, and a posting that meets no seed is never a row,
+        # though each carries its document's words
+        postings = _keyed(docs).select("doc_id", "th", "words", F.posexplode_outer("words").alias("p", "word")).withColumn("at", lower_ascii(F.col("word")))
+        lists = seeds.select("item_id", "term", "o", "term2", "o2", F.size("w").alias("len"), F.array_join("w", " ").alias("phrase"))
         second = lower_ascii(F.get("words", start + F.col("o2")))
-        here = F.transform(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("w")), lower_ascii)
-        meets = (F.col("at") == F.col("term")) & (start >= 0) & (second == F.col("term2")) & (here == F.col("w"))
-        hits = postings.join(seeds, meets)
-        return hits.select("doc_id", "th", start.alias("start"), "item_id", F.size("w").alias("len"))
+        here = lower_ascii(F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")), " "))
+        meets = (F.col("at") == F.col("term")) & (start >= 0) & (second == F.col("term2")) & (here == F.col("phrase"))
+        return postings.join(F.broadcast(lists), meets).select("doc_id", "th", start.alias("start"), "item_id", "len")
     postings = _keyed(docs).select("doc_id", "th", F.posexplode("words").alias("p", "word")).select("doc_id", "th", "p", lower_ascii(F.col("word")).alias("term"))
     first = postings.join(seeds, "term").where(start >= 0).select("doc_id", "th", start.alias("start"), "item_id", "w", "term2", "o2")
     again = postings.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("p").alias("p2"), F.col("term").alias("term2"))
