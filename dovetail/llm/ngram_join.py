@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from dovetail.llm import common, components
 
 #: Bytes of text that are hashed together; postings in a part of the hash space, on average; classes and bytes in a block.
-SLICE_BYTES, PART_ROWS, BLOCK_CLASSES, BLOCK_BYTES = 8_000_000, 2_000_000, 256, 256_000
+SLICE_BYTES, PART_ROWS, BLOCK_CLASSES, BLOCK_BYTES = 1_500_000, 2_000_000, 256, 256_000
 _I = np.int64
 
 
@@ -147,26 +147,29 @@ def _shared(blocks: DataFrame, parts: int, homes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (part,), rows in _groups(batches, 1):
-            tops, classes, sizes = [], [], []
-            for high, low, idx, cls, n in rows:
-                t = np.frombuffer(high, "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(low, "<u2")
-                c, m = np.frombuffer(cls, "<i8"), np.frombuffer(n, "<u4")
-                i = np.frombuffer(idx, "<u2" if len(idx) == 2 * len(t) else "<u4")
-                tops.append(t)
-                classes.append(c[i])
-                sizes.append(m[i])
-            rows.clear()
-            t, c, n = np.concatenate(tops), np.concatenate(classes), np.concatenate(sizes)
+            t = np.concatenate([np.frombuffer(high, "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(low, "<u2") for high, low, *_ in rows])
             order = np.argsort(t, kind="stable")
             st = t[order]
             twin = np.zeros(len(st), bool)  # shingles that stand more than once; the others go at once
             twin[1:] = st[1:] == st[:-1]
             twin[:-1] |= twin[1:]
-            order = order[twin]
-            order = order[np.lexsort((c[order], t[order]))]
-            t, c, n = t[order], c[order], n[order]
+            keep = np.zeros(len(st), bool)
+            keep[order[twin]] = True
+            del order, st, twin
+            kept, at = [], 0
+            for high, _, idx, cls, n in rows:
+                size = len(high) // 4
+                here = np.flatnonzero(keep[at : at + size])
+                i = np.frombuffer(idx, "<u2" if len(idx) == 2 * size else "<u4")[here]
+                kept.append((t[at : at + size][here], np.frombuffer(cls, "<i8")[i], np.frombuffer(n, "<u4")[i]))
+                at += size
+            rows.clear()
+            t, c, n = (np.concatenate(x) for x in zip(*kept))
+            del kept, keep
             if not len(t):
                 continue
+            order = np.lexsort((c, t))
+            t, c, n = t[order], c[order], n[order]
             new = np.ones(len(t), bool)  # copies of a class count once
             new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
             t, c, n = t[new], c[new], n[new]
