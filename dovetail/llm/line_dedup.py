@@ -1,10 +1,13 @@
 """Substring dedup by hashing units of lines.
 
 A unit is a line or, where a line has several sentences, a sentence of it: passages that were set into the middle of
-a line fall into step at the next sentence end. Units are normalised (white space, letter case), hashed to 128 bits,
-and the digests grouped globally for the earliest document, by ascending ``doc_id``. A unit of fewer than
-``SHORT_WORDS`` words says little, so it is hashed together with the unit after it. A unit goes if an earlier document
-has it, or an earlier place in its own document; but only in runs of ``min_words`` words or more that go together.
+a line fall into step at the next sentence end. Sentences of more than ``LONG_WORDS`` words are cut after words that
+their own hash chooses, so passages without sentence ends fall into step too. Units are normalised (white space, letter
+case). What is hashed (128 bits) is a unit together with those after it, until there are ``WINDOW_WORDS`` words, so that
+no chance repeat of a few words counts; what is too near a text's end for that is only covered by units before it.
+The digests are grouped globally for the earliest document, by ascending ``doc_id``. The units of a window go if an
+earlier document has the window, or the document itself further up without overlap; but only in runs of ``min_words``
+words or more that go together. So each unit that goes has an equal that stays.
 
 Digests that more than a thousandth of all units have are at most a thousand, whatever the corpus; they are found by
 their counts, and the join spreads them over salts.
@@ -17,6 +20,7 @@ and all others kept; an empty table stays empty.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,28 +32,50 @@ from pyspark.sql import types as T
 
 from dovetail.llm import common
 
-SHORT_WORDS = 5
+LONG_WORDS, WINDOW_WORDS, CUT_EVERY = 25, 8, 6
 SALTS = 64
-_UNIT = re.compile(r"[^\n]*?(?:[.!?]+[ \t]+|\n|$)")
+_SENTENCE = re.compile(r"(?<=\n)|(?<=[.!?][ \t])(?=[^ \t\n])")
+_WORD = re.compile(r"\S+\s*")
 _FIRST = np.iinfo(np.int64).min
 
 
 def units(text: str) -> list[str]:
     """The units of a text; joined, they are the text."""
-    return [u for u in _UNIT.findall(text) if u]
+    out = []
+    for part in _SENTENCE.split(text):
+        if not part:
+            continue
+        if len(part) <= LONG_WORDS * 2 or len(part.split()) <= LONG_WORDS:
+            out.append(part)
+            continue
+        begun = 0
+        for m in _WORD.finditer(part):
+            if zlib.crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) % CUT_EVERY == 0:
+                out.append(part[begun : m.end()])
+                begun = m.end()
+        if begun < len(part):
+            out.append(part[begun:])
+    return out
 
 
-def digests(parts: list[str]) -> tuple[list[int], list[int]]:
-    """Words and 128-bit digest of each unit."""
+def digests(parts: list[str]) -> tuple[list[int], list[int | None], list[int]]:
+    """Words of each unit, the 128-bit digest of the window that begins there (None: too few words follow), and its last unit."""
     plain = [u.lower().split() for u in parts]
     joined = [" ".join(w) for w in plain]
     counts = [len(w) for w in plain]
-    keys = []
-    for i, (n, unit) in enumerate(zip(counts, joined)):
-        if n < SHORT_WORDS:
-            unit = f"{unit}\x00{joined[i + 1] if i + 1 < len(joined) else ''}"
-        keys.append(xxhash.xxh3_128_intdigest(unit.encode("utf-8", "surrogatepass")))
-    return counts, keys
+    keys: list[int | None] = [None] * len(parts)
+    ends = [0] * len(parts)
+    last, held = -1, 0
+    for i, n in enumerate(counts):
+        while held < WINDOW_WORDS and last + 1 < len(counts):
+            last += 1
+            held += counts[last]
+        ends[i] = last
+        if n and held >= WINDOW_WORDS:
+            window = joined[i] if last == i else " ".join([u for u in joined[i : last + 1] if u])
+            keys[i] = xxhash.xxh3_128_intdigest(window.encode("utf-8", "surrogatepass"))
+        held -= n
+    return counts, keys, ends
 
 
 def removable(counts: list[int], going: list[bool], min_words: int) -> list[bool]:
@@ -65,16 +91,24 @@ def removable(counts: list[int], going: list[bool], min_words: int) -> list[bool
     return out
 
 
+def going(keys: list[int | None], ends: list[int], elsewhere: set[int]) -> list[bool]:
+    """Which units are in a window whose digest is in ``elsewhere``, or that repeats one further up without overlap."""
+    seen: dict[int, int] = {}
+    out = [False] * len(keys)
+    for i, key in enumerate(keys):
+        if key is None:
+            continue
+        if key in elsewhere or i > seen.setdefault(key, ends[i]):
+            for j in range(i, ends[i] + 1):
+                out[j] = True
+    return out
+
+
 def cut(text: str, elsewhere: set[int], min_words: int) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the units at ``elsewhere`` and without repeats in itself; and the (start, end) of what stays, in the original."""
+    """The text without the windows at ``elsewhere`` and without repeats in itself; and the (start, end) of what stays, in the original."""
     parts = units(text)
-    counts, keys = digests(parts)
-    seen: set[int] = set()
-    going = []
-    for i, (n, key) in enumerate(zip(counts, keys)):
-        going.append(i in elsewhere or n > 0 and key in seen)
-        seen.add(key)
-    gone = removable(counts, going, min_words)
+    counts, keys, ends = digests(parts)
+    gone = removable(counts, going(keys, ends, {keys[i] for i in elsewhere}), min_words)
     kept, spans, at = [], [], 0
     for part, out in zip(parts, gone):
         if not out:
@@ -88,7 +122,7 @@ def cut(text: str, elsewhere: set[int], min_words: int) -> tuple[str, list[tuple
 
 
 def _unit_rows(docs: DataFrame) -> DataFrame:
-    """owner (doc_id, the null id first), idx, k1, k2 of every unit with words; repeats within a document once."""
+    """owner (doc_id, the null id first), idx, k1, k2 of every window; repeats within a document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dovetail.llm.line_dedup import digests, units
@@ -102,11 +136,11 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(at, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1])], names=["owner", "idx", "k1", "k2"])
 
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts, found = digests(units(text.as_py() or ""))
+                _, found, _ = digests(units(text.as_py() or ""))
                 own = _FIRST if doc is None else doc
                 seen = set()
-                for i, (n, key) in enumerate(zip(counts, found)):
-                    if n and key not in seen:
+                for i, key in enumerate(found):
+                    if key is not None and key not in seen:
                         seen.add(key)
                         owners.append(own)
                         at.append(i)
@@ -120,7 +154,7 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """owner and the numbers of its units that an earlier document has."""
+    """owner and the numbers of its windows that an earlier document has."""
     spark = docs.sparkSession
     rows = _unit_rows(docs)
     keys = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("owner").alias("first"), F.max("owner").alias("last"))
