@@ -2,7 +2,8 @@
 
 A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) takes a unit vector to its nearest signed
 axis: its bucket, in each of ``tables`` tables. A query looks into the ``probes`` buckets whose signed axes are nearest to it,
-and all candidates of a bucket are ranked exactly against all queries that look into it, as a product of blocks. Equal
+and all candidates of a bucket are ranked exactly against all queries that look into it, as a product of blocks. Queries that find fewer than
+``k`` although there are more candidates look into all buckets of a table, which is exact. Equal
 vectors are one class that keeps its ``k + 1`` smallest ids, which is all that a list of ``k`` can need. Buckets are cut
 into blocks of bounded rows, by counted sizes, and so are their queries; no candidate is left out.
 
@@ -106,8 +107,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4, p
     classes = smallest.groupBy("c1", "c2", "dim").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
     index = common.stash(_axes(classes.select("c1", "c2", "dim", "vec", "ids"), tables, 1), "index")
     asking = keyed.where("asks").select("vec_id", "c1", "c2", "dim", "vec")
-    asks = common.stash(_axes(asking.groupBy("c1", "c2", "dim").agg(F.first("vec").alias("vec")), tables, probes), "probes")
+    classes_asking = common.stash(asking.groupBy("c1", "c2", "dim").agg(F.first("vec").alias("vec")), "asking")
+    found = common.stash(_look(index, _axes(classes_asking, tables, probes), k), "found")
+    known = common.stash(classes.groupBy("dim").agg(F.least(F.sum(F.size("ids")), F.lit(k + 1)).alias("most")), "known")
+    short = classes_asking.join(known, "dim").join(found.select("c1", "c2", F.size("ids").alias("n")), ["c1", "c2"], "left").where(F.coalesce("n", F.lit(0)) < F.col("most")).select("c1", "c2", "dim", "vec")
+    short = common.stash(short, "short")
+    if not short.isEmpty():
+        again = _look(index.where("tab = 0"), _axes(short, 1, 1 << 30), k)
+        found = found.join(short, ["c1", "c2"], "left_anti").unionByName(again)
+    pairs = asking.select(F.col("vec_id").alias("query_id"), "c1", "c2").distinct().join(found, ["c1", "c2"])
+    others = F.slice(F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id")), 1, k)
+    ranked = pairs.select("query_id", F.posexplode(others).alias("at", "x"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+
 
+def _look(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """c1, c2, ids, scores: the ``k + 1`` best of all classes in the buckets that each query class of ``probes`` looks into."""
+    asks = common.stash(probes, "probes")
     bucket = ["dim", "tab", "axis"]
     blocks = index.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("subs"))
     chunks = asks.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("chunks"))
@@ -155,8 +171,4 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4, p
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND)
 
-    merged = found.repartition("q1", "q2").sortWithinPartitions("q1", "q2").mapInArrow(merge, "c1 long, c2 long, ids array<long>, scores array<double>")
-    pairs = asking.select(F.col("vec_id").alias("query_id"), "c1", "c2").distinct().join(merged, ["c1", "c2"])
-    others = F.slice(F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id")), 1, k)
-    ranked = pairs.select("query_id", F.posexplode(others).alias("at", "x"))
-    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    return found.repartition("q1", "q2").sortWithinPartitions("q1", "q2").mapInArrow(merge, "c1 long, c2 long, ids array<long>, scores array<double>")

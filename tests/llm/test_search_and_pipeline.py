@@ -40,6 +40,8 @@ def test_search(spark, monkeypatch):
     assert found / total >= 0.9
     assert [i for i, _ in got[0]] == list(range(300, 310))
     assert set(got) == set(range(0, 600, 20))
+    few = cross_polytope.search(spark.createDataFrame(rows[:7], "vec_id long, embedding array<float>"), F.col("vec_id") == 0, k=10, tables=1, probes=1)
+    assert few.count() == 6
     assert cross_polytope.search(df.limit(0), F.lit(True)).count() == 0
 
 
