@@ -98,7 +98,7 @@ def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 _FOUND = pa.schema([("q1", pa.int64()), ("q2", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4, probes: int = 20) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 6, probes: int = 28) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) with ``is_query``, the ``k`` nearest found of all others."""
     common.ship(vectors.sparkSession)
     rows = vectors.where(F.col("vec_id").isNotNull() & _valid(F.col("embedding"))).select("vec_id", F.col("embedding").alias("vec"), is_query.alias("asks"))
