@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dovetail.llm import chat, common, cross_polytope, decontamination, language_id, line_dedup, ngram_join, packing, trie_counts, url_filter, wavelet
+from dovetail.llm import chat, common, cross_polytope, decontamination, language_id, line_dedup, ngram_join, packing, sql, trie_counts, url_filter, wavelet
 
 #: Tokenizer files, a parameter of the operators.
 WORD_BPE = "word_bpe_49k.json"
@@ -58,7 +58,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
     records = chat.records_of_turns(common.table(spark, sf_dir, "conversations")).unionByName(extra)
-    return chat.read_back(chat.format_records(records))
+    return chat.read_back(chat.format_records(records)).drop("fingerprint")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_decontamination": sql.DECONTAMINATION,
+    "op7_chat_formatting": sql.CHAT,
+    "op9_ngram_jaccard_join": sql.JACCARD,
+}
