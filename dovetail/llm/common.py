@@ -20,8 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch where the session has Spark's own setting. Batches of whole texts are what a Python worker and its
+#: task hold besides their own work.
+BATCH_ROWS, _BATCH_KEY, _BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give every executor this subpackage, once a Spark context, so that Python workers can import it."""
+    """Give every executor this subpackage, once a Spark context, so that Python workers can import it; and bound Arrow batches."""
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
