@@ -14,10 +14,11 @@ import re
 
 from tokenizers import Tokenizer
 
+from dovetail.llm import held
+
 #: Fixed value: the splitter pattern of the tokenizer file for which cutting at white space is exact.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _WORD_AND_MARKS = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~][^a-z']*)")
-_WORKER: dict[str, "ChunkEncoder"] = {}
 
 
 def _pack(ids: list[int]) -> bytes:
@@ -50,9 +51,9 @@ class _Memo(dict):
 
 
 class ChunkEncoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes. ``limit``: distinct chunks kept at most (about 300 MB)."""
+    """Texts to ids as little-endian unsigned 32-bit bytes. ``limit``: distinct chunks kept at most (about 200 MB)."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         with open(path, encoding="utf-8") as f:
@@ -80,6 +81,4 @@ class ChunkEncoder:
 
 def worker_encoder(path: str) -> ChunkEncoder:
     """The encoder of this Python worker; it outlives a task."""
-    if path not in _WORKER:
-        _WORKER[path] = ChunkEncoder(path)
-    return _WORKER[path]
+    return held.only(f"encoder {path}", lambda: ChunkEncoder(path))

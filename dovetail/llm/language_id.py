@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dovetail.llm import common
+from dovetail.llm import held as states
 
 BUCKETS = 1 << 13
 SAMPLE_ROWS = 20_000
@@ -85,6 +86,7 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dovetail.llm.language_id import MOST_TRIGRAMS, buckets
 
+        states.only("none")
         scores = held.value
         for batch in batches:
             loglik, letters = [], []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dovetail.llm import common
+from dovetail.llm import common, held
 
 LONG_WORDS, WINDOW_WORDS, CUT_EVERY = 25, 8, 6
 SALTS = 64
@@ -127,7 +127,7 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dovetail.llm.line_dedup import digests, units
 
-        low = (1 << 64) - 1
+        held.only("none")
         for batch in batches:
             owners, at, keys = [], [], []
 
@@ -181,6 +181,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dovetail.llm.line_dedup import cut
 
+        held.only("none")
         for batch in batches:
             texts, kept, removed = [], [], []
             for text, elsewhere in zip(batch.column(place), batch.column(len(old))):

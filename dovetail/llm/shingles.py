@@ -11,6 +11,8 @@ import hashlib
 
 import numpy as np
 
+from dovetail.llm import held
+
 #: Bytes that separate words: space and U+0009 to U+000D. Only A-Z change case.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -19,8 +21,6 @@ _LOWER[0x41:0x5B] += 0x20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = [0xD6E8FEB86659FD93, 0xA5A3564E27F886B5, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -31,13 +31,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, up to n."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers))
-        with np.errstate(over="ignore"):
-            _powers = np.concatenate([[_U(1)], np.full(size - 1, _U(_BASE))]).cumprod(dtype=np.uint64)
-            _inverse = np.concatenate([[_U(1)], np.full(size - 1, _U(pow(_BASE, -1, 1 << 64)))]).cumprod(dtype=np.uint64)
-    return _powers, _inverse
+    known = held.only("powers", dict)
+    if len(known.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            factors = np.full(n, _U(base))
+            factors[0] = 1
+            with np.errstate(over="ignore"):
+                known[name] = factors.cumprod(dtype=np.uint64)
+    return known["up"], known["down"]
 
 
 def hash_shingles(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:

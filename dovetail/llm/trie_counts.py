@@ -20,12 +20,11 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dovetail.llm import common
+from dovetail.llm import common, held
 
 MARK = "▁"
 #: Characters of text whose distinct new pre-tokens share one trie, and pre-tokens kept: what a worker holds at most.
 SLICE_CHARS, KEPT = 2_000_000, 1_000_000
-_WORKER: dict[str, "TrieCounter"] = {}
 
 
 def zipf_scores(pieces: Iterable[str]) -> dict[str, float]:
@@ -104,9 +103,7 @@ class TrieCounter:
 
 
 def worker_counter(path: str) -> TrieCounter:
-    if path not in _WORKER:
-        _WORKER[path] = TrieCounter(vocabulary(path))
-    return _WORKER[path]
+    return held.only(f"counter {path}", lambda: TrieCounter(vocabulary(path)))
 
 
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
