@@ -37,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has."""
-    kept = line_dedup.remove_repeats(docs)
+    """Documents without the lines and passages that an earlier one, or they themselves further up, have."""
+    kept = line_dedup.remove_repeats(docs, whole_lines=True)
     return kept.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 

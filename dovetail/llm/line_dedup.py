@@ -1,4 +1,8 @@
-"""Substring dedup by hashing units of lines.
+"""Substring dedup by hashing whole lines, whole paragraphs, and units of lines.
+
+With ``whole_lines``, each whole normalised line and paragraph is hashed by itself, whatever its length, and every later
+occurrence goes: between documents and in one document. Blank lines are no lines. Windows of units come in addition, for
+passages inside lines; without ``whole_lines`` they are all.
 
 A unit is a line or, where a line has several sentences, a sentence of it: passages that were set into the middle of
 a line fall into step at the next sentence end. Sentences of more than ``LONG_WORDS`` words are cut after words that
@@ -7,7 +11,8 @@ case). What is hashed (128 bits) is a unit together with those after it, until t
 no chance repeat of a few words counts; what is too near a text's end for that is only covered by units before it.
 The digests are grouped globally for the earliest document, by ascending ``doc_id``. The units of a window go if an
 earlier document has the window, or the document itself further up without overlap; but only in runs of ``min_words``
-words or more that go together. So each unit that goes has an equal that stays.
+words or more that go together. So each unit that goes has an equal that stays. Units in writing without spaces (not ASCII, long words)
+count as a word for every two characters.
 
 Digests that more than a thousandth of all units have are at most a thousand, whatever the corpus; they are found by
 their counts, and the join spreads them over salts.
@@ -34,7 +39,10 @@ from dovetail.llm import common, held
 
 LONG_WORDS, WINDOW_WORDS, CUT_EVERY = 25, 8, 6
 SALTS = 64
+#: Units that are not ASCII and have more characters a word than this are text without spaces; ``WORD_CHARS`` count as a word.
+LONG_CHARS, WORD_CHARS = 16, 2
 _SENTENCE = re.compile(r"(?<=\n)|(?<=[.!?][ \t])(?=[^ \t\n])")
+_WIDE = re.compile(_SENTENCE.pattern + r"|(?<=[\u3002\uff01\uff1f])(?=[^ \t\n])")
 _WORD = re.compile(r"\S+\s*")
 _FIRST = np.iinfo(np.int64).min
 
@@ -42,7 +50,8 @@ _FIRST = np.iinfo(np.int64).min
 def units(text: str) -> list[str]:
     """The units of a text; joined, they are the text."""
     out = []
-    for part in _SENTENCE.split(text):
+    wide = not text.isascii() and ("\u3002" in text or "\uff01" in text or "\uff1f" in text)
+    for part in (_WIDE if wide else _SENTENCE).split(text):
         if not part:
             continue
         if len(part) <= LONG_WORDS * 2 or len(part.split()) <= LONG_WORDS:
@@ -58,11 +67,46 @@ def units(text: str) -> list[str]:
     return out
 
 
+def _digest(words: str) -> int:
+    return xxhash.xxh3_128_intdigest(words.encode("utf-8", "surrogatepass"))
+
+
+def whole(parts: list[str]) -> list[tuple[int, int, int]]:
+    """First unit, last unit and digest of every line that is not blank, and of every paragraph of several lines."""
+    return _whole(parts, [" ".join(u.lower().split()) for u in parts])
+
+
+def _whole(parts: list[str], joined: list[str]) -> list[tuple[int, int, int]]:
+    out: list[tuple[int, int, int]] = []
+    lines: list[str] = []  # of the paragraph
+    begun = first = 0
+    final = len(parts) - 1
+    for i, part in enumerate(parts):
+        if i < final and part[-1] != "\n":
+            continue
+        line = joined[i] if first == i else " ".join([u for u in joined[first : i + 1] if u])
+        if line:
+            if not lines:
+                begun = first
+            lines.append(line)
+            out.append((first, i, _digest(line)))
+        if lines and (not line or i == final):
+            if len(lines) > 1:
+                out.append((begun, i if line else first - 1, _digest(" ".join(lines))))
+            lines = []
+        first = i + 1
+    return out
+
+
 def digests(parts: list[str]) -> tuple[list[int], list[int | None], list[int]]:
     """Words of each unit, the 128-bit digest of the window that begins there (None: too few words follow), and its last unit."""
+    return _read(parts)[:3]
+
+
+def _read(parts: list[str]) -> tuple[list[int], list[int | None], list[int], list[str]]:
     plain = [u.lower().split() for u in parts]
     joined = [" ".join(w) for w in plain]
-    counts = [len(w) for w in plain]
+    counts = [len(w) if len(u) <= LONG_CHARS * len(w) or u.isascii() else max(len(w), len(u) // WORD_CHARS) for w, u in zip(plain, joined)]
     keys: list[int | None] = [None] * len(parts)
     ends = [0] * len(parts)
     last, held = -1, 0
@@ -73,9 +117,9 @@ def digests(parts: list[str]) -> tuple[list[int], list[int | None], list[int]]:
         ends[i] = last
         if n and held >= WINDOW_WORDS:
             window = joined[i] if last == i else " ".join([u for u in joined[i : last + 1] if u])
-            keys[i] = xxhash.xxh3_128_intdigest(window.encode("utf-8", "surrogatepass"))
+            keys[i] = _digest(window)
         held -= n
-    return counts, keys, ends
+    return counts, keys, ends, joined
 
 
 def removable(counts: list[int], going: list[bool], min_words: int) -> list[bool]:
@@ -104,11 +148,32 @@ def going(keys: list[int | None], ends: list[int], elsewhere: set[int]) -> list[
     return out
 
 
-def cut(text: str, elsewhere: set[int], min_words: int) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the windows at ``elsewhere`` and without repeats in itself; and the (start, end) of what stays, in the original."""
+def repeated(lines: list[tuple[int, int, int]], elsewhere: set[int], size: int) -> list[bool]:
+    """Which of ``size`` units are in a line or paragraph whose digest is in ``elsewhere``, or that repeats one further up."""
+    seen: dict[int, int] = {}
+    out = [False] * size
+    for first, last, key in sorted(lines):
+        if key in elsewhere or first > seen.setdefault(key, last):
+            out[first : last + 1] = [True] * (last + 1 - first)
+    return out
+
+
+def cut(text: str, elsewhere: set[int], min_words: int, whole_lines: bool = False) -> tuple[str, list[tuple[int, int]]]:
+    """The text without what is at ``elsewhere`` and without repeats in itself; and the (start, end) of what stays, in the original.
+
+    ``elsewhere`` has numbers of windows and, from the number of units on, of the lines and paragraphs of ``whole``.
+    """
     parts = units(text)
-    counts, keys, ends = digests(parts)
-    gone = removable(counts, going(keys, ends, {keys[i] for i in elsewhere}), min_words)
+    counts, keys, ends, joined = _read(parts)
+    lines = _whole(parts, joined) if whole_lines else []
+    every = [*keys, *(key for _, _, key in lines)]
+    taken = {every[i] for i in elsewhere}
+    out = going(keys, ends, taken)
+    if whole_lines:
+        alone = repeated(lines, taken, len(parts))
+        gone = [a or b for a, b in zip(alone, removable(counts, [a or b for a, b in zip(alone, out)], min_words))]
+    else:
+        gone = removable(counts, out, min_words)
     kept, spans, at = [], [], 0
     for part, out in zip(parts, gone):
         if not out:
@@ -121,11 +186,11 @@ def cut(text: str, elsewhere: set[int], min_words: int) -> tuple[str, list[tuple
     return "".join(kept), spans
 
 
-def _unit_rows(docs: DataFrame) -> DataFrame:
-    """owner (doc_id, the null id first), idx, k1, k2 of every window; repeats within a document once."""
+def _unit_rows(docs: DataFrame, whole_lines: bool) -> DataFrame:
+    """owner (doc_id, the null id first), idx, k1, k2 of every window, line and paragraph; repeats within a document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dovetail.llm.line_dedup import digests, units
+        from dovetail.llm.line_dedup import _read, _whole, units
 
         held.only("none")
         for batch in batches:
@@ -136,10 +201,12 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(at, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1])], names=["owner", "idx", "k1", "k2"])
 
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, found, _ = digests(units(text.as_py() or ""))
+                parts = units(text.as_py() or "")
+                _, found, _, joined = _read(parts)
+                lines = [key for _, _, key in _whole(parts, joined)] if whole_lines else []
                 own = _FIRST if doc is None else doc
                 seen = set()
-                for i, key in enumerate(found):
+                for i, key in enumerate(found + lines):
                     if key is not None and key not in seen:
                         seen.add(key)
                         owners.append(own)
@@ -153,10 +220,9 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "owner long, idx int, k1 long, k2 long")
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """owner and the numbers of its windows that an earlier document has."""
-    spark = docs.sparkSession
-    rows = _unit_rows(docs)
+def repeated_units(docs: DataFrame, whole_lines: bool = False) -> DataFrame:
+    """owner and the numbers of its windows, lines and paragraphs that an earlier document has."""
+    rows = common.stash(_unit_rows(docs, whole_lines), "units")
     keys = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("owner").alias("first"), F.max("owner").alias("last"))
     keys = common.stash(keys.where("first <> last").select("k1", "k2", "n", "first"), "unit-keys")
     total = keys.agg(F.sum("n")).first()[0] or 0
@@ -169,12 +235,12 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     return found.groupBy("owner").agg(F.collect_set("idx").alias("elsewhere"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 10, whole_lines: bool = False) -> DataFrame:
     """``docs`` with what stays of ``text``, and ``kept`` (start and end of each kept span in the original), n_removed (characters)."""
     common.ship(docs.sparkSession)
     old = [c for c in docs.columns if c not in ("kept", "n_removed", "owner", "elsewhere")]
     owned = docs.select(*old).withColumn("owner", F.coalesce(F.col("doc_id"), F.lit(_FIRST)))
-    joined = owned.join(repeated_units(docs), "owner", "left").drop("owner")
+    joined = owned.join(repeated_units(docs, whole_lines), "owner", "left").drop("owner")
     place = old.index("text")
     schema = joined.drop("elsewhere").schema.add("kept", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))).add("n_removed", T.LongType())
 
@@ -191,7 +257,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
                     kept.append([])
                     removed.append(0)
                     continue
-                new, spans = cut(text, set(elsewhere.as_py() or ()), min_words)
+                new, spans = cut(text, set(elsewhere.as_py() or ()), min_words, whole_lines)
                 texts.append(new)
                 kept.append([{"start": a, "end": b} for a, b in spans])
                 removed.append(len(text) - len(new))

@@ -70,7 +70,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "kept", "n_removed")
+    return line_dedup.remove_repeats(common.table(spark, sf_dir, "documents"), whole_lines=True).select("doc_id", "text", "kept", "n_removed")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -98,6 +98,40 @@ def test_passages_without_sentence_ends_and_windows():
     assert line_dedup.cut(same, set(), 10)[0] == "same\n" * 8
 
 
+def test_short_lines_and_copied_short_documents_go(spark):
+    header, footer = "Site Menu", "(c) all rights reserved"
+    texts = [f"{header}\nOne story of the sea.\n{footer}", f"Another tale.\n site   MENU\nIts end came soon.\n{footer}\n\n{footer}\nLast.", "Two words", "two  WORDS", f"{header}\nTwo words\nNew.", None, "\n\n", "文字列の長い行。", "はじめ。\n文字列の長い行。\n"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, header, "en", "s", 0), (None, header, "en", "s", 0)]
+    got = line_dedup.remove_repeats(frame(spark, rows), whole_lines=True).collect()
+    want, seen = {}, {header.lower()}  # the null id comes first
+    for d, t, *_ in rows[:-2]:
+        kept = []
+        for line in re.findall(r"[^\n]*\n|[^\n]+", t or ""):
+            key = " ".join(line.lower().split())
+            if not key or key not in seen:
+                kept.append(line)
+            seen.add(key)
+        want[d] = None if t is None else "".join(kept)
+    assert {r.doc_id: r.text for r in got if r.doc_id is not None} == want
+    assert [r.text for r in got if r.doc_id is None] == [header, header]
+    assert want[1] == "Another tale.\nIts end came soon.\n\nLast." and want[3] == "" and want[8] == "はじめ。\n"
+    for r in got:
+        original = next(t for d, t, *_ in rows if d == r.doc_id)
+        assert (r.text or "") == "".join((original or "")[k.start : k.end] for k in r.kept)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a b", "c.", "d e. F g.", "", " "]), max_size=8))
+def test_rewrapped_paragraphs_and_lines(lines):
+    text = "\n".join(lines)
+    parts = line_dedup.units(text)
+    left = line_dedup.cut(text, set(), 10, True)[0]
+    plain = [x.strip() for x in left.split("\n") if x.strip()]
+    assert len(plain) == len(set(plain))
+    assert all(first <= last < len(parts) for first, last, _ in line_dedup.whole(parts))
+    assert line_dedup.whole(line_dedup.units("a b\nc d"))[-1][2] == line_dedup.whole(line_dedup.units("x\n\nA\nb c d\n"))[-1][2]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab .!?\n\t", max_size=60))
 def test_units_are_the_text(text):
