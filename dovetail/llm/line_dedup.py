@@ -5,8 +5,10 @@ occurrence goes: between documents and in one document. Blank lines are no lines
 passages inside lines; without ``whole_lines`` they are all.
 
 A unit is a line or, where a line has several sentences, a sentence of it: passages that were set into the middle of
-a line fall into step at the next sentence end. Sentences of more than ``LONG_WORDS`` words are cut after words that
-their own hash chooses, so passages without sentence ends fall into step too. Units are normalised (white space, letter
+a line fall into step at the next sentence end. Sentences of more than ``LONG_WORDS`` words are cut after words whose
+hash is the least (or one of equal least) of some ``CUT_WINDOW`` words in a row, so passages without sentence ends fall into
+step too: a piece has at most ``CUT_WINDOW`` words, and within ``CUT_WINDOW - 1`` words of its ends a passage is cut alike
+wherever it stands. Units are normalised (white space, letter
 case). What is hashed (128 bits) is a unit together with those after it, until there are ``WINDOW_WORDS`` words, so that
 no chance repeat of a few words counts; what is too near a text's end for that is only covered by units before it.
 The digests are grouped globally for the earliest document, by ascending ``doc_id``. The units of a window go if an
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 
 from dovetail.llm import common, held
 
-LONG_WORDS, WINDOW_WORDS, CUT_EVERY = 25, 8, 6
+LONG_WORDS, WINDOW_WORDS, CUT_WINDOW = 25, 8, 11
 SALTS = 64
 #: Units that are not ASCII and have more characters a word than this are text without spaces; ``WORD_CHARS`` count as a word.
 LONG_CHARS, WORD_CHARS = 16, 2
@@ -47,6 +49,21 @@ _WORD = re.compile(r"\S+\s*")
 _FIRST = np.iinfo(np.int64).min
 
 
+def _cuts(hashes: list[int]) -> list[int]:
+    """The places whose hash is the least of some ``CUT_WINDOW`` hashes in a row."""
+    h = np.array(hashes, np.int64)
+    n = len(h) - CUT_WINDOW + 1
+    if n < 1:
+        return []
+    least = h[:n].copy()
+    for k in range(1, CUT_WINDOW):
+        np.minimum(least, h[k : k + n], out=least)
+    most = np.full(len(h), -1, np.int64)  # of the windows that hold the place, the largest least
+    for k in range(CUT_WINDOW):
+        np.maximum(most[k : k + n], least, out=most[k : k + n])
+    return np.flatnonzero(most == h).tolist()
+
+
 def units(text: str) -> list[str]:
     """The units of a text; joined, they are the text."""
     out = []
@@ -58,10 +75,10 @@ def units(text: str) -> list[str]:
             out.append(part)
             continue
         begun = 0
-        for m in _WORD.finditer(part):
-            if zlib.crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) % CUT_EVERY == 0:
-                out.append(part[begun : m.end()])
-                begun = m.end()
+        found = list(_WORD.finditer(part))
+        for at in _cuts([zlib.crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) for m in found]):
+            out.append(part[begun : found[at].end()])
+            begun = found[at].end()
         if begun < len(part):
             out.append(part[begun:])
     return out

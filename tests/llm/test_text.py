@@ -120,6 +120,17 @@ def test_short_lines_and_copied_short_documents_go(spark):
         assert (r.text or "") == "".join((original or "")[k.start : k.end] for k in r.kept)
 
 
+def test_every_long_passage_meets_itself():
+    rng = random.Random(5)
+    bags = [["zu"], ["mo", "ka"], [f"v{i}" for i in range(9)], [f"w{i}" for i in range(5000)]]
+    for n in range(400):
+        some = lambda k, bag: " ".join(rng.choice(bag) for _ in range(k))
+        passage = some(51, bags[n % 4])
+        one, two = (f"{some(rng.randrange(20, 40), bags[3])} {passage} {some(rng.randrange(20, 40), bags[3])}" for _ in range(2))
+        first, second = ({k for k in line_dedup.digests(line_dedup.units(t))[1] if k is not None} for t in (one, two))
+        assert first & second, passage
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a b", "c.", "d e. F g.", "", " "]), max_size=8))
 def test_rewrapped_paragraphs_and_lines(lines):
