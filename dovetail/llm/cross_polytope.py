@@ -140,15 +140,21 @@ def _look(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
             return _FOUND.empty_table()
         x, q = _matrix(have.column("vec")), _matrix(want.column("vec"))
         lists = have.column("ids").to_pylist()
-        most = min(len(x), k + 8)
+        sizes = np.array([len(i) for i in lists])
+        most = min(len(x), k + 1)
+        # twice the rounding of a product, which is at most components x epsilon x both lengths, each way
+        lengths = np.sqrt((q * q).sum(1))
+        margin = 4 * (x.shape[1] + 2) * np.finfo(np.float64).eps * np.sqrt((x * x).sum(1).max())
         out_ids, out_scores = [], []
         for a in range(0, len(q), 256):
             near = q[a : a + 256] @ x.T
-            best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-            for row, chosen in zip(q[a : a + 256], best):
+            # all that rounding could put at or above the last place that counts, so that ties are told apart by their ids
+            cut = np.partition(near, len(x) - most, axis=1)[:, len(x) - most] - margin * lengths[a : a + 256]
+            for row, about, least in zip(q[a : a + 256], near, cut):
+                chosen = np.flatnonzero(about >= least)
                 exact = (x[chosen] * row).sum(1)  # the same sum in whatever block
                 ids = np.array([i for c in chosen for i in lists[c]])
-                ids, scores = _top(ids, np.repeat(exact, [len(lists[c]) for c in chosen]), k + 1)
+                ids, scores = _top(ids, np.repeat(exact, sizes[chosen]), k + 1)
                 out_ids.append(ids.tolist())
                 out_scores.append(scores.tolist())
         return pa.table([want.column("c1"), want.column("c2"), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))], schema=_FOUND)

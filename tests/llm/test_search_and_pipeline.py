@@ -45,6 +45,21 @@ def test_search(spark, monkeypatch):
     assert cross_polytope.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ties_of_distinct_vectors_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(3)
+    x = np.unique(rng.choice([-0.125, 0.125], (1500, 12)), axis=0)
+    x = np.hstack([np.full((len(x), 1), 4.0), x])  # near each other, so that they share a bucket
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict[int, list] = {}
+    # all axes are probed, so that every vector is a candidate
+    for r in cross_polytope.search(df, F.col("vec_id") % 100 == 0, k=20, tables=1, probes=1 << 30).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, len(x), 100):
+        scores = x @ x[q]
+        assert got[q] == [i for i in np.lexsort((np.arange(len(x)), -scores)).tolist() if i != q][:20]
+
+
 def test_stages(spark, tmp_path):
     import corpus_pipeline as p
 
