@@ -1,9 +1,10 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features. DataFrame functions only on the executors.
 
-Labelled URLs are those of hosts with a word of a seed list (block) and all others (allow). At most about
-``SAMPLE_ROWS`` of them, dealt by hash, reach the driver, where the trees are grown on feature columns; the grown trees
+Labelled URLs are those of hosts with a word of a seed list (block) and all others (allow). About ``SAMPLE_ROWS`` of them
+at most, distinct and dealt by hash, reach the driver, where the trees are grown on feature columns; the grown trees
 become one arithmetic expression, so every URL is judged inside generated code. Suffix statistics are block rates of
-the labelled sample by last label of the host, smoothed by the overall rate; there are no more of them than sample rows.
+all labelled rows by last label of the host, smoothed by the overall rate; up to ``MOST_SUFFIXES`` of them are broadcast, and
+more are joined by shuffle with the frequent ones salted.
 
 Null URLs and those without ``://`` have an empty host and path, no rule, and zero features. Equal rows get equal
 verdicts; other columns are kept, columns of the names made here are replaced; an empty table stays empty.
@@ -15,11 +16,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dovetail.llm import common
+
 #: The rules of the contract, (host, path, verdict).
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: Words of hosts that label a URL as unwanted.
 SEED_WORDS = ["ads", "adult", "bets", "casino", "pills", "spam", "xxx", "viagra", "porn", "gambl"]
 SAMPLE_ROWS = 20_000
+MOST_SUFFIXES, SALTS = 100_000, 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "longest_label", "suffix_rate"]
@@ -119,35 +123,39 @@ def score(model: tuple[float, list]) -> Column:
     return total
 
 
-def fit(features: DataFrame, seed_words: list[str], sample_rows: int = SAMPLE_ROWS) -> tuple[tuple[float, list], dict[str, float], float]:
-    """The model, block rates by suffix and the overall rate, from a bounded sample of labelled URLs."""
+def fit(features: DataFrame, seed_words: list[str], sample_rows: int = SAMPLE_ROWS) -> tuple[tuple[float, list], DataFrame, float, int]:
+    """The model, from a bounded sample; suffix, suffix_rate and n, and the overall rate and number, of all labelled rows."""
     labelled = features.where(F.col("host") != "").withColumn("label", F.col("host").rlike("|".join(seed_words)).cast("double"))
-    n = labelled.count()
-    share = min(1.0, sample_rows / max(n, 1))
-    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = sample.select("suffix", "label", *FEATURES[:-1]).limit(2 * sample_rows).collect()  # twice what is expected is never reached
-    y = np.array([r.label for r in rows])
-    rate = (y.sum() + 1) / (len(y) + 2)
-    counts: dict[str, list[float]] = {}
-    for r in rows:
-        c = counts.setdefault(r.suffix, [0.0, 0.0])
-        c[0] += r.label
-        c[1] += 1
-    rates = {s: float((a + 20 * rate) / (b + 20)) for s, (a, b) in counts.items()}
-    x = np.array([[*(r[f] for f in FEATURES[:-1]), rates[r.suffix]] for r in rows]).reshape(len(rows), len(FEATURES))
-    return grow(x, y), rates, float(rate)
+    total = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("blocked"), F.approx_count_distinct("url").alias("urls")).first()
+    rate = float(((total.blocked or 0.0) + 1) / (total.n + 2))
+    rates = common.stash(labelled.groupBy("suffix").agg(((F.sum("label") + 20 * rate) / (F.count("*") + 20)).alias("suffix_rate"), F.count("*").alias("n")), "suffix-rates")
+    share = min(1.0, sample_rows / max(total.urls, 1))
+    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20))).select("url", "suffix", "label", *FEATURES[:-1]).dropDuplicates(["url"])
+    rows = sorted(with_rates(sample, rates, rate, total.n).collect(), key=lambda r: r.url)  # about sample_rows, as each URL is there once
+    x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES))
+    return grow(x, np.array([r.label for r in rows])), rates, rate, total.n
+
+
+def with_rates(rows: DataFrame, rates: DataFrame, rate: float, total: int) -> DataFrame:
+    """``rows`` (suffix) with suffix_rate; ``rate`` where there is none."""
+    if rates.limit(MOST_SUFFIXES + 1).count() <= MOST_SUFFIXES:
+        joined = rows.join(F.broadcast(rates.drop("n")), "suffix", "left")
+    else:
+        hot = [r.suffix for r in rates.where(F.col("n") > total / 1000.0).select("suffix").collect()]  # a thousand at most
+        is_hot = F.col("suffix").isin(hot) if hot else F.lit(False)
+        salted = rows.withColumn("salt", F.when(is_hot | (F.col("suffix") == ""), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0))
+        spread = rates.drop("n").withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        joined = salted.join(spread, ["suffix", "salt"], "left").drop("salt")
+    return joined.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate)))
 
 
 def judge(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, seed_words: list[str] = SEED_WORDS) -> DataFrame:
     """``urls`` (url) with host, path, rule, verdict, and block_score (the trees' log-odds)."""
-    spark = urls.sparkSession
     made = ("host", "path", "rule", "verdict", "block_score")
     mine = urls.select(*(c for c in urls.columns if c not in made and c not in ("suffix", *FEATURES)))
     host, path = host_and_path(F.col("url"))
     features = with_features(mine.withColumns({"host": host, "path": path}))
-    model, rates, rate = fit(features, seed_words)
-    # no more rows than the sample has
-    table = spark.createDataFrame([(s, r) for s, r in rates.items()] or [("", rate)], "suffix string, suffix_rate double")
-    scored = features.join(F.broadcast(table), "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate))).withColumn("block_score", score(model))
+    model, rates, rate, total = fit(features, seed_words)
+    scored = with_rates(features, rates, rate, total).withColumn("block_score", score(model))
     rule, said = matching_rule(F.col("host"), F.col("path"), rules)
     return scored.withColumns({"rule": rule, "verdict": F.coalesce(said, F.when(F.col("block_score") > 0, "block").otherwise("allow"))}).select(*mine.columns, *made)

@@ -240,6 +240,22 @@ def test_trees_learn_held_out_urls(spark):
     assert right / len(got) > 0.97
 
 
+def test_suffix_rates_are_of_all_rows(spark, monkeypatch):
+    urls = [f"http://{'spam' if i % 2 else 'good'}{i}.s{i % 40}/x" for i in range(400)] + ["http://one.s1/same"] * 200
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    features = url_filter.with_features(df.withColumns({"host": host, "path": path}))
+    for most in (url_filter.MOST_SUFFIXES, 0):  # broadcast, and by shuffle
+        monkeypatch.setattr(url_filter, "MOST_SUFFIXES", most)
+        _, rates, rate, total = url_filter.fit(features, ["spam"], sample_rows=20)
+        assert total == 600 and abs(rate - 201 / 602) < 1e-12
+        got = {r.url: r.suffix_rate for r in url_filter.with_rates(features, rates, rate, total).collect()}
+        for suffix in range(40):
+            mine = [u for u in urls if u.endswith(f".s{suffix}/x") or (suffix == 1 and u.endswith("same"))]
+            want = (sum("spam" in u for u in mine) + 20 * rate) / (len(mine) + 20)
+            assert all(abs(got[u] - want) < 1e-12 for u in mine)
+
+
 def test_languages_held_out(spark):
     rng = random.Random(9)
     bags = {"en": ["the", "and", "thing", "wither", "other"], "de": ["der", "und", "nicht", "schein", "über"], "fr": ["les", "est", "leur", "père", "eau"]}
