@@ -7,7 +7,10 @@ escapes are doubled, so what stands between marks is read back exactly. The loss
 formatted text, in code points, over the assistant's texts.
 
 Null texts and roles are empty. Turns stand in the order of turn, role, text (nulls first), repeated rows as often as they
-stand. Records that no mapping fits give no turns and a null layout. An empty table gives no rows.
+stand. Texts that are lists of parts (some text, or an object with a ``text``) are the parts one after the other. Records that
+no mapping fits give no turns and a null layout: broken or very deep JSON, no messages at all, and any message that is no
+object, has a role that is no text, or a text that is neither text nor parts. Very long texts are handled whole; a conversation is
+one row, so all of it is held at a time. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,6 +67,23 @@ def _mapping_paths(m: dict) -> set[str]:
     return {f"{f}:text" for field, _ in m["fields"] for f in ([field] if isinstance(field, str) else field)}
 
 
+class Unfit(ValueError):
+    """A record has the paths of a mapping, but also other kinds at the same places."""
+
+
+def _text(value) -> str:
+    """A text; null is empty, and a list of parts is their texts one after the other. Half of a surrogate pair is replaced."""
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(value, list):
+        parts = [p.get("text") if isinstance(p, dict) and p.get("type", "text") == "text" and "text" in p else p for p in value]
+        if all(isinstance(p, str) for p in parts):
+            return "".join(map(_text, parts))
+    raise Unfit
+
+
 class Layouts:
     """Mappings by the fingerprint of their paths."""
 
@@ -80,22 +100,41 @@ class Layouts:
         if key not in self.by_print:
             if len(self.by_print) > 10_000:
                 self.by_print.clear()
-            self.by_print[key] = next((m for need, m in self.others if need <= found), None)
+            plain = {re.sub(r"^(\w+\[\]\.\w+)\[\](\.text)?:text$", r"\1:text", p) for p in found}  # of a text in parts
+            self.by_print[key] = next((m for need, m in self.others if need <= found | plain), None)
         return key, self.by_print[key]
 
     def turns(self, record) -> tuple[str, str | None, list[tuple[str, str]]]:
-        """Fingerprint, name of the mapping and canonical turns of a record."""
-        key, m = self.select(record)
+        """Fingerprint, name of the mapping and canonical turns of a record; no name and no turns where none fits all of it."""
+        try:
+            key, m = self.select(record)
+        except RecursionError:
+            return fingerprint({"too deep"}), None, []
         if m is None:
             return key, None, []
+        try:
+            return key, m["name"], self._mapped(record, m)
+        except Unfit:
+            return key, None, []
+
+    @staticmethod
+    def _mapped(record, m: dict) -> list[tuple[str, str]]:
+        if not isinstance(record, dict):
+            raise Unfit
+        out = []
         if "each" in m:
             rename = ROLES if m.get("rename") else {}
-            return key, m["name"], [(rename.get(role := x.get(m["role"]) or "", role), x.get(m["text"]) or "") for x in record[m["each"]]]
-        out = []
+            messages = record.get(m["each"])
+            if not isinstance(messages, list) or not all(isinstance(x, dict) and isinstance(x.get(m["role"]), str | None) for x in messages):
+                raise Unfit
+            for x in messages:
+                role = _text(x.get(m["role"]))
+                out.append((rename.get(role, role), _text(x.get(m["text"]))))
+            return out
         for field, role in m["fields"]:
-            texts = [record.get(f) or "" for f in ([field] if isinstance(field, str) else field)]
+            texts = [_text(record.get(f)) for f in ([field] if isinstance(field, str) else field)]
             out.append((role, "\n\n".join(t for i, t in enumerate(texts) if t or i == 0)))
-        return key, m["name"], out
+        return out
 
 
 def escape(text: str) -> str:
@@ -145,7 +184,6 @@ def records_of_turns(rows: DataFrame) -> DataFrame:
 
 def format_records(records: DataFrame) -> DataFrame:
     """conv_id, fingerprint, layout, formatted, loss (spans) of every row of ``records`` (conv_id, record: JSON)."""
-    common.ship(records.sparkSession)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +195,7 @@ def format_records(records: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 try:
                     record = json.loads(text) if text else {}
-                except ValueError:
+                except (ValueError, RecursionError):
                     record = {}
                 key, name, turns = layouts.turns(record)
                 formatted, spans = render(turns)
@@ -165,12 +203,11 @@ def format_records(records: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), spans_type)))], names=["conv_id", "fingerprint", "layout", "formatted", "loss"])
 
-    return records.select("conv_id", "record").mapInArrow(run, "conv_id long, fingerprint string, layout string, formatted string, loss array<struct<start:long,end:long>>")
+    return common.map_arrow(records.select("conv_id", "record"), run, "conv_id long, fingerprint string, layout string, formatted string, loss array<struct<start:long,end:long>>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Counts and digests of each conversation, from its formatted text and loss mask alone."""
-    common.ship(formatted.sparkSession)
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
     names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -188,4 +225,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(1), batch.column(2)], names=["conv_id", *names, "fingerprint", "layout"])
 
-    return formatted.select("conv_id", "fingerprint", "layout", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, fingerprint string, layout string")
+    return common.map_arrow(formatted.select("conv_id", "fingerprint", "layout", "formatted", "loss"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, fingerprint string, layout string")

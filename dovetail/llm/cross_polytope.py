@@ -84,7 +84,7 @@ def _axes(rows: DataFrame, tables: int, probes: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, table, np.int32)), pa.array(axes.ravel().astype(np.int32))], names=[*names, "tab", "axis"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kinds}, tab int, axis int")
+    return common.map_arrow(rows, run, f"{kinds}, tab int, axis int")
 
 
 def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,4 +177,4 @@ def _look(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND)
 
-    return found.repartition("q1", "q2").sortWithinPartitions("q1", "q2").mapInArrow(merge, "c1 long, c2 long, ids array<long>, scores array<double>")
+    return common.map_arrow(found.repartition("q1", "q2").sortWithinPartitions("q1", "q2"), merge, "c1 long, c2 long, ids array<long>, scores array<double>")

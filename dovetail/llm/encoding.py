@@ -35,9 +35,13 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
 
+#: Longer chunks are not kept; what an entry takes besides its letters and ids.
+LONG_CHARS, ENTRY_BYTES = 64, 160
+
+
 class _Memo(dict):
     def __init__(self, tokenizer: Tokenizer):
-        self.whole, self.word, self.letters = tokenizer.encode, tokenizer.model.tokenize, _byte_letters()
+        self.whole, self.word, self.letters, self.size = tokenizer.encode, tokenizer.model.tokenize, _byte_letters(), 0
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk.isalpha() and chunk.islower() and chunk < "Ā" and max(chunk) < "Ā":
@@ -46,14 +50,16 @@ class _Memo(dict):
             made = self[m[1]] + self[m[2]]
         else:
             made = _pack(self.whole(chunk, add_special_tokens=False).ids)
-        self[chunk] = made
+        if len(chunk) <= LONG_CHARS:
+            self.size += ENTRY_BYTES + len(chunk) + len(made)
+            self[chunk] = made
         return made
 
 
 class ChunkEncoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes. ``limit``: distinct chunks kept at most (about 200 MB)."""
+    """Texts to ids as little-endian unsigned 32-bit bytes. ``limit``: bytes of chunks and their ids kept at most."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 48_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         with open(path, encoding="utf-8") as f:
@@ -74,8 +80,9 @@ class ChunkEncoder:
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-        if len(self.memo) > self.limit:
+        if self.memo.size > self.limit:
             self.memo.clear()
+            self.memo.size = 0
         return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
 
 

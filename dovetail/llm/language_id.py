@@ -3,17 +3,19 @@
 The posterior of each language is the product of
 
 * the text's likelihood under byte trigrams of letters (hashed), tempered because trigrams of one text are not independent,
-* the likelihood of the language that the markup declares,
+* the likelihood of the language that the markup declares; how often it is right is counted over all rows,
 * the likelihood of the address suffix, from grouped counts,
 * a prior of the host: counts of the host, smoothed by those of its registered domain, smoothed by the whole corpus.
 
 All counts of hosts, domains and suffixes are grouped aggregations over every row, of the posterior by text alone. The
-trigrams are trained on about ``SAMPLE_ROWS`` labelled rows, dealt by hash; their table has ``BUCKETS`` numbers a language.
-``und`` stands for no known language: uniform trigrams and a small prior. A row is kept if its text has letters and the
-best language is a known one with a posterior of ``least`` or more.
+languages are those of all labelled rows; the trigrams are trained on about ``SAMPLE_ROWS`` distinct labelled texts, an equal part a
+language, in two folds: a text is scored by the fold that has not seen it, so that its own label does not come back as the
+text's evidence. Their table has ``BUCKETS`` numbers a language and fold. ``und`` stands for no known language: uniform trigrams
+and a small prior. A row is kept if its text has letters and the best language is a known one with a posterior of ``least`` or more.
 
 Null and empty texts, and those without letters, are ``und`` and not kept. Null hosts, suffixes and declared languages
-are no evidence. Equal rows get equal results. An empty table gives no rows; without labelled rows all is ``und``.
+are no evidence. Ties go to the language first by name. Equal rows get equal results. Very long texts are read whole, some
+characters at a time. Columns made here replace others of their name. An empty table gives no rows; without labelled rows all is ``und``.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ from dovetail.llm import held as states
 
 BUCKETS = 1 << 13
 SAMPLE_ROWS = 20_000
-#: Trigrams a text's evidence counts as at most; share of declared languages that are right; weights of the levels above.
+#: Trigrams a text's evidence counts as at most; share of declared languages that are right, before any are seen; weights of the levels above.
 MOST_TRIGRAMS, DECLARED_RIGHT, HOST_WEIGHT, DOMAIN_WEIGHT, UND_PRIOR = 200, 0.9, 20.0, 50.0, 1e-4
-SALTS = 64
+FOLDS, PIECE_CHARS = 2, 1 << 20
 _CLASS = np.full(256, 0x20, np.uint8)  # letters stay, A-Z in lower case; all else is space
 _CLASS[0x61:0x7B] = np.arange(0x61, 0x7B)
 _CLASS[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -47,61 +49,77 @@ def buckets(text: str | None) -> np.ndarray:
     return (code >> np.uint32(19))[(b != 0x20) | ((a != 0x20) & (c != 0x20))]
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and, for each, the log-probabilities of the buckets, from a bounded sample of ``labelled`` (text, lang)."""
-    rows = labelled.where("lang is not null and text is not null").select("text", "lang")
-    n = rows.count()
-    share = int(min(1.0, sample_rows / max(n, 1)) * (1 << 20))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
-    common.ship(labelled.sparkSession)
+def pieces(text: str | None) -> Iterator[np.ndarray]:
+    """The buckets of a text, ``PIECE_CHARS`` characters at a time; each cut counts as a space."""
+    text = text or ""
+    for a in range(0, max(1, len(text)), PIECE_CHARS):
+        yield buckets(text[a : a + PIECE_CHARS])
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dovetail.llm.language_id import BUCKETS, buckets
 
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                if lang not in total:
-                    total[lang] = np.zeros(BUCKETS, np.int64)
-                total[lang] += np.bincount(buckets(text.as_py()), minlength=BUCKETS)
-        for lang, count in total.items():
-            at = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(count[at])], names=["lang", "bucket", "n"])
-
-    found = sample.mapInArrow(counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r.lang for r in found})  # BUCKETS rows a language at most
-    table = np.full((len(langs) + 1, BUCKETS), 0.1)
-    for r in found:
-        table[langs.index(r.lang), r.bucket] += r.n
-    table[-1] = 1
-    return [*langs, "und"], np.log(table / table.sum(1, keepdims=True))
+def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and, for each of two folds and each language, the log-probabilities of the buckets.
+
+    ``labelled`` (text, lang). The languages are those of all rows, by a grouped count. Each has an equal part of ``sample_rows``, all
+    of it if it has fewer, dealt by hash over distinct texts. A fold is trained on the texts of the other one.
+    """
+    rows = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("th"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    langs = sorted(sizes)
+    table = np.full((FOLDS, len(langs) + 1, BUCKETS), 0.1)
+    table[:, -1] = 1
+    if langs:
+        part = max(1, sample_rows // len(langs))
+        share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, int(min(1.0, part / sizes[lang]) * (1 << 20)))))
+        dealt = rows.where(F.pmod(F.xxhash64("th"), F.lit(1 << 20)) < share[F.col("lang")])
+        sample = dealt.groupBy("lang", "th").agg(F.any_value("text").alias("text")).select("lang", F.pmod("th", F.lit(FOLDS)).alias("fold"), "text")
+
+        def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from dovetail.llm.language_id import BUCKETS, buckets
+
+            total: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                for lang, fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    if (lang, fold) not in total:
+                        total[lang, fold] = np.zeros(BUCKETS, np.int64)
+                    for found in pieces(text.as_py()):
+                        total[lang, fold] += np.bincount(found, minlength=BUCKETS)
+            for (lang, fold), count in total.items():
+                at = np.flatnonzero(count)
+                columns = [pa.array([lang] * len(at)), pa.array([fold] * len(at), pa.int64()), pa.array(at), pa.array(count[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "fold", "bucket", "n"])
+
+        found = common.map_arrow(sample, counts, "lang string, fold long, bucket long, n long").groupBy("lang", "fold", "bucket").agg(F.sum("n").alias("n"))
+        place = {lang: i for i, lang in enumerate(langs)}
+        for r in common.stash(found, "trigrams").collect():  # FOLDS x BUCKETS rows a language at most
+            table[1 - r.fold, place[r.lang], r.bucket] += r.n
+    return [*langs, "und"], np.log(table / table.sum(2, keepdims=True))
 
 
 def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """``rows`` with ``text`` replaced by ``loglik`` (an array by language) and ``letters`` (trigrams)."""
-    common.ship(rows.sparkSession)
+    """``rows`` with ``text`` replaced by ``loglik`` (an array by language) and ``letters`` (trigrams); ``row_key`` deals rows to folds."""
     kept = [c for c in rows.columns if c != "text"]
-    held = rows.sparkSession.sparkContext.broadcast(table.T.astype(np.float32).copy())  # BUCKETS rows
+    key = kept.index("row_key")
+    held = rows.sparkSession.sparkContext.broadcast(table.transpose(0, 2, 1).astype(np.float32).copy())  # BUCKETS rows a fold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dovetail.llm.language_id import MOST_TRIGRAMS, buckets
+        from dovetail.llm.language_id import FOLDS, MOST_TRIGRAMS, pieces
 
         states.only("none")
         scores = held.value
         for batch in batches:
             loglik, letters = [], []
-            for text in batch.column(len(kept)):
-                found = buckets(text.as_py())
-                n = len(found)
-                total = np.zeros(scores.shape[1])
-                for a in range(0, n, 1 << 14):
-                    total += scores[found[a : a + (1 << 14)]].sum(0, dtype=np.float64)
+            for th, text in zip(batch.column(key).to_pylist(), batch.column(len(kept))):
+                n, total = 0, np.zeros(scores.shape[2])
+                for found in pieces(text.as_py()):
+                    n += len(found)
+                    total += scores[th % FOLDS][found].sum(0, dtype=np.float64)
                 loglik.append(total * (min(n, MOST_TRIGRAMS) / n if n else 0.0))
                 letters.append(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([x.tolist() for x in loglik], pa.list_(pa.float64())), pa.array(letters, pa.int64())], names=[*kept, "loglik", "letters"])
+            columns = [*batch.columns[: len(kept)], pa.array([x.tolist() for x in loglik], pa.list_(pa.float64())), pa.array(letters, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "loglik", "letters"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
-    return rows.select(*kept, "text").mapInArrow(run, f"{schema}, loglik array<double>, letters long")
+    return common.map_arrow(rows.select(*kept, "text"), run, f"{schema}, loglik array<double>, letters long")
 
 
 def _softmax(x: Column) -> Column:
@@ -122,37 +140,32 @@ def _sums(rows: DataFrame, key: str, size: int) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*counts, F.count("*").alias("rows")).select(key, F.array(*(f"c{i}" for i in range(size))).alias(f"{key}_counts"), "rows")
 
 
-def _spread_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
-    """Left join on ``key`` where keys with over a thousandth of all rows (a thousand at most) are salted."""
-    hot = [r[0] for r in right.where(F.col("rows") > total / 1000.0).select(key).collect()]
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    salted = left.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("loglik", "row_key"), F.lit(SALTS)).cast("int")).otherwise(0))
-    spread = right.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("rows")
-    return salted.join(spread, [key, "salt"], "left").drop("salt")
-
-
 def identify(rows: DataFrame, langs: list[str], table: np.ndarray, least: float = 0.5) -> DataFrame:
     """lang, confidence, text_lang, keep for ``rows`` (text, declared, suffix, domain, host; others are passed on)."""
     size = len(langs)
-    passed = [c for c in rows.columns if c not in ("text", "declared", "suffix", "domain", "host")]
+    made = ("lang", "confidence", "text_lang", "keep", "th", "row_key", "loglik", "letters", "by_text", "posterior", "salt")
+    passed = [c for c in rows.columns if c not in ("text", "declared", "suffix", "domain", "host", *made)]
     evidence = text_evidence(rows.select(*passed, F.xxhash64("text").alias("row_key"), "declared", "suffix", "domain", "host", "text"), langs, table)
     start = F.array(*(F.lit(float(np.log(UND_PRIOR if l == "und" else (1 - UND_PRIOR) / max(1, size - 1)))) for l in langs))
     evidence = common.stash(evidence.withColumn("by_text", _softmax(F.zip_with("loglik", start, lambda a, b: a + b))), "evidence")
     total_row = evidence.agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("letters") > 0, F.get("by_text", F.lit(i))).otherwise(0.0)).alias(f"c{i}") for i in range(size))).first()
-    total = total_row.n
     whole = np.array([total_row[f"c{i}"] or 0.0 for i in range(size)]) + 1.0
     whole = F.array(*(F.lit(float(x)) for x in whole / whole.sum()))
     zero = F.array(*(F.lit(0.0) for _ in langs))
     joined = evidence
     for key in ("host", "domain", "suffix"):
-        joined = _spread_join(joined, common.stash(_sums(evidence, key, size), f"{key}-counts"), key, total)
+        joined = common.spread_join(joined, common.stash(_sums(evidence, key, size), f"{key}-counts"), [key], ["loglik", "row_key"])
     domain = _log_share(F.coalesce("domain_counts", zero), whole, DOMAIN_WEIGHT)
     host = _log_share(F.coalesce("host_counts", zero), domain, HOST_WEIGHT)
     # how much likelier the suffix is in each language than overall
     suffix = F.when(F.col("suffix").isNull(), F.transform(whole, lambda p: F.lit(0.0))).otherwise(F.zip_with(_log_share(F.coalesce("suffix_counts", zero), whole, DOMAIN_WEIGHT), whole, lambda c, p: F.ln(c / p)))
     known = F.array(*map(F.lit, langs[:-1])) if size > 1 else F.array().cast("array<string>")
-    right, wrong = float(np.log(DECLARED_RIGHT)), float(np.log((1 - DECLARED_RIGHT) / max(1, size - 2)))
+    # how often what is declared agrees with the text, by all rows that declare a known language; the texts were scored out of fold
     names = F.array(*map(F.lit, langs))
+    agrees = F.get("by_text", F.array_position(names, F.col("declared")).cast("int") - 1)
+    said = evidence.where(F.array_contains(known, F.col("declared")) & (F.col("letters") > 0)).agg(F.sum(agrees).alias("right"), F.count("*").alias("n")).first()
+    share = ((said.right or 0.0) + 9 * DECLARED_RIGHT) / ((said.n or 0) + 9)
+    right, wrong = float(np.log(share)), float(np.log(max(1e-6, 1 - share) / max(1, size - 2)))
     declared = F.when(F.array_contains(known, F.col("declared")), F.transform(names, lambda l: F.when(l == F.col("declared"), right).otherwise(wrong))).otherwise(F.transform(names, lambda l: F.lit(0.0)))
     fused = F.zip_with(F.zip_with("loglik", F.transform(host, lambda p: F.ln(p)), lambda a, b: a + b), F.zip_with(declared, suffix, lambda a, b: a + b), lambda a, b: a + b)
     posterior = _softmax(fused)

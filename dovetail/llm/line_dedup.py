@@ -1,286 +1,267 @@
-"""Substring dedup by hashing whole lines, whole paragraphs, and units of lines.
-
-With ``whole_lines``, each whole normalised line and paragraph is hashed by itself, whatever its length, and every later
-occurrence goes: between documents and in one document. Blank lines are no lines. Windows of units come in addition, for
-passages inside lines; without ``whole_lines`` they are all.
-
-A unit is a line or, where a line has several sentences, a sentence of it: passages that were set into the middle of
-a line fall into step at the next sentence end. Sentences of more than ``LONG_WORDS`` words are cut after words whose
-hash is the least (or one of equal least) of some ``CUT_WINDOW`` words in a row, so passages without sentence ends fall into
-step too: a piece has at most ``CUT_WINDOW`` words, and within ``CUT_WINDOW - 1`` words of its ends a passage is cut alike
-wherever it stands. Units are normalised (white space, letter
-case). What is hashed (128 bits) is a unit together with those after it, until there are ``WINDOW_WORDS`` words, so that
-no chance repeat of a few words counts; what is too near a text's end for that is only covered by units before it.
-The digests are grouped globally for the earliest document, by ascending ``doc_id``. The units of a window go if an
-earlier document has the window, or the document itself further up without overlap; but only in runs of ``min_words``
-words or more that go together. So each unit that goes has an equal that stays. Units in writing without spaces (not ASCII, long words)
-count as a word for every two characters.
-
-Digests that more than a thousandth of all units have are at most a thousand, whatever the corpus; they are found by
-their counts, and the join spreads them over salts.
-
-Rows that share an id (null is an id, ranked first) count as one document between documents: they do not remove each
-other's units. Null texts stay null; empty texts stay empty. Columns of the same names as those made here are replaced
-and all others kept; an empty table stays empty.
+"""Line and paragraph dedup: digests grouped globally, the earliest occurrence kept, original offsets retained.
+
+1. Every line, every paragraph of several lines, and every window of a line gets a 128-bit digest of its normalised words
+   (letter case and white space do not count). Windows find passages that were set into the middle of a line: a line is cut
+   into tiles after the words that rank least of some ``CUT_WINDOW`` words in a row, by their hash, ends of sentences before others;
+   a window is a tile and those after it up to ``WINDOW_WORDS`` words. Cuts depend on the words around them only, so within
+   ``CUT_WINDOW`` words of its ends a passage is cut alike wherever it stands: of a passage of 51 words that stands in two lines
+   anywhere, 21 at least go from the later. Digests are made once and stored.
+2. Digests are grouped globally for the smallest ``doc_id`` that has them. A later document loses the tiles of a line,
+   paragraph or window that an earlier one has, and those that repeat one further up in itself without overlap.
+3. Only runs of ``min_words`` words or more that go together go, or a document that goes as a whole: so each word that
+   goes has an equal that stays, and a short phrase that many documents use is left alone. ``min_words=1`` removes every repeated
+   line, whatever its length.
+
+Digests that more than a thousandth of all repeated units have are a thousand at most, whatever the corpus; they are found by their
+counts, and the join spreads them over salts. Words that are not ASCII and have no spaces count by their bytes.
+
+Rows are told apart by doc_id and text. Rows that share an id (null is an id, ranked first) count as one document between
+documents: they do not remove each other's units. Equal rows get equal results. Null texts stay null; empty texts stay
+empty. A very long text is hashed in one piece, as its paragraphs may be that long; it needs some 60 bytes a byte. Columns of
+the same names as those made here are replaced and all others kept; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from dovetail.llm import common, held
+from dovetail.llm import common
 
-LONG_WORDS, WINDOW_WORDS, CUT_WINDOW = 25, 8, 11
-SALTS = 64
-#: Units that are not ASCII and have more characters a word than this are text without spaces; ``WORD_CHARS`` count as a word.
-LONG_CHARS, WORD_CHARS = 16, 2
-_SENTENCE = re.compile(r"(?<=\n)|(?<=[.!?][ \t])(?=[^ \t\n])")
-_WIDE = re.compile(_SENTENCE.pattern + r"|(?<=[\u3002\uff01\uff1f])(?=[^ \t\n])")
-_WORD = re.compile(r"\S+\s*")
+WINDOW_WORDS, CUT_WINDOW, MIN_WORDS = 8, 12, 20
+#: Bytes of text that are hashed together; a word that is not ASCII counts as one for every ``WIDE_BYTES`` bytes beyond ``LONG_BYTES``.
+SLICE_BYTES, LONG_BYTES, WIDE_BYTES = 1_000_000, 48, 6
 _FIRST = np.iinfo(np.int64).min
+_OTHER_BASE = 0xC2B2AE3D27D4EB4F
+_UNITS = "doc_id long, th long, k1 array<long>, k2 array<long>, first array<int>, last array<int>, own array<int>, start array<int>, end array<int>, words array<int>, line array<int>, size long"
 
 
-def _cuts(hashes: list[int]) -> list[int]:
-    """The places whose hash is the least of some ``CUT_WINDOW`` hashes in a row."""
-    h = np.array(hashes, np.int64)
+def _lowered(text: str) -> bytes:
+    """In lower case, letter by letter, where that keeps the bytes of a letter; so places are those of the text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    low = text.lower().replace("ς", "σ").encode("utf-8", "surrogatepass") if not text.isascii() else raw.lower()
+    if len(low) != len(raw):
+        low = "".join([x if len((x := c.lower()).encode("utf-8", "surrogatepass")) == len(c.encode("utf-8", "surrogatepass")) else c for c in text]).replace("ς", "σ").encode("utf-8", "surrogatepass")
+    return low
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end: at white space, and after a full stop of writing without spaces."""
+    from dovetail.llm.shingles import SPACE
+
+    space = SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edge[0::2], edge[1::2]
+    if (data == 0xE3).any() or (data == 0xEF).any():
+        a, b, c = data[:-3], data[1:-2], data[2:-1]
+        stop = ((a == 0xE3) & (b == 0x80) & (c == 0x82)) | ((a == 0xEF) & (b == 0xBC) & ((c == 0x81) | (c == 0x9F)))
+        after = np.flatnonzero(stop) + 3
+        after = after[~space[after]]
+        starts, ends = np.sort(np.concatenate([starts, after])), np.sort(np.concatenate([ends, after]))
+    return starts, ends
+
+
+def _winnowed(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which words have the least rank of some ``CUT_WINDOW`` words in a row of one line."""
     n = len(h) - CUT_WINDOW + 1
     if n < 1:
-        return []
+        return np.zeros(len(h), bool)
     least = h[:n].copy()
     for k in range(1, CUT_WINDOW):
         np.minimum(least, h[k : k + n], out=least)
-    most = np.full(len(h), -1, np.int64)  # of the windows that hold the place, the largest least
+    least[line[:n] != line[CUT_WINDOW - 1 :]] = -1
+    most = np.full(len(h), -1, np.int64)  # of the windows that hold the word, the largest least
     for k in range(CUT_WINDOW):
         np.maximum(most[k : k + n], least, out=most[k : k + n])
-    return np.flatnonzero(most == h).tolist()
-
-
-def units(text: str) -> list[str]:
-    """The units of a text; joined, they are the text."""
-    out = []
-    wide = not text.isascii() and ("\u3002" in text or "\uff01" in text or "\uff1f" in text)
-    for part in (_WIDE if wide else _SENTENCE).split(text):
-        if not part:
-            continue
-        if len(part) <= LONG_WORDS * 2 or len(part.split()) <= LONG_WORDS:
-            out.append(part)
-            continue
-        begun = 0
-        found = list(_WORD.finditer(part))
-        for at in _cuts([zlib.crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) for m in found]):
-            out.append(part[begun : found[at].end()])
-            begun = found[at].end()
-        if begun < len(part):
-            out.append(part[begun:])
-    return out
-
-
-def _digest(words: str) -> int:
-    return xxhash.xxh3_128_intdigest(words.encode("utf-8", "surrogatepass"))
-
-
-def whole(parts: list[str]) -> list[tuple[int, int, int]]:
-    """First unit, last unit and digest of every line that is not blank, and of every paragraph of several lines."""
-    return _whole(parts, [" ".join(u.lower().split()) for u in parts])
-
-
-def _whole(parts: list[str], joined: list[str]) -> list[tuple[int, int, int]]:
-    out: list[tuple[int, int, int]] = []
-    lines: list[str] = []  # of the paragraph
-    begun = first = 0
-    final = len(parts) - 1
-    for i, part in enumerate(parts):
-        if i < final and part[-1] != "\n":
-            continue
-        line = joined[i] if first == i else " ".join([u for u in joined[first : i + 1] if u])
-        if line:
-            if not lines:
-                begun = first
-            lines.append(line)
-            out.append((first, i, _digest(line)))
-        if lines and (not line or i == final):
-            if len(lines) > 1:
-                out.append((begun, i if line else first - 1, _digest(" ".join(lines))))
-            lines = []
-        first = i + 1
-    return out
-
-
-def digests(parts: list[str]) -> tuple[list[int], list[int | None], list[int]]:
-    """Words of each unit, the 128-bit digest of the window that begins there (None: too few words follow), and its last unit."""
-    return _read(parts)[:3]
-
-
-def _read(parts: list[str]) -> tuple[list[int], list[int | None], list[int], list[str]]:
-    plain = [u.lower().split() for u in parts]
-    joined = [" ".join(w) for w in plain]
-    counts = [len(w) if len(u) <= LONG_CHARS * len(w) or u.isascii() else max(len(w), len(u) // WORD_CHARS) for w, u in zip(plain, joined)]
-    keys: list[int | None] = [None] * len(parts)
-    ends = [0] * len(parts)
-    last, held = -1, 0
-    for i, n in enumerate(counts):
-        while held < WINDOW_WORDS and last + 1 < len(counts):
-            last += 1
-            held += counts[last]
-        ends[i] = last
-        if n and held >= WINDOW_WORDS:
-            window = joined[i] if last == i else " ".join([u for u in joined[i : last + 1] if u])
-            keys[i] = _digest(window)
-        held -= n
-    return counts, keys, ends, joined
-
-
-def removable(counts: list[int], going: list[bool], min_words: int) -> list[bool]:
-    """``going`` without the runs that have too few words."""
-    out, i = [False] * len(going), 0
-    while i < len(going):
-        j = i
-        while j < len(going) and going[j]:
-            j += 1
-        if sum(counts[i:j]) >= min_words:
-            out[i:j] = [True] * (j - i)
-        i = max(j, i + 1)
-    return out
-
-
-def going(keys: list[int | None], ends: list[int], elsewhere: set[int]) -> list[bool]:
-    """Which units are in a window whose digest is in ``elsewhere``, or that repeats one further up without overlap."""
-    seen: dict[int, int] = {}
-    out = [False] * len(keys)
-    for i, key in enumerate(keys):
-        if key is None:
-            continue
-        if key in elsewhere or i > seen.setdefault(key, ends[i]):
-            for j in range(i, ends[i] + 1):
-                out[j] = True
-    return out
-
-
-def repeated(lines: list[tuple[int, int, int]], elsewhere: set[int], size: int) -> list[bool]:
-    """Which of ``size`` units are in a line or paragraph whose digest is in ``elsewhere``, or that repeats one further up."""
-    seen: dict[int, int] = {}
-    out = [False] * size
-    for first, last, key in sorted(lines):
-        if key in elsewhere or first > seen.setdefault(key, last):
-            out[first : last + 1] = [True] * (last + 1 - first)
-    return out
-
-
-def cut(text: str, elsewhere: set[int], min_words: int, whole_lines: bool = False) -> tuple[str, list[tuple[int, int]]]:
-    """The text without what is at ``elsewhere`` and without repeats in itself; and the (start, end) of what stays, in the original.
-
-    ``elsewhere`` has numbers of windows and, from the number of units on, of the lines and paragraphs of ``whole``.
-    """
-    parts = units(text)
-    counts, keys, ends, joined = _read(parts)
-    lines = _whole(parts, joined) if whole_lines else []
-    every = [*keys, *(key for _, _, key in lines)]
-    taken = {every[i] for i in elsewhere}
-    out = going(keys, ends, taken)
-    if whole_lines:
-        alone = repeated(lines, taken, len(parts))
-        gone = [a or b for a, b in zip(alone, removable(counts, [a or b for a, b in zip(alone, out)], min_words))]
-    else:
-        gone = removable(counts, out, min_words)
-    kept, spans, at = [], [], 0
-    for part, out in zip(parts, gone):
-        if not out:
-            kept.append(part)
-            if spans and spans[-1][1] == at:
-                spans[-1] = (spans[-1][0], at + len(part))
-            else:
-                spans.append((at, at + len(part)))
-        at += len(part)
-    return "".join(kept), spans
-
-
-def _unit_rows(docs: DataFrame, whole_lines: bool) -> DataFrame:
-    """owner (doc_id, the null id first), idx, k1, k2 of every window, line and paragraph; repeats within a document once."""
+    return most == h
+
+
+class Units:
+    """Tiles and digests of some texts: tiles ``start`` to ``end`` (code points) of text ``tile_text``, with ``words`` and ``line``;
+    digests ``k1``, ``k2`` of tiles ``first`` to before ``last`` of ``text``; ``own`` marks those that repeat one further up."""
+
+    def __init__(self, texts: list[str]):
+        from dovetail.llm.shingles import BASE, mix, prefix_sums, span_hashes
+
+        low = [_lowered(t) for t in texts]
+        data = np.frombuffer(b"\n" + b"\n".join(low) + b"\n", np.uint8)
+        limits = np.cumsum([1, *(len(x) + 1 for x in low)])  # of the texts
+        starts, ends = _words(data)
+        n = len(starts)
+        text = np.searchsorted(limits, starts, "right") - 1
+        bytes_ = data.astype(np.uint64) + np.uint64(1)
+        one = span_hashes(prefix_sums(bytes_), starts, ends)
+        two = span_hashes(prefix_sums(bytes_, _OTHER_BASE), starts, ends, _OTHER_BASE)
+        del bytes_
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        high = np.concatenate([[0], np.cumsum(data > 0x7F)])
+        size = ends - starts
+        weight = np.where((size > LONG_BYTES) & (high[ends] > high[starts]), size // WIDE_BYTES, 1)
+        line = np.concatenate([[0], np.cumsum(data == 10)])[starts] if n else np.zeros(0, np.int64)
+        new_line = np.ones(n, bool)
+        new_line[1:] = line[1:] != line[:-1]
+        last = data[ends - 1]
+        stops = (last == 46) | (last == 33) | (last == 63)
+        stops[:-1] |= ends[:-1] == starts[1:]
+        begins = new_line.copy()
+        rank = (mix(one + np.uint64(1)) >> np.uint64(1)).astype(np.int64)
+        begins[1:] |= _winnowed(np.where(stops, rank >> 20, rank), line)[:-1]  # ends of sentences come first
+        cut = np.flatnonzero(begins)
+        edge = np.append(cut, n)  # tiles are words edge[t] to before edge[t + 1]
+        tiles = len(cut)
+        total = np.concatenate([[0], np.cumsum(weight)])[edge]
+        self.tile_text = text[cut]
+        base = points[limits[:-1]]
+        self.start = points[starts[cut]] - base[self.tile_text]
+        self.end = points[ends[edge[1:] - 1]] - base[self.tile_text]
+        self.words, self.line = np.diff(total), line[cut]
+        self.size = points[limits[1:] - 1] - base
+        heads = np.flatnonzero(new_line[cut])  # first tiles of lines
+        line_end = np.append(heads[1:], tiles)[: len(heads)]
+        of_line = np.repeat(line_end, np.diff(np.append(heads, tiles)))
+        sub_end = np.searchsorted(total, total[:-1] + WINDOW_WORDS, "left")
+        fits = np.flatnonzero(sub_end <= of_line) if tiles else np.zeros(0, np.int64)
+        # a line of one window is that window; a paragraph ends at a blank line
+        alone = np.flatnonzero(sub_end[heads] != line_end)
+        gap = np.ones(len(heads), bool)
+        gap[1:] = (self.line[heads[1:]] - self.line[heads[:-1]] > 1) | (self.tile_text[heads[1:]] != self.tile_text[heads[:-1]])
+        paragraph = np.flatnonzero(gap)
+        several = np.diff(np.append(paragraph, len(heads))) > 1
+        paragraph_end = np.append(heads[paragraph[1:]], tiles)[: len(paragraph)]
+        first = np.concatenate([np.arange(tiles)[fits], heads[alone], heads[paragraph[several]]])
+        end = np.concatenate([sub_end[fits], line_end[alone], paragraph_end[several]])
+        order = np.lexsort((end, first))
+        self.first, self.last = first[order], end[order]
+        self.text = self.tile_text[self.first]
+        with np.errstate(over="ignore"):
+            self.k1 = span_hashes(prefix_sums(one), edge[self.first], edge[self.last]).view(np.int64)
+            self.k2 = span_hashes(prefix_sums(mix(two), _OTHER_BASE), edge[self.first], edge[self.last], _OTHER_BASE).view(np.int64)
+        assert BASE != _OTHER_BASE
+        order = np.lexsort((self.first, self.k2, self.k1, self.text))
+        key = np.stack([self.text[order], self.k1[order], self.k2[order]])
+        new = np.ones(len(order), bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+        head = np.flatnonzero(new)
+        reach = np.repeat(self.last[order][head], np.diff(np.append(head, len(order))))
+        self.own = np.zeros(len(order), bool)
+        self.own[order] = self.first[order] >= reach
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind.to_pandas_dtype()), kind))
+
+
+def unit_rows(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, th (hash of the text), its digests and its tiles, with places within the text."""
+    names = [c.split()[0] for c in _UNITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dovetail.llm.line_dedup import _read, _whole, units
-
-        held.only("none")
-        for batch in batches:
-            owners, at, keys = [], [], []
-
-            def block() -> pa.RecordBatch:
-                k = np.frombuffer(b"".join([x.to_bytes(16, "little") for x in keys]), "<i8").reshape(-1, 2)
-                return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(at, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1])], names=["owner", "idx", "k1", "k2"])
-
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts = units(text.as_py() or "")
-                _, found, _, joined = _read(parts)
-                lines = [key for _, _, key in _whole(parts, joined)] if whole_lines else []
-                own = _FIRST if doc is None else doc
-                seen = set()
-                for i, key in enumerate(found + lines):
-                    if key is not None and key not in seen:
-                        seen.add(key)
-                        owners.append(own)
-                        at.append(i)
-                        keys.append(key)
-                if len(keys) > 50_000:
-                    yield block()
-                    owners, at, keys = [], [], []
-            yield block()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "owner long, idx int, k1 long, k2 long")
-
-
-def repeated_units(docs: DataFrame, whole_lines: bool = False) -> DataFrame:
-    """owner and the numbers of its windows, lines and paragraphs that an earlier document has."""
-    rows = common.stash(_unit_rows(docs, whole_lines), "units")
+        from dovetail.llm.line_dedup import Units, _lists
+        from dovetail.llm.ngram_join import _slices
+
+        for keys, texts in _slices(batches, SLICE_BYTES):
+            u, n = Units([t or "" for t in texts]), len(texts)
+            tiles, digests = np.bincount(u.tile_text, minlength=n), np.bincount(u.text, minlength=n)
+            base = np.concatenate([[0], np.cumsum(tiles)])[:-1]
+            place = np.concatenate([[0], np.cumsum(digests)])[:-1]
+            own = np.flatnonzero(u.own)
+            small = pa.int32()
+            columns = [
+                *(pa.array(c, pa.int64()) for c in zip(*keys)),
+                _lists(u.k1, digests, pa.int64()),
+                _lists(u.k2, digests, pa.int64()),
+                _lists(u.first - base[u.text], digests, small),
+                _lists(u.last - base[u.text], digests, small),
+                _lists(own - place[u.text[own]], np.bincount(u.text[own], minlength=n), small),
+                _lists(u.start, tiles, small),
+                _lists(u.end, tiles, small),
+                _lists(u.words, tiles, small),
+                _lists(u.line - u.line[np.minimum(base, max(0, len(u.line) - 1))][u.tile_text] if len(u.line) else u.line, tiles, small),
+                pa.array(u.size, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return common.map_arrow(docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("k"), "text"), run, _UNITS)
+
+
+def repeated_units(units: DataFrame) -> DataFrame:
+    """doc_id, th and ``elsewhere``: the numbers of a row's digests that an earlier document has. ``units``: stored, of ``unit_rows``."""
+    owner = F.coalesce("doc_id", F.lit(_FIRST)).alias("owner")
+    rows = units.select(owner, "doc_id", "th", F.posexplode(F.arrays_zip("k1", "k2")).alias("idx", "k")).select("owner", "doc_id", "th", "idx", "k.k1", "k.k2")
     keys = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("owner").alias("first"), F.max("owner").alias("last"))
     keys = common.stash(keys.where("first <> last").select("k1", "k2", "n", "first"), "unit-keys")
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    heavy = keys.where(F.col("n") > total / 1000.0).select("k1")  # a thousand rows at most
-    hot = [r.k1 for r in heavy.distinct().collect()]
-    is_hot = F.col("k1").isin(hot) if hot else F.lit(False)
-    salted = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int")).otherwise(0))
-    spread = keys.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    found = salted.join(spread.select("k1", "k2", "salt", "first"), ["k1", "k2", "salt"]).where("first < owner")
-    return found.groupBy("owner").agg(F.collect_set("idx").alias("elsewhere"))
+    found = common.spread_join(rows, keys, ["k1", "k2"], ["owner", "th"], "inner", "n").where("first < owner")
+    return found.groupBy("doc_id", "th").agg(F.collect_set("idx").alias("elsewhere"))
+
+
+def kept_spans(going: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray, line: np.ndarray, size: int, min_words: int) -> list[tuple[int, int]]:
+    """What stays of a text of ``size`` characters without the runs of ``going`` tiles that have ``min_words`` words, or are all of it."""
+    n = len(going)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], going.astype(np.int8), [0]])))
+    out, at = [], 0
+    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+        whole = a == 0 and b == n
+        if not whole and words[a:b].sum() < min_words:
+            continue
+        begin = 0 if a == 0 else int(start[a])
+        # what follows moves up; but where only the end of a line goes, its line break stays
+        ends_line = b < n and line[b] != line[b - 1]
+        from_line_start = a == 0 or line[a] != line[a - 1]
+        stop = size if b == n else int(end[b - 1]) if ends_line and not from_line_start else int(start[b])
+        if begin > at:
+            out.append((at, begin))
+        at = stop
+    if at < size:
+        out.append((at, size))
+    return out
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 10, whole_lines: bool = False) -> DataFrame:
-    """``docs`` with what stays of ``text``, and ``kept`` (start and end of each kept span in the original), n_removed (characters)."""
-    common.ship(docs.sparkSession)
-    old = [c for c in docs.columns if c not in ("kept", "n_removed", "owner", "elsewhere")]
-    owned = docs.select(*old).withColumn("owner", F.coalesce(F.col("doc_id"), F.lit(_FIRST)))
-    joined = owned.join(repeated_units(docs, whole_lines), "owner", "left").drop("owner")
-    place = old.index("text")
-    schema = joined.drop("elsewhere").schema.add("kept", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))).add("n_removed", T.LongType())
+def span_rows(units: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, th, kept, n_removed for the documents of ``units`` that lose something."""
+    found = repeated_units(units).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "elsewhere")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+    columns = ["doc_id", "th", "first", "last", "own", "start", "end", "words", "line", "size"]
+    touched = units.select(*columns).join(found, same, "left").where(F.col("elsewhere").isNotNull() | (F.size("own") > 0)).select(*columns, "elsewhere")
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dovetail.llm.line_dedup import cut
+        from dovetail.llm.line_dedup import kept_spans
 
-        held.only("none")
         for batch in batches:
-            texts, kept, removed = [], [], []
-            for text, elsewhere in zip(batch.column(place), batch.column(len(old))):
-                text = text.as_py()
-                if text is None:
-                    texts.append(None)
-                    kept.append([])
-                    removed.append(0)
-                    continue
-                new, spans = cut(text, set(elsewhere.as_py() or ()), min_words, whole_lines)
-                texts.append(new)
-                kept.append([{"start": a, "end": b} for a, b in spans])
-                removed.append(len(text) - len(new))
-            columns = list(batch.columns[: len(old)])
-            columns[place] = pa.array(texts, columns[place].type)
-            spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, spans_type), pa.array(removed, pa.int64())], names=[*old, "kept", "n_removed"])
-
-    return joined.mapInArrow(run, schema)
+            kept, removed, which = [], [], []
+            for i in range(batch.num_rows):
+                first, last, own, start, end, words, line = (batch.column(k)[i].values.to_numpy() for k in range(2, 9))
+                size, elsewhere = batch.column(9)[i].as_py(), batch.column(10)[i].values
+                places = own if elsewhere is None else np.union1d(own, elsewhere.to_numpy())
+                marks = np.zeros(len(start) + 1, np.int64)
+                np.add.at(marks, first[places], 1)
+                np.add.at(marks, last[places], -1)
+                spans = kept_spans(np.cumsum(marks[:-1]) > 0, start, end, words, line, size, min_words)
+                gone = size - sum(b - a for a, b in spans)
+                if gone:
+                    which.append(i)
+                    kept.append([{"start": a, "end": b} for a, b in spans])
+                    removed.append(gone)
+            ids = batch.take(pa.array(which, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(kept, span), pa.array(removed, pa.int64())], names=["doc_id", "th", "kept", "n_removed"])
+
+    return common.map_arrow(touched, run, "doc_id long, th long, kept array<struct<start:long,end:long>>, n_removed long").distinct()
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with what stays of ``text``, and ``kept`` (start and end of each kept span in the original), n_removed (characters)."""
+    units = common.stash(unit_rows(docs), "units")
+    spans = common.stash(span_rows(units, min_words), "spans").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("kept").alias("_kept"), F.col("n_removed").alias("_gone"))
+    old = [c for c in docs.columns if c not in ("kept", "n_removed")]
+    joined = docs.select(*old).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
+    left = F.array_join(F.transform("_kept", lambda s: F.substring(F.col("text"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))), "")
+    size = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    whole = F.when(size > 0, F.array(F.struct(F.lit(0).cast("bigint").alias("start"), size.alias("end")))).otherwise(none)
+    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(left)
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in old), F.coalesce("_kept", whole).alias("kept"), F.coalesce("_gone", F.lit(0).cast("bigint")).alias("n_removed"))

@@ -143,7 +143,6 @@ def plan(histogram: np.ndarray, capacity: int) -> tuple[np.ndarray, int, int]:
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of ``docs`` (doc_id, text)."""
-    common.ship(docs.sparkSession)
     width = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +159,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0)
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=list(_PIECES))
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return common.map_arrow(docs.select("doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -190,4 +189,4 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             found = plan_rows[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found[:, 3] + rank - found[:, 1]), pa.array(found[:, 4])], names=[*_PIECES, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return common.map_arrow(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

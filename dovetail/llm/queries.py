@@ -47,7 +47,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     pieces = packing.cut_pieces(docs, public_tokenizers.path(WORD_BPE), CAPACITY, end_id=0)
-    return packing.pack(common.stash(pieces, "pieces"), CAPACITY)
+    return common.stash(packing.pack(common.stash(pieces, "pieces"), CAPACITY), "packed")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
     records = chat.records_of_turns(common.table(spark, sf_dir, "conversations")).unionByName(extra)
-    return chat.read_back(chat.format_records(records)).drop("fingerprint")
+    formatted = common.stash(chat.format_records(records), "formatted")
+    return common.stash(chat.read_back(formatted), "read-back").drop("fingerprint")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeats(common.table(spark, sf_dir, "documents"), whole_lines=True).select("doc_id", "text", "kept", "n_removed")
+    return line_dedup.remove_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "kept", "n_removed")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

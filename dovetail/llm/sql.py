@@ -13,10 +13,20 @@ WITH d AS (SELECT doc_id, {_WORDS.format(t="text")} AS w FROM documents),
   grams AS (SELECT doc_id, k, list_slice(w, k, k + n - 1) AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n) x),
   hits AS (SELECT doc_id, k, len(win) AS n, item_id FROM grams JOIN wins USING (win)),
   hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) x GROUP BY doc_id),
-  hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) x GROUP BY doc_id)
+  hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) x GROUP BY doc_id),
+  item_terms AS (SELECT DISTINCT item_id, unnest(w) AS term FROM i WHERE item_id IS NOT NULL),
+  places AS MATERIALIZED (SELECT doc_id, term, p FROM (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS p FROM d) x WHERE term IN (SELECT term FROM item_terms)),
+  counted AS (SELECT term, count(*) AS n FROM places GROUP BY term),
+  ranked AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), term) AS k, min(coalesce(n, 0)) OVER (PARTITION BY item_id) AS least FROM item_terms LEFT JOIN counted USING (term)),
+  rare AS (SELECT item_id, term, k, count(*) OVER (PARTITION BY item_id) AS n FROM ranked WHERE k <= 3 AND least > 0),
+  lists AS MATERIALIZED (SELECT doc_id, item_id, k, n, p FROM places JOIN rare USING (term)),
+  close AS (SELECT a.doc_id, a.item_id FROM lists a JOIN lists b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND abs(b.p - a.p) <= 10
+    WHERE a.k = 1 GROUP BY a.doc_id, a.item_id, a.p HAVING count(DISTINCT b.k) = any_value(a.n)),
+  near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 _CONTROL = r"\[INST\]|\[/INST\]|<s>|</s>|<<SYS>>|<</SYS>>|\[ROLE\]|\[:\]|\[/ROLE\]"
 

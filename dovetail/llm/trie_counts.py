@@ -9,12 +9,18 @@ The vocabulary file holds merge ranks and no probabilities. A piece of rank r ha
 Zipf's law, -log(r + 2.7) less the norm. What no piece covers falls back to its UTF-8 bytes, a token each. Equal
 scores go to fewer tokens.
 
-Null and empty texts have no tokens. Repeated rows are counted each. Other columns are ignored.
+A pre-token of more than ``LONG_CHARS`` characters shares little and is not put in the trie: the same scores are taken along it
+with only those of the last places held, so its memory does not grow with it.
+
+Null and empty texts, and those of white space only, have no tokens. Repeated rows are counted each; null ids stay null. Other
+columns are ignored, and an empty table gives no rows. Texts are handled whole; the words of ``SLICE_CHARS`` characters, or of
+one longer text, are held at a time.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -24,7 +30,9 @@ from dovetail.llm import common, held
 
 MARK = "▁"
 #: Characters of text whose distinct new pre-tokens share one trie, and pre-tokens kept: what a worker holds at most.
-SLICE_CHARS, KEPT = 2_000_000, 1_000_000
+SLICE_CHARS, KEPT = 2_000_000, 300_000
+#: Longer pre-tokens are counted by themselves.
+LONG_CHARS = 256
 
 
 def zipf_scores(pieces: Iterable[str]) -> dict[str, float]:
@@ -80,6 +88,24 @@ class TrieCounter:
             self.known[word] = count[node]
         self.nodes = len(best)
 
+    def long_count(self, word: str) -> int:
+        """The count of one long pre-token."""
+        best, count = deque([0.0], self.longest), deque([0], self.longest)  # of the last places, the latest last
+        text, score_of = MARK + word, self.scores.get
+        for end, letter in enumerate(text, 1):
+            width = len(letter.encode("utf-8", "surrogatepass"))
+            top, fewest = best[-1] + self.byte_score * width, count[-1] + width
+            held = len(best)
+            for back in range(held, 0, -1):
+                s = score_of(text[end - back : end])
+                if s is not None:
+                    s += best[held - back]
+                    if s > top or s == top and count[held - back] + 1 < fewest:
+                        top, fewest = s, count[held - back] + 1
+            best.append(top)
+            count.append(fewest)
+        return count[-1]
+
     def counts(self, texts: list[str]) -> list[tuple[int, int]]:
         """Pre-tokens and tokens of each text."""
         out: list[tuple[int, int]] = []
@@ -96,9 +122,12 @@ class TrieCounter:
             if len(self.known) > KEPT:
                 self.known.clear()
             new.difference_update(self.known)
+            long = {w: self.long_count(w) for w in new if len(w) > LONG_CHARS}
+            new.difference_update(long)
             self.insert(new)
             get = self.known.__getitem__
-            out += [(len(words), sum(map(get, words))) for words in held]
+            for words in held:
+                out.append((len(words), sum(long[w] if w in long else get(w) for w in words) if long else sum(map(get, words))))
         return out
 
 
@@ -108,7 +137,6 @@ def worker_counter(path: str) -> TrieCounter:
 
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens for every row of ``docs`` (doc_id, text). No shuffle."""
-    common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dovetail.llm.trie_counts import worker_counter
@@ -118,4 +146,4 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
             pairs = counter.counts([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in pairs], pa.int64()), pa.array([t for _, t in pairs], pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return common.stash(common.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_pretokens long, n_tokens long"), "token-counts")

@@ -4,8 +4,12 @@ A shard is one self-contained compressed file: bit-planes from the highest bit d
 plane above it, in blocks that are compressed one by one with the number of ones before each block. Access, rank,
 count and select of any token decompress only the blocks they touch. A directory holds the documents of the shard.
 
+Shards are rows of a Parquet table with the file in a binary column: Spark's commit protocol then covers lost executors. A
+reader holds one file at a time, of ``shard_tokens`` ids and the rest of the document that fills it.
+
 Documents are dealt to shards by ranges of ``doc_id``, in ascending order. Null texts are empty, null ids come
-first, repeated ids are ordered by text, other columns are ignored, and an empty table gives no shard.
+first, repeated ids are ordered by the hash of their text and then the text (so that many rows of one id are dealt
+to several ranges), other columns are ignored, and an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -22,14 +26,13 @@ from pyspark.sql import functions as F
 
 from dovetail.llm import common
 
-MAGIC = b"DWM1"
-_HEAD = struct.Struct("<4sQBIQQ")
+MAGIC = b"DWM2"
+_HEAD = struct.Struct("<4sQBIQQQ")
 BLOCK_BITS = 1 << 16
-_NULL = np.iinfo(np.int64).min
 
 
-def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The file of one shard: ``ids`` of all its documents in order, ``lengths`` ids of each of ``doc_ids``."""
+def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, nulls: int = 0) -> bytes:
+    """The file of one shard: ``ids`` of all its documents in order, ``lengths`` ids of each of ``doc_ids``; the first ``nulls`` have no id."""
     n = len(ids)
     bits = max(1, int(ids.max()).bit_length()) if n else 1
     a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
@@ -50,14 +53,14 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
         at = int(ends[-1])
         a = np.concatenate([a.take(zeros_at), a.take(ones_at)])
     docs = pack(np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<u8").tobytes())
-    return b"".join([_HEAD.pack(MAGIC, n, bits, BLOCK_BITS, len(doc_ids), len(docs)), docs, *heads, *blobs])
+    return b"".join([_HEAD.pack(MAGIC, n, bits, BLOCK_BITS, len(doc_ids), nulls, len(docs)), docs, *heads, *blobs])
 
 
 class WaveletShard:
     """Reads a shard's file. Positions count from 0 over all ids of the shard."""
 
     def __init__(self, file: bytes):
-        magic, self.n, self.bits, self.block, n_docs, docs_len = _HEAD.unpack_from(file)
+        magic, self.n, self.bits, self.block, n_docs, self.nulls, docs_len = _HEAD.unpack_from(file)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
         self._unpack = zstandard.ZstdDecompressor().decompress
@@ -165,8 +168,6 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
 
     A shard is closed once it holds ``shard_tokens`` ids; a document is never split.
     """
-    common.ship(docs.sparkSession)
-
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -177,7 +178,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
         held, doc_ids, lengths, size = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            file = build(np.frombuffer(b"".join(held), "<u4"), np.array([_NULL if d is None else d for d in doc_ids], np.int64), np.array(lengths))
+            file = build(np.frombuffer(b"".join(held), "<u4"), np.array([d or 0 for d in doc_ids], np.int64), np.array(lengths), doc_ids.count(None))
             row = [[part], [seq], [doc_ids[0]], [len(doc_ids)], [size], [file]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "first_doc", "n_docs", "n_tokens", "file"])
 
@@ -194,14 +195,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
         if doc_ids:
             yield close()
 
-    plain = docs.select("doc_id", "text")
-    dealt = plain.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(shards, SHARDS).write.option("compression", "uncompressed").parquet(path)
+    order = (F.col("doc_id").asc_nulls_first(), F.col("th"))
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).repartitionByRange(*order).sortWithinPartitions(*order, "text").drop("th")
+    with common.small_batches(docs.sparkSession):
+        common.map_arrow(dealt, shards, SHARDS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """From the files of ``write_shards``, a row for each document: doc_id, start, n_tokens, ids_crc32, part, seq."""
-    common.ship(spark)
     shards = spark.read.schema(SHARDS).parquet(path)
     totals = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each range
     starts, at = {}, 0
@@ -220,9 +221,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist())]
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == _NULL), pa.array(ends - lengths + starts[part]), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32))],
+                    [pa.array(shard.doc_ids, pa.int64(), mask=np.arange(n) < shard.nulls), pa.array(ends - lengths + starts[part]), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32))],
                     names=["doc_id", "local", "n_tokens", "ids_crc32", "part", "seq"],
                 )
 
-    read = shards.select("part", "seq", "file").mapInArrow(documents, "doc_id long, local long, n_tokens long, ids_crc32 long, part int, seq int")
-    return read.join(before, ["part", "seq"]).select("doc_id", (F.col("local") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
+    read = common.map_arrow(shards.select("part", "seq", "file"), documents, "doc_id long, local long, n_tokens long, ids_crc32 long, part int, seq int")
+    return common.stash(read, "read-back").join(before, ["part", "seq"]).select("doc_id", (F.col("local") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers import models as token_models
 
@@ -58,11 +59,16 @@ def test_shards(spark):
     wavelet.write_shards(frame(spark, rows), path, BPE, shard_tokens=500)
     got = [tuple(r)[:4] for r in wavelet.read_documents(spark, path).collect()]
     want, at = [], 0
-    for doc, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    hashed = {(r.doc_id, r.text): r.th for r in frame(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("th")).collect()}
+    for doc, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashed[r])):
         raw = ids(text) + (2).to_bytes(4, "little")
         want.append((doc, at, len(raw) // 4, zlib.crc32(raw)))
         at += len(raw) // 4
     assert sorted(got, key=lambda r: r[1]) == want
+    least = [(-(2**63), "a", "en", "s", 0), (None, "b", "en", "s", 0)]
+    path = common.new_path(spark, "test")
+    wavelet.write_shards(frame(spark, least), path, BPE)
+    assert [r.doc_id for r in wavelet.read_documents(spark, path).orderBy("start").collect()] == [None, -(2**63)]
     empty = common.new_path(spark, "test")
     wavelet.write_shards(frame(spark, []), empty, BPE)
     assert wavelet.read_documents(spark, empty).count() == 0
@@ -142,6 +148,16 @@ def test_trie_counts(spark):
     assert trie_counts.count_tokens(frame(spark, []), path).count() == 0
 
 
+def test_long_pretokens_are_counted_alike():
+    counter = trie_counts.TrieCounter(trie_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    long = ["ab" * 200, "the" * 300 + "é☃" * 40, "x" * 5000]
+    counter.insert(long)
+    assert [counter.long_count(w) for w in long] == [counter.known[w] for w in long]
+    known = dict(counter.known)
+    counter.known.clear()
+    assert counter.counts([" ".join(long)]) == [(3, sum(known.values()))] and not set(long) & set(counter.known)
+
+
 def test_trie_counts_against_a_unigram_model():
     scores = trie_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     vocabulary = list(scores.items())
