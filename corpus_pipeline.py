@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: language ID, near duplicates, repeated passages, contamination, packing.
 
-Each stage takes what the one before it kept, whole, and all but the last return the columns of ``documents``. A stage
-that rejects documents names them by id and text, so rows with null or repeated ids are judged by their own text.
+Each stage takes what the one before it kept, whole, and all but the last return the columns of ``documents``, further columns
+included. A stage that rejects documents names them by id and text, so rows with null or repeated ids are judged by their
+own text, and equal rows alike. Null and empty texts are in no known language and go in the first stage; later stages keep them.
+An empty table stays empty. Very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -19,26 +21,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of linked documents."""
+    """One document of each group of linked documents: that of the smallest id, then of the smallest text hash; a null id comes last.
+
+    Of rows with that id and text, one stays: that of the smallest other columns. Texts without words are linked with nothing.
+    """
     found = common.stash(ngram_join.similarity_classes(docs), "classes")
-    grouped = found.where("n_shingles > 0")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    rejected = grouped.where(~first).select("doc_id", "th")
-    # rows that share the smallest id: that of the smallest text hash stays, once
-    twins = grouped.where(first).groupBy("root").agg(F.min("th").alias("stays"), F.count("*").alias("rows")).where("rows > 1")
-    twins = common.stash(twins, "twins")
-    if twins.isEmpty():
-        return common.without(docs, rejected)
-    others = grouped.where(first).join(twins, "root").where(F.col("th") != F.col("stays")).select("doc_id", "th")
-    kept = common.without(docs, rejected.unionByName(others)).withColumn("th", F.xxhash64("text"))
-    empty = kept.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$"))
-    full = kept.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$"))
-    return full.dropDuplicates(["doc_id", "th"]).unionByName(empty).select(*docs.columns)
+    grouped = common.stash(found.where("n_shingles > 0").groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")), "grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    best = common.stash(grouped.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("rows")), "best")
+    judged = common.spread_join(grouped, best, ["root"], ["doc_id", "th"], "inner")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+    kept = common.without(docs, judged.where(~stays).select("doc_id", "th"))
+    again = common.stash(judged.where(stays & (F.col("n") > 1)).select("doc_id", "th"), "again")
+    if again.isEmpty():
+        return kept
+    once = common.without(kept, again)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.xxhash64("d.text") == F.col("a.th"))
+    rows = kept.alias("d").join(again.alias("a"), same, "left_semi").withColumn("th", F.xxhash64("text"))
+    one = rows.groupBy("doc_id", "th").agg(F.min(F.struct(*others, "text")).alias("row"))
+    return once.unionByName(one.select("doc_id", "row.*").select(*docs.columns))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines and passages that an earlier one, or they themselves further up, have."""
-    kept = line_dedup.remove_repeats(docs, whole_lines=True)
+    kept = line_dedup.remove_repeats(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
