@@ -42,12 +42,15 @@ def banded_pairs(images: DataFrame, phash_most: int = 6, band_width: int = 4, dh
 
 
 def video_pairs(videos: DataFrame, most: int = 6) -> DataFrame:
-    """a, b of clips with similar signatures; met by whole seconds of length, not all with all."""
+    """a, b of clips with similar signatures; met by whole seconds of length and by shape, not all with all."""
     parsed = videos.select("id", scoring.video_signature(F.col("video_sig")).alias("sig")).where(F.col("sig").isNotNull())
-    left = parsed.select("id", "sig", F.explode(F.array(*(F.floor(F.col("sig.seconds")) + d for d in (-1, 0, 1)))).alias("second"))
-    right = parsed.select("id", "sig", F.floor("sig.seconds").alias("second"))
+    # shapes that agree within one in a hundred are in the same step of a twentieth of their logarithm, or in the next
+    shape = F.floor(20 * F.ln(F.try_divide(F.col("sig.width"), F.col("sig.height"))))
+    near = lambda c: F.array(c - 1, c, c + 1)
+    left = parsed.select("id", "sig", F.explode(near(F.floor(F.col("sig.seconds")))).alias("second"), shape.alias("shape")).withColumn("shape", F.explode(near(F.col("shape"))))
+    right = parsed.select("id", "sig", F.floor("sig.seconds").alias("second"), shape.alias("shape"))
     a, b = left.alias("a"), right.alias("b")
-    return a.join(b, (F.col("a.second") == F.col("b.second")) & (F.col("a.id") < F.col("b.id")) & scoring.videos_similar(F.col("a.sig"), F.col("b.sig"), most)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return a.join(b, (F.col("a.second") == F.col("b.second")) & (F.col("a.shape") == F.col("b.shape")) & (F.col("a.id") < F.col("b.id")) & scoring.videos_similar(F.col("a.sig"), F.col("b.sig"), most)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def without_edits(pairs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dovetail.functions import names, paths, scoring
+from dovetail.sources import shared
 
 
 def match_sidecars(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     """dir, json_name, media_name, method, reason for each sidecar (dir, json_name) among the media (dir, media_name) of its directory.
 
     A numbered sidecar only ever names the numbered file. Others name the file itself, or else the only file that begins
-    with what is left of a name that was cut short. All joins are on the directory and a name or its first letters.
+    with what is left of a name that was cut short: its first letters, as many as some name of its directory has left.
+    All joins are on the directory and a name or its first letters.
     """
     parsed = sidecars.select("dir", "json_name", names.sidecar_name(F.col("json_name")).alias("p")).where(F.col("p").isNotNull())
     wanted = F.when(F.col("p.number").isNull(), F.col("p.base")).otherwise(names.numbered(F.col("p.base"), F.col("p.number")))
-    parsed = parsed.select("dir", "json_name", F.col("p.number").alias("number"), wanted.alias("wanted"))
+    # stored, as the name's expressions are long and each join would take them up again
+    parsed = shared.stash(parsed.select("dir", "json_name", F.col("p.number").alias("number"), wanted.alias("wanted")), "sidecar-names")
     files = media.select("dir", "media_name").distinct()
     direct = parsed.join(files.withColumnRenamed("media_name", "wanted").withColumn("found", F.lit(True)), ["dir", "wanted"], "left")
     cut = direct.where(F.col("found").isNull() & F.col("number").isNull())
-    prefix = cut.alias("c").join(files.alias("f"), (F.col("c.dir") == F.col("f.dir")) & F.startswith("f.media_name", F.col("c.wanted")))
-    longer = prefix.groupBy("c.dir", "c.json_name").agg(F.count("*").alias("n"), F.min("f.media_name").alias("only")).select("dir", "json_name", "n", "only")
+    lengths = cut.select("dir", F.char_length("wanted").alias("size")).distinct()
+    begins = files.join(lengths, "dir").select("dir", "media_name", F.substring("media_name", F.lit(1), F.col("size")).alias("wanted"))
+    prefix = cut.select("dir", "json_name", "wanted").join(begins, ["dir", "wanted"])
+    longer = prefix.groupBy("dir", "json_name").agg(F.count("*").alias("n"), F.min("media_name").alias("only"))
     joined = direct.join(longer, ["dir", "json_name"], "left")
     method = F.when(F.col("found"), F.when(F.col("number").isNull(), "exact").otherwise("numbered")).when(F.col("n") == 1, "truncation").otherwise("unmatched")
     name = F.when(F.col("found"), F.col("wanted")).when(F.col("n") == 1, F.col("only"))

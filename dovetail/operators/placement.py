@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dovetail.functions import dates, names, paths
@@ -106,8 +106,9 @@ def sidecar_assignments(rows: DataFrame, namespace: str = "XMP-pipeline") -> Dat
 
 def space_needed(placed: DataFrame, margin_percent: float = 15.0) -> DataFrame:
     """Bytes to copy: of what is archived, and of one file of each quarantined content; and with the margin."""
-    first = Window.partitionBy("sha256").orderBy("source", "rel_path", "id")
-    quarantined = placed.where("disposition = 'quarantine'").withColumn("rn", F.row_number().over(first)).where("rn = 1").select("size_bytes")
-    sums = placed.where("disposition = 'archive'").agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("archive_bytes")).crossJoin(quarantined.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("quarantine_bytes")))  # one row each
+    quarantined = placed.where("disposition = 'quarantine'").groupBy("sha256").agg(F.min_by("size_bytes", F.struct("source", "rel_path", "id")).alias("size_bytes"))
+    each = placed.where("disposition = 'archive'").select("size_bytes", F.lit(True).alias("archive")).unionByName(quarantined.select("size_bytes", F.lit(False).alias("archive")))
+    of = lambda archive: F.coalesce(F.sum(F.when(F.col("archive") == archive, F.col("size_bytes"))), F.lit(0))
+    sums = each.agg(of(True).alias("archive_bytes"), of(False).alias("quarantine_bytes"))
     need = (F.col("archive_bytes") + F.col("quarantine_bytes")) * (1 + margin_percent / 100)
     return sums.select("archive_bytes", "quarantine_bytes", need.cast("bigint").alias("required_bytes"))

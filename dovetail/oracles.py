@@ -67,10 +67,6 @@ _PLANNED = (
 )
 
 
-def _with(*parts: str) -> str:
-    return "WITH RECURSIVE " + ", ".join((_INST, *parts)) + " "
-
-
 _TOPICS = "CASE id % 7 WHEN 3 THEN ['topical', 'vac' || (id % 13)] WHEN 5 THEN ['card_' || replace(od, '-', '')] WHEN 6 THEN ['misc'] ELSE [] END"
 _PAIRS = """bands AS (SELECT id, phash, dhash, width, height, i, substr(phash, 13 - 4 * i, 4) AS v FROM inst, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE kind = 'image' {rep}),
   pairs AS (SELECT DISTINCT a.id AS a, b.id AS b, bit_count(xor(('0x' || a.phash)::UBIGINT, ('0x' || b.phash)::UBIGINT))::BIGINT AS d_phash, bit_count(xor(('0x' || a.dhash)::UBIGINT, ('0x' || b.dhash)::UBIGINT))::BIGINT AS d_dhash
@@ -78,6 +74,66 @@ _PAIRS = """bands AS (SELECT id, phash, dhash, width, height, i, substr(phash, 1
 _CLIPS = """clips AS (SELECT id, string_split(video_sig, ':') AS p FROM inst WHERE kind = 'video' {rep}),
   clip_pairs AS (SELECT a.id AS a, b.id AS b FROM clips a JOIN clips b ON a.id < b.id AND abs(CAST(replace(a.p[1], 's', '') AS INT) - CAST(replace(b.p[1], 's', '') AS INT)) <= 1
     AND bit_count(xor(('0x' || a.p[3])::UBIGINT, ('0x' || b.p[3])::UBIGINT)) <= 6 AND bit_count(xor(('0x' || a.p[4])::UBIGINT, ('0x' || b.p[4])::UBIGINT)) <= 6)"""
+#: The inventory with RAW and JPEG pairs, and its duplicate clusters: pairs, what they take in, and components over the rest.
+_RAW = "kind = 'image' AND id % 20 IN (4, 5)"
+_RAWS = (
+    f"inst0 AS MATERIALIZED ({duckdb_select()})",
+    f"""inst AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {_RAW} THEN 'raws/b' || (id // 20) ELSE dir END AS dir, CASE WHEN {_RAW} THEN 'raws/b' || (id // 20) || CASE WHEN id % 20 = 4 THEN '/shot.DNG' ELSE '/shot.jpg' END ELSE rel_path END AS rel_path,
+      CASE WHEN id % 4 <> 0 THEN exif_dto END AS exif_dto) FROM inst0)""",
+)
+_RAW_RULED = _RULED.replace("dated AS (", "dated0 AS (", 1).replace(
+    ", massed AS (",
+    f", dated AS (SELECT * REPLACE (CASE WHEN NOT ({_RAW}) THEN fd END AS fd, CASE WHEN NOT ({_RAW}) THEN fp END AS fp, CASE WHEN NOT ({_RAW}) THEN nd END AS nd, CASE WHEN NOT ({_RAW}) THEN np END AS np) FROM dated0), massed AS (",
+    1,
+)
+_CLUSTERS = (
+    f"""pr AS (SELECT a.id AS w, a.source, a.rel_path, b.id AS c, 'pair_raw_jpeg' AS k, 0 AS o FROM resolved a JOIN resolved b ON b.id = a.id - 1 WHERE a.id % 20 = 5
+      UNION ALL SELECT a.id, a.source, a.rel_path, b.id, 'pair_live', 1 FROM resolved a JOIN resolved b ON a.content_id = b.content_id AND a.kind = 'image' AND b.kind = 'video'),
+  hv AS (SELECT *, w AS id, 'winner' AS fr FROM pr UNION ALL SELECT *, c, 'companion' FROM pr),
+  ab AS (SELECT m.id, arg_min(h.w, (h.o, h.source, h.rel_path, h.w)) AS w, arg_min(h.k, (h.o, h.source, h.rel_path, h.w)) AS k FROM resolved m JOIN resolved x ON x.sha256 = m.sha256 JOIN hv h ON h.id = x.id WHERE m.id NOT IN (SELECT id FROM hv) GROUP BY m.id),
+  pm AS (SELECT w, k, id, fr FROM hv UNION ALL SELECT w, k, id, 'loser' FROM ab),
+  rest AS MATERIALIZED (SELECT * FROM resolved WHERE id NOT IN (SELECT id FROM pm))""",
+    _PAIRS.format(rep="AND id IN (SELECT arg_min(id, (source, rel_path, id)) FROM rest GROUP BY sha256)"),
+    _CLIPS.format(rep="AND id IN (SELECT arg_min(id, (source, rel_path, id)) FROM rest GROUP BY sha256)"),
+    f"""links AS (SELECT a, b, d_phash > 6 AS weak FROM pairs WHERE d_phash <= 10 AND d_dhash <= 8 UNION ALL SELECT a, b, true FROM clip_pairs),
+  copies AS (SELECT first_value(id) OVER (PARTITION BY sha256 ORDER BY source, rel_path, id) AS a, id AS b FROM rest),
+  e AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT a, b FROM copies WHERE a <> b UNION SELECT b, a FROM copies WHERE a <> b),
+  cc(node, label) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, cc.label FROM cc JOIN e ON e.a = cc.node),
+  cm AS (SELECT node AS id, min(label) AS cid FROM cc GROUP BY node),
+  ck AS (SELECT cid, CASE WHEN count(DISTINCT sha256) = 1 THEN 'exact' WHEN bool_or(kind = 'video') THEN 'near_video' ELSE 'near_image' END AS k, bool_or(id IN (SELECT a FROM links WHERE weak UNION SELECT b FROM links WHERE weak)) AS weak FROM cm JOIN rest USING (id) GROUP BY cid),
+  mem AS (SELECT min(id) OVER (PARTITION BY w) AS cid, k, false AS weak, id, fr FROM pm UNION ALL SELECT cid, k, weak, id, NULL FROM cm JOIN ck USING (cid)),
+  sc AS (SELECT r.*, m.cid, m.k, m.weak, m.fr, round({_SCORE.format(trusted="ok")}, 4) AS score FROM resolved r JOIN mem m USING (id)),
+  rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY {_ORDER}) AS rk, lead(score) OVER (PARTITION BY cid ORDER BY {_ORDER}) AS nxt FROM sc),
+  peo AS MATERIALIZED (SELECT *, coalesce(fr, CASE WHEN rk = 1 THEN 'winner' ELSE 'loser' END) AS role FROM rk),
+  best AS (SELECT * FROM rk WHERE rk = 1),
+  gr AS (SELECT b.cid, CASE WHEN b.k LIKE 'pair%' THEN '' ELSE array_to_string(list_filter([CASE WHEN b.k = 'near_video' AND b.score - b.nxt < 0.5 THEN 'score_margin' END,
+      CASE WHEN b.k <> 'exact' AND bool_or(m.id <> b.id AND m.kind = b.kind AND abs(m.width / m.height::DOUBLE - b.width / b.height::DOUBLE) / greatest(m.width / m.height::DOUBLE, b.width / b.height::DOUBLE) > 0.01) THEN 'aspect_mismatch' END,
+      CASE WHEN b.trust = 'takeout' AND bool_or(m.id <> b.id AND m.trust = 'curated' AND m.width = b.width AND m.height = b.height) THEN 'takeout_winner_over_curated' END,
+      CASE WHEN b.weak THEN 'possible_duplicate_band' END, CASE WHEN b.k = 'near_video' THEN 'video_never_auto' END], lambda x: x IS NOT NULL), ';') END AS guardrails
+      FROM best b JOIN rk m USING (cid) GROUP BY b.cid, b.k, b.score, b.nxt, b.trust, b.id, b.kind, b.width, b.height, b.weak),
+  dq0 AS (SELECT *, rd IS NOT NULL AS has, rd IS NOT NULL AND kind <> 'video' AND NOT (rs = 'folder' AND trust <> 'curated') AS rel FROM rk),
+  dq AS (SELECT *, CASE WHEN max(rel) OVER (PARTITION BY cid) THEN rel ELSE has END AS pool, CASE rp WHEN 'second' THEN 19 WHEN 'day' THEN 10 WHEN 'month' THEN 7 ELSE 4 END AS chars,
+    CASE WHEN rs = 'folder' AND trust <> 'curated' THEN 1.5 WHEN rs = 'folder' THEN 4 WHEN rs = 'exif' THEN 3 WHEN rs = 'takeout_json' THEN 2 WHEN rs = 'filename' THEN 1 ELSE 0 END AS pri FROM dq0),
+  dw AS (SELECT cid, arg_max(id, (pri, chars, rel_path)) FILTER (WHERE pool) AS wid, bool_and(has) AS all_has, bool_or(has) AS any_has FROM dq GROUP BY cid),
+  dx AS (SELECT dw.*, b.rd, b.rp, b.rs, coalesce((SELECT bool_or(substr(q.rd, 1, least(10, q.chars, b.chars)) <> substr(b.rd, 1, least(10, q.chars, b.chars))) FROM dq q WHERE q.cid = dw.cid AND q.pool), false) AS differs FROM dw LEFT JOIN dq b ON b.id = dw.wid),
+  clu AS MATERIALIZED (SELECT g.cid, b.k, g.guardrails, x.rd AS date, x.rp AS precision, x.rs AS date_source, CASE WHEN NOT any_has THEN 'date_unresolved' ELSE array_to_string(list_filter([CASE WHEN differs THEN 'date_disagreement' END, CASE WHEN NOT all_has THEN 'date_unresolved_members' END], lambda f: f IS NOT NULL), ';') END AS date_flags,
+    CASE WHEN g.guardrails = '' AND NOT (NOT any_has OR differs) THEN 'auto' ELSE 'pending' END AS status, (SELECT p.id FROM peo p WHERE p.cid = g.cid AND p.role = 'winner') AS winner_id FROM gr g JOIN best b USING (cid) JOIN dx x USING (cid))""",
+)
+_PLACED = (
+    f"""roled AS (SELECT i.* , CASE WHEN p.role = 'winner' AND c.date IS NOT NULL THEN c.date ELSE r.rd END AS rd, CASE WHEN p.role = 'winner' AND c.date IS NOT NULL THEN c.precision ELSE r.rp END AS rp, p.cid AS cluster_id, p.role
+    FROM inst i LEFT JOIN resolved r ON r.id = i.id LEFT JOIN peo p ON p.id = i.id LEFT JOIN clu c ON c.cid = p.cid)""",
+    _PLANNED[_PLANNED.index("reasoned AS (") :],
+)
+
+
+def _with_clusters(*parts: str) -> str:
+    return "WITH RECURSIVE " + ", ".join((*_RAWS, _RAW_RULED, *_CLUSTERS, *parts)) + " "
+
+
+def _with(*parts: str) -> str:
+    return "WITH RECURSIVE " + ", ".join((_INST, *parts)) + " "
+
+
 _REP = "AND id IN (SELECT arg_min(id, (source, rel_path, id)) FROM inst WHERE kind IN ('image', 'video') GROUP BY sha256)"
 
 SQL: dict[str, str] = {
@@ -162,9 +218,9 @@ SQL: dict[str, str] = {
     "raw_jpeg_pairs": _with() + "SELECT a.id AS raw_id, a.id + 1 AS jpeg_id FROM inst a JOIN inst b ON b.id = a.id + 1 WHERE a.id % 4 = 0 AND a.kind = 'image' AND b.kind = 'image'",
     "live_pairs": _with() + "SELECT a.id AS image_id, b.id AS video_id FROM inst a JOIN inst b ON a.content_id = b.content_id WHERE a.kind = 'image' AND b.kind = 'video'",
     "absorbed_copies": _with(_MEDIA, "h AS (SELECT a.id AS w, x.id FROM inst a JOIN inst b ON a.content_id = b.content_id AND a.kind = 'image' AND b.kind = 'video', media x WHERE x.id IN (a.id, b.id))") + "SELECT min(h.w) AS winner_id, m.id FROM media m JOIN media k ON k.sha256 = m.sha256 JOIN h ON h.id = k.id WHERE m.id NOT IN (SELECT id FROM h) GROUP BY m.id",
-    "placement_plan": _with(_PLANNED) + "SELECT id, disposition, reason, dest AS dest_rel_path, disposition = 'archive' AND mime NOT IN ('image/jpeg', 'image/png', 'image/tiff', 'image/heic', 'image/heif') AS use_sidecar, winner_dest FROM won",
-    "quarantine_index": _with(_PLANNED) + "SELECT sha256, arg_min(dest, (source, rel_path, id)) AS dest_rel_path, array_to_string(list_sort(list(source || ':' || rel_path)), ';') AS sources, arg_min(reason, (source, rel_path, id)) AS reason, (list(winner_dest ORDER BY source, rel_path, id))[1] AS winner_dest FROM won WHERE disposition = 'quarantine' GROUP BY sha256",
-    "space_needed": _with(_PLANNED, "a AS (SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS n FROM won WHERE disposition = 'archive'), q AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (SELECT arg_min(size_bytes, (source, rel_path, id)) AS n FROM won WHERE disposition = 'quarantine' GROUP BY sha256) x)") + "SELECT a.n AS archive_bytes, q.n AS quarantine_bytes, CAST(floor((a.n + q.n) * 1.15::DOUBLE) AS BIGINT) AS required_bytes FROM a, q",
+    "placement_plan": _with_clusters(*_PLACED) + "SELECT id, disposition, reason, dest AS dest_rel_path, disposition = 'archive' AND mime NOT IN ('image/jpeg', 'image/png', 'image/tiff', 'image/heic', 'image/heif') AS use_sidecar, winner_dest FROM won",
+    "quarantine_index": _with_clusters(*_PLACED) + "SELECT sha256, arg_min(dest, (source, rel_path, id)) AS dest_rel_path, array_to_string(list_sort(list(source || ':' || rel_path)), ';') AS sources, arg_min(reason, (source, rel_path, id)) AS reason, (list(winner_dest ORDER BY source, rel_path, id))[1] AS winner_dest FROM won WHERE disposition = 'quarantine' GROUP BY sha256",
+    "space_needed": _with_clusters(*_PLACED, "a AS (SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS n FROM won WHERE disposition = 'archive'), q AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (SELECT arg_min(size_bytes, (source, rel_path, id)) AS n FROM won WHERE disposition = 'quarantine' GROUP BY sha256) x)") + "SELECT a.n AS archive_bytes, q.n AS quarantine_bytes, CAST(floor((a.n + q.n) * 1.15::DOUBLE) AS BIGINT) AS required_bytes FROM a, q",
     "keyword_map_apply": _with() + "SELECT id, CASE id % 7 WHEN 3 THEN CASE id % 13 WHEN 1 THEN 'subject' WHEN 2 THEN 'holiday;subject' ELSE 'subject;vac' || (id % 13) END WHEN 5 THEN 'card_' || replace(od, '-', '') WHEN 6 THEN 'misc' ELSE '' END AS keywords FROM inst",
     "reconcile_moves": _with(_MEDIA, _MOVED)
     + "SELECT p.id, d.rel AS new_rel, CASE p.id % 6 WHEN 1 THEN '2024-01-01' WHEN 4 THEN '2024-01-01' END AS folder_date, CASE p.id % 6 WHEN 2 THEN '2004-2006' WHEN 3 THEN 'undated' END AS bucket, CASE p.id % 6 WHEN 1 THEN 'caves' WHEN 4 THEN 'topical' ELSE '' END AS keywords, CASE WHEN p.id % 6 IN (2, 3) THEN CASE WHEN p.date IS NULL THEN 'keep' ELSE 'demote' END WHEN p.date IS NULL THEN 'correct' WHEN p.id % 6 = 1 THEN CASE WHEN substr(p.date, 1, 4) = '2024' THEN 'keep' ELSE 'correct' END ELSE CASE WHEN substr(p.date, 1, 7) = '2024-01' THEN 'keep' ELSE 'correct' END END AS action FROM placed p JOIN disk d USING (id) WHERE p.id % 6 <> 0",
@@ -197,5 +253,45 @@ SQL: dict[str, str] = {
       s AS (SELECT d.*, k = 4 AS named, least(1.0, 0.6 * coalesce(matched, 0) / media_count::DOUBLE + CASE WHEN k = 4 THEN 0.5 ELSE 0 END + CASE WHEN descriptor THEN 0.3 ELSE 0 END + 0.2 * rec / media_count::DOUBLE) AS signal FROM d LEFT JOIN m USING (source, dir))""",
     )
     + "SELECT source, dir, media_count, sidecar_count, named AS name_signature, descriptor, CASE WHEN k = 3 THEN 'curated' WHEN k = 6 OR round(signal, 4) >= 0.5 THEN 'takeout_derived' ELSE 'curated' END AS classification, CASE k WHEN 3 THEN 'config:curated' WHEN 6 THEN 'config:takeout_derived' END AS override FROM s",
+    "dedup_plan": _with_clusters() + "SELECT p.cid AS cluster_id, p.id, p.role, c.k AS cluster_kind, c.status, c.guardrails, c.date, c.precision, c.date_source, c.date_flags FROM peo p JOIN clu c USING (cid)",
+    "dedup_facts": _with_clusters(
+        "w AS (SELECT *, CASE WHEN taken IS NOT NULL THEN id / 100.0::DOUBLE END AS side, CASE WHEN id % 6 = 0 THEN 'd' || id % 4 END AS said FROM rk)",
+        f"words AS (SELECT cid, unnest(CASE WHEN {_RAW} THEN ['raws', 'b' || (id // 20)] ELSE {_TOPICS} END) AS word FROM rk UNION SELECT cid, 'album' || id % 3 FROM rk WHERE id % 10 = 7)",
+        "g AS (SELECT cid, arg_min(coalesce(gps_lat, side), (CASE WHEN gps_lat IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN rk = 1 THEN 0 ELSE 1 END, id)) FILTER (WHERE gps_lat IS NOT NULL OR side IS NOT NULL) AS lat, CASE WHEN bool_or(gps_lat IS NOT NULL) THEN 'exif' WHEN bool_or(side IS NOT NULL) THEN 'takeout' END AS gps_source, coalesce(array_to_string(list_sort(list(DISTINCT said) FILTER (WHERE said IS NOT NULL)), ';'), '') AS descriptions, count(*) AS n FROM w GROUP BY cid)",
+    )
+    + "SELECT g.cid AS cluster_id, c.winner_id, g.lat, g.gps_source, g.descriptions, coalesce((SELECT string_agg(DISTINCT word, ';' ORDER BY word) FROM words WHERE words.cid = g.cid), '') AS keywords, g.n FROM g JOIN clu c USING (cid)",
+    "cluster_audit": _with_clusters() + "SELECT c.cid AS cluster_id, c.k AS cluster_kind, c.status, i.rel_path AS winner FROM clu c JOIN inst i ON i.id = c.winner_id ORDER BY CASE WHEN c.status = 'pending' THEN 0 ELSE 1 END, c.k, i.rel_path, c.cid LIMIT 200",
+    "pending_clusters": _with_clusters() + "SELECT c.cid AS cluster_id, c.k AS cluster_kind, c.winner_id, i.rel_path AS winner_path, (SELECT count(*) FROM peo WHERE peo.cid = c.cid) AS members FROM clu c JOIN inst i ON i.id = c.winner_id WHERE c.status = 'pending'",
+    "cluster_member_places": _with_clusters() + "SELECT cid AS cluster_id, id, CAST(row_number() OVER (PARTITION BY cid ORDER BY CASE WHEN id % 9 <> 0 THEN score END DESC NULLS LAST, id) AS INT) AS place, source, size_bytes FROM peo",
+    "replaced_clusters": _with_clusters() + "SELECT cid AS cluster_id, id, cid % 3 = 0 AS reviewed FROM peo",
+    "locked_dates": _with(
+        "m AS (SELECT id, taken, artifact FROM inst WHERE kind IN ('image', 'video') AND source <> 'LOCAL')",
+        "r AS (SELECT id, taken, artifact FROM m UNION ALL SELECT id + 1000000, taken, artifact FROM m WHERE id % 3 = 0)",
+    )
+    + "SELECT id, CASE WHEN id % 10 = 0 THEN '1999-01-01' WHEN NOT artifact THEN taken END AS resolved_date, CASE WHEN id % 10 = 0 THEN 'review' WHEN NOT artifact AND taken IS NOT NULL THEN 'takeout_json' END AS resolved_source, CASE WHEN id % 10 = 0 THEN 'reviewed' WHEN NOT artifact AND taken IS NOT NULL THEN 'auto' ELSE 'conflict' END AS status FROM r",
+    "raw_fields": _with()
+    + """SELECT id, CASE WHEN id % 19 <> 0 THEN mime END AS mime, CASE WHEN id % 19 <> 0 AND id % 3 = 0 THEN od || 'T10:11:12' END AS exif_dto, CASE WHEN id % 19 <> 0 THEN id / 4.0::DOUBLE END AS gps_lat, CASE WHEN id % 19 <> 0 AND id % 5 <> 0 THEN 'Acme' END AS camera_make,
+      CASE WHEN id % 19 <> 0 THEN CAST(2 + CASE WHEN id % 3 <> 2 THEN 1 ELSE 0 END + CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 4 <> 3 THEN 1 ELSE 0 END + CASE WHEN id % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) END AS tags,
+      CASE WHEN id % 19 <> 0 THEN width END AS width, CASE WHEN id % 19 <> 0 THEN height END AS height, CASE WHEN id % 19 <> 0 AND id % 17 = 0 THEN 'broken' END AS error FROM inst""",
+    "exif_candidates": _with() + "SELECT id, CASE WHEN id % 3 = 0 THEN '2001-02-03T04:05:06' WHEN id % 19 <> 0 AND id % 4 <> 3 THEN od || 'T10:11:12' END AS date, id % 3 <> 0 AND id % 19 <> 0 AND id % 4 <> 3 AS from_create_date FROM inst",
+    "direct_children": _with() + "SELECT id, rel_path FROM inst WHERE source = 'LOCAL' AND dir = 'topical/vac3'",
+    "pending_sidecars": _with() + "SELECT id, CASE WHEN id % 2 = 0 THEN 'date' ELSE 'keywords' END AS reason, 'a/' || id AS rel, CASE WHEN id % 2 = 0 THEN od END AS date, CASE WHEN id % 6 = 0 THEN 'a;b' ELSE '' END AS keywords FROM inst WHERE id % 3 = 0 AND id % 5 <> 0 AND id % 11 <> 0 AND id % 4 <> 1 AND id % 7 <> 0",
+    "manifests": _with(_FAULTS) + "SELECT i.source, i.rel_path, b.dest AS dest_rel_path, 'a;' || i.source AS keywords FROM book b JOIN inst i USING (id) WHERE b.disposition = 'archive'",
+    "tag_facts": _with()
+    + """SELECT id, array_to_string(list_filter([CASE WHEN id % 6 = 0 THEN 'unreadable_metadata' END, CASE WHEN id % 5 = 0 AND kind <> 'other' THEN 'mime_from_extension' END, CASE WHEN size_bytes = 0 THEN 'zero_byte' END, CASE WHEN kind = 'image' AND id % 2 <> 0 THEN 'corrupt' END, CASE WHEN id % 13 = 0 THEN 'no_video' END], lambda x: x IS NOT NULL), ';') AS flags,
+      CAST(CASE WHEN id % 4 = 0 THEN 3 ELSE 2 END AS BIGINT) AS richness, 'c' || id AS identifier, mime = 'image/jpeg' AND id % 4 <> 0 AND id % 3 = 0 AS recompressed,
+      CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'Trip' ELSE regexp_extract(dir, '[^/]*$') END WHEN id % 7 <> 4 THEN regexp_extract(dir, '[^/]*$') END AS album FROM inst""",
+    "stored_rows": _with() + "SELECT id, source, size_bytes FROM inst WHERE CASE WHEN source = 'LOCAL' THEN id % 8 = 0 ELSE id % 4 <= 2 END",
+    "reviewed_dates": _with(_RULED)
+    + """SELECT id, CASE WHEN typed THEN '1987-06-01' WHEN got IS NOT NULL THEN got ELSE rd END AS resolved_date, CASE WHEN typed THEN 'month' WHEN got IS NULL THEN rp WHEN which = 'folder' THEN 'year' WHEN which = 'filename' THEN 'day' ELSE 'second' END AS resolved_precision,
+      CASE WHEN typed THEN 'review' WHEN got IS NULL THEN rs ELSE which END AS resolved_source, CASE WHEN typed OR got IS NOT NULL THEN 'reviewed' ELSE st END AS status, CASE WHEN id % 10 = 4 THEN 'pre-2000' END AS bucket
+      FROM (SELECT *, id % 7 = 1 AND id % 2 = 0 AS typed, CASE which WHEN 'exif' THEN exif_dto WHEN 'folder' THEN '2001-01-01' WHEN 'takeout_json' THEN taken WHEN 'filename' THEN '2002-02-02' END AS got
+      FROM (SELECT *, CASE id % 12 WHEN 0 THEN 'exif' WHEN 3 THEN 'folder' WHEN 6 THEN 'takeout_json' WHEN 9 THEN 'filename' END AS which FROM resolved) x) y""",
+    "match_rates": _with(_MEDIA) + "SELECT source, count(taken) AS matched, CAST(floor(1000.0 * count(taken) / count(*)) AS BIGINT) AS per_mille, (SELECT greatest(count(*) - 10, 0) FROM media WHERE taken IS NULL) AS not_shown FROM media GROUP BY source",
     "audit_sample": "SELECT CAST(least(200, count(*)) AS BIGINT) AS n FROM documents",
 }
+
+SQL["verify_json"] = (
+    "WITH c AS (" + SQL["bytes_by_disposition"] + "), f AS (" + SQL["discrepancy_union"] + """)
+SELECT to_json({'passed': false, 'counts': (SELECT list({'disposition': disposition, 'n': n, 'bytes': bytes} ORDER BY disposition) FROM c), 'discrepancies': (SELECT list({'kind': kind, 'subject': CAST(n AS VARCHAR)} ORDER BY kind) FROM f)})::VARCHAR AS report"""
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from dovetail.sources import shared
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds and policies, with their defaults."""
+    """Thresholds and policies, with their defaults. Unknown names and overrides that contradict each other are errors."""
 
     phash_most: int = 6
     band_width: int = 4
@@ -26,6 +26,22 @@ class Settings:
     folder_patterns: tuple[str, ...] = dates.FOLDER_PATTERNS
     filename_patterns: tuple[str, ...] = dates.FILENAME_PATTERNS
     camera_years: tuple[tuple[str, int], ...] = ()
+    prefer_raw: bool = False
+    curated: tuple[str, ...] = ()
+    derived: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        both = sorted(set(self.curated) & set(self.derived))
+        if both:
+            raise ValueError(f"prefixes in both lists of overrides: {', '.join(both)}")
+
+    @classmethod
+    def of(cls, values: dict) -> Settings:
+        """From plain values, such as those of a settings file."""
+        unknown = sorted(set(values) - {f.name for f in fields(cls)})
+        if unknown:
+            raise ValueError(f"unknown settings: {', '.join(unknown)}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
 
 
 def date_candidates(media: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -37,7 +53,8 @@ def date_candidates(media: DataFrame, settings: Settings = Settings()) -> DataFr
     folder = dates.folder_candidate(F.col("rel_path"), settings.folder_patterns)
     name = dates.filename_candidate(F.col("rel_path"), settings.filename_patterns)
     found = marked.withColumns({"folder": folder, "filename": name})
-    flags = dates.exif_flags(F.col("exif_dto"), F.lit(False), F.col("mime"), year, F.col("folder.date"), F.col("folder.precision"), F.col("mass_identical"))
+    created = F.col("from_create_date") if "from_create_date" in media.columns else F.lit(False)
+    flags = dates.exif_flags(F.col("exif_dto"), created, F.col("mime"), year, F.col("folder.date"), F.col("folder.precision"), F.col("mass_identical"))
     return found.withColumns({"exif_flags": flags, "curated": F.col("trust") == "curated"})
 
 
@@ -49,6 +66,20 @@ def resolved(media: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return r.select("*", F.col("r.date").alias("resolved_date"), F.col("r.precision").alias("resolved_precision"), F.col("r.source").alias("resolved_source"), "r.status", "r.confidence", "r.rule").drop("r")
 
 
+def resolved_again(media: DataFrame, edits: DataFrame, sidecars: DataFrame, before: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """As ``resolved``, with an edited file's date from its original's sidecar where it has none, and rows of ``before`` that a person has reviewed kept.
+
+    ``sidecars`` (media_id, taken, artifact); ``before`` (id, resolved_date, resolved_precision, resolved_source, status, confidence, rule).
+    """
+    found = resolved(linkage.through_edits(media.drop("taken", "artifact"), sidecars, edits), settings)
+    if before is None:
+        return found
+    columns = ["resolved_date", "resolved_precision", "resolved_source", "status", "confidence", "rule"]
+    kept = before.where("status = 'reviewed'").select("id", F.struct(*columns).alias("kept"))
+    joined = found.join(kept, "id", "left")
+    return joined.withColumns({c: F.when(F.col("kept").isNotNull(), F.col(f"kept.{c}")).otherwise(F.col(c)) for c in columns}).drop("kept")
+
+
 def near_clusters(media: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """id, cluster_id, cluster_kind, weak: exact copies, near images and near clips as components of their links."""
     first = duplicates.representatives(media)
@@ -76,9 +107,14 @@ def exact_roles(media: DataFrame) -> DataFrame:
 
 
 def placements(media: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The plan of every file of the inventory."""
-    roles = exact_roles(resolved(media, settings))
-    flagged = roles.withColumns({"flags": F.when(F.col("size_bytes") == 0, F.array(F.lit("zero_byte"))).otherwise(F.array().cast("array<string>")), "edited": F.lit(False), "bucket": F.lit(None).cast("string")})
+    """The plan of every file of the inventory, over the clusters of the duplicate stage."""
+    from dovetail.plans import dedup
+
+    found = shared.stash(resolved(media, settings), "resolved")
+    people, clusters = dedup.plan(found, settings)
+    rows = dedup.placed(found, people, clusters)
+    empty = F.when(F.col("size_bytes") == 0, F.array(F.lit("zero_byte"))).otherwise(F.array().cast("array<string>"))
+    flagged = rows.withColumns({"flags": empty, "bucket": F.lit(None).cast("string")})
     return placement.plan(flagged, settings.undated, settings.quarantine_edits)
 
 

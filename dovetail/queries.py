@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dovetail.functions import dates, names, paths, scoring
-from dovetail.operators import duplicates, linkage, placement, reconcile, review, stats, verify
-from dovetail.plans import stages
-from dovetail.sources import files, store
+from dovetail.functions import dates, metadata, names, paths
+from dovetail.operators import duplicates, linkage, placement, reconcile, reports, review, stats, verify
+from dovetail.plans import dedup, stages
+from dovetail.sources import files, shared, store
 from dovetail.sources.instances import instances
 
 _MEDIA = "kind in ('image', 'video')"
@@ -287,20 +289,206 @@ def absorbed_copies(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.absorb(duplicates.pair_live(m).select(F.col("image_id").alias("winner_id"), F.col("video_id").alias("companion_id")), m)
 
 
+def _with_raws(spark: SparkSession, d: str) -> DataFrame:
+    """The inventory with a RAW and JPEG pair in every block of twenty; RAW files have no camera date."""
+    inv = instances(spark, d)
+    raw = (F.col("kind") == "image") & (F.col("id") % 20).isin(4, 5)
+    folder = F.concat(F.lit("raws/b"), F.floor(F.col("id") / 20).cast("string"))
+    name = F.concat(folder, F.when(F.col("id") % 20 == 4, "/shot.DNG").otherwise("/shot.jpg"))
+    return inv.withColumns({"dir": F.when(raw, folder).otherwise(F.col("dir")), "rel_path": F.when(raw, name).otherwise(F.col("rel_path")), "exif_dto": F.when(F.col("id") % 4 != 0, F.col("exif_dto"))})
+
+
+def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resolved files, members and clusters of the duplicate stage."""
+    found = shared.stash(stages.resolved(_with_raws(spark, d)), "resolved")
+    side = {"side_lat": F.when(F.col("taken").isNotNull(), F.col("id") / 100.0), "side_lon": F.lit(1.0), "description": F.when(F.col("id") % 6 == 0, F.concat(F.lit("d"), (F.col("id") % 4).cast("string")))}
+    albums = found.where("id % 10 = 7").select("id", F.concat(F.lit("album"), (F.col("id") % 3).cast("string")).alias("album"))
+    people, clusters = dedup.plan(found.withColumns(side), albums=albums)
+    return found, shared.stash(people, "people"), shared.stash(clusters, "clusters")
+
+
+@query
+def dedup_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Every file in a cluster: its role, and what the cluster's status and date are."""
+    _, people, clusters = _clustered(spark, d)
+    of = clusters.select("cluster_id", "cluster_kind", "status", F.array_join("guardrails", ";").alias("guardrails"), "date", "precision", F.col("source").alias("date_source"), F.array_join("flags", ";").alias("date_flags"))
+    return people.select("cluster_id", "id", "role").join(of, "cluster_id")
+
+
+@query
+def dedup_facts(spark: SparkSession, d: str) -> DataFrame:
+    clusters = _clustered(spark, d)[2]
+    return clusters.select("cluster_id", "winner_id", "lat", "gps_source", F.array_join("descriptions", ";").alias("descriptions"), F.array_join("keywords", ";").alias("keywords"), F.size("merged_from").cast("bigint").alias("n"))
+
+
+@query
+def cluster_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the clusters to look at first; a top-k report."""
+    found, people, clusters = _clustered(spark, d)
+    return dedup.audit(people, clusters, found, 200).select("cluster_id", "cluster_kind", "status", "winner")
+
+
+@query
+def pending_clusters(spark: SparkSession, d: str) -> DataFrame:
+    found, people, clusters = _clustered(spark, d)
+    return reports.pending_clusters(clusters, people, found)
+
+
+@query
+def cluster_member_places(spark: SparkSession, d: str) -> DataFrame:
+    found, people, _ = _clustered(spark, d)
+    return reports.cluster_members(people.withColumn("score", F.when(F.col("id") % 9 != 0, F.col("score"))), found).select("cluster_id", "id", "place", "source", "size_bytes")
+
+
+@query
+def replaced_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """What is stored after a second run: reviewed clusters stay, others are replaced."""
+    _, people, clusters = _clustered(spark, d)
+    before = clusters.withColumn("status", F.when(F.col("cluster_id") % 3 == 0, "reviewed").otherwise(F.col("status")))
+    settled = people.join(before.where("status = 'reviewed'"), "cluster_id", "left_semi")
+    inv = _with_raws(spark, d)
+    again = dedup.plan(stages.resolved(inv), reviewed=settled)
+    rows, kinds = dedup.replaced((people, before), again)
+    return rows.select("cluster_id", "id").join(kinds.select("cluster_id", (F.col("status") == "reviewed").alias("reviewed")), "cluster_id")
+
+
+@query
+def locked_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates resolved again: reviewed ones stay, and edited files take the sidecar of their original."""
+    m = _media(spark, d).where("source <> 'LOCAL'").withColumn("exif_dto", F.lit(None).cast("string"))
+    plain = m.withColumn("rel_path", F.concat(F.lit("x/p"), F.col("id").cast("string"), F.lit(".jpg")))
+    edited = plain.where("id % 3 = 0").withColumns({"id": F.col("id") + 1_000_000, "rel_path": F.regexp_replace("rel_path", r"\.jpg$", "-edited.jpg")})
+    side = plain.where("taken is not null").select(F.col("id").alias("media_id"), "taken", "artifact")
+    rows = plain.unionByName(edited)
+    none = F.lit(None).cast("string")
+    before = rows.where("id % 5 = 0").select("id", F.lit("1999-01-01").alias("resolved_date"), F.lit("day").alias("resolved_precision"), F.lit("review").alias("resolved_source"), F.when(F.col("id") % 2 == 0, "reviewed").otherwise("auto").alias("status"), F.lit(None).cast("double").alias("confidence"), none.alias("rule"))
+    out = stages.resolved_again(rows, linkage.edited_pairs(rows), side, before)
+    return out.select("id", "resolved_date", "resolved_source", "status")
+
+
+def _dumps(spark: SparkSession, d: str) -> DataFrame:
+    """A raw tag dump of every file, with tags of other kinds, other groups and other names."""
+    i = F.col("id")
+    stamp = F.concat(F.translate("od", "-", ":"), F.lit(" 10:11:12"))
+    tags = {
+        "SourceFile": F.col("rel_path"),
+        "File:MIMEType": F.concat(F.lit(" "), F.col("mime")),
+        "EXIF:DateTimeOriginal": F.when(i % 3 == 0, stamp).when(i % 3 == 1, "0000:00:00 00:00:00"),
+        "EXIF:CreateDate": F.when(i % 4 == 0, "unknown"),
+        "XMP:CreateDate": F.when(i % 4 != 3, stamp),
+        "EXIF:Make": F.when(i % 5 == 0, "  ").otherwise("Acme"),
+        "ExifTool:Error": F.when(i % 17 == 0, "broken"),
+    }
+    text = F.to_json(F.struct(*(c.alias(k) for k, c in tags.items()), F.when(i % 2 == 0, F.col("width")).alias("File:ImageWidth"), F.when(i % 2 == 1, F.col("width")).alias("PNG:ImageWidth"), (F.col("id") / 4).alias("Composite:GPSLatitude"), F.when(i % 7 == 0, "wide").alias("EXIF:ExifImageHeight"), F.col("height").alias("PNG:ImageHeight")))
+    return instances(spark, d).select("id", F.when(i % 19 == 0, F.lit("no json")).otherwise(text).alias("dump"))
+
+
+@query
+def raw_fields(spark: SparkSession, d: str) -> DataFrame:
+    f = metadata.fields(F.col("dump"))
+    return _dumps(spark, d).select("id", *(f[k].alias(k) for k in ("mime", "exif_dto", "gps_lat", "camera_make", "tags", "width", "height", "error")))
+
+
+@query
+def exif_candidates(spark: SparkSession, d: str) -> DataFrame:
+    own = F.when(F.col("id") % 3 == 0, F.lit("2001-02-03T04:05:06"))
+    return _dumps(spark, d).select("id", metadata.exif_candidate(own, F.col("dump")).alias("c")).select("id", "c.date", "c.from_create_date")
+
+
+@query
+def direct_children(spark: SparkSession, d: str) -> DataFrame:
+    return reports.direct_children(instances(spark, d), "LOCAL", "topical/vac3").select("id", "rel_path")
+
+
+@query
+def pending_sidecars(spark: SparkSession, d: str) -> DataFrame:
+    """What is still to be written after a first round has written some."""
+    inv = instances(spark, d)
+    i = F.col("id")
+    tasks = inv.where("id % 3 = 0").select("id", F.when(i % 2 == 0, "date").otherwise("keywords").alias("reason"), F.when(i % 5 == 0, "2020-01-01").alias("written_at"))
+    ledger = inv.select("id", F.when(i % 4 == 1, "quarantine").otherwise("archive").alias("disposition"), F.when(i % 7 != 0, F.concat(F.lit("a/"), i.cast("string"))).alias("dest_rel_path"))
+    dated = inv.where("id % 2 = 0").select("id", F.col("od").alias("resolved_date"), F.lit("day").alias("resolved_precision"), F.lit(None).cast("string").alias("bucket"))
+    words = inv.select("id", F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("keyword")).where("id % 6 = 0")
+    left = reports.applied(tasks, tasks.where("id % 11 = 0").select("id"), "2021-01-01")
+    return reports.pending_sidecars(left, ledger, dated, words).select("id", "reason", "rel", "date", F.array_join("keywords", ";").alias("keywords"))
+
+
+@query
+def verify_json(spark: SparkSession, d: str) -> DataFrame:
+    inv, ledger, disk = _ledger(spark, d)
+    kinds = verify.discrepancies(inv, ledger, disk).groupBy("kind").agg(F.count("*").cast("string").alias("subject"))
+    return reports.as_json(False, verify.counters(inv, ledger), kinds)
+
+
+@query
+def manifests(spark: SparkSession, d: str) -> DataFrame:
+    inv, ledger, _ = _ledger(spark, d)
+    rows = ledger.select("id", "disposition", "dest_rel_path").join(inv.select("id", "source", "rel_path"), "id").withColumns({"reason": F.lit("r"), "keywords": F.array(F.lit("a"), F.col("source"))})
+    return reports.manifest(rows, "archive").drop("reason")
+
+
+@query
+def tag_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What single files' tags and folders say: flags, richness, identifiers, recompression, albums."""
+    i = F.col("id")
+    tags = F.create_map(F.lit("EXIF:Software"), F.when(i % 3 == 0, "Google").otherwise("Cam"), F.when(i % 4 == 0, "MakerNotes:X").otherwise("File:X"), F.lit("1"), F.lit("Apple:ContentIdentifier"), F.concat(F.lit("c"), i.cast("string")))
+    flags = names.file_flags(F.when(i % 5 != 0, F.col("mime")), F.col("kind"), F.col("size_bytes"), F.when(i % 6 == 0, "e"), i % 2 == 0, F.when(i % 13 == 0, "no_video"))
+    album = names.album_name(F.col("dir"), i % 3 == 0, F.when(i % 2 == 0, "Trip"))
+    return instances(spark, d).select("id", F.array_join(flags, ";").alias("flags"), names.tag_richness(tags).alias("richness"), names.content_identifier(tags).alias("identifier"), names.recompressed(tags, F.col("mime")).alias("recompressed"), album.alias("album"))
+
+
+@query
+def stored_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table after a write, a write of the same, an append, what was missing, and a part replaced."""
+    inv = instances(spark, d).select("id", "source", "size_bytes")
+    table = store.Table(spark, f"{shared.shared_dir(spark)}/stored-{uuid.uuid4().hex}")
+    table.write(inv.where("id % 4 = 0"))
+    if table.write(inv.where("id % 4 = 0")):
+        raise AssertionError("the same rows were written twice")
+    table.append(inv.where("id % 4 = 1"))
+    table.write(store.insert_missing(table.read(), inv.where("id % 4 <= 2"), ["id"]))
+    return store.replace_part(table.read(), inv.where("source = 'LOCAL' and id % 8 = 0"), "source")
+
+
+@query
+def reviewed_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Resolutions after candidates were accepted, dates typed, and buckets set."""
+    i = F.col("id")
+    r = stages.resolved(_media(spark, d)).select("id", "resolved_date", "resolved_precision", "resolved_source", "status", F.lit(None).cast("string").alias("bucket"), F.col("exif_dto").alias("cand_exif"), F.lit("2001-01-01").alias("cand_folder"), F.col("taken").alias("cand_takeout"), F.lit("2002-02-02").alias("cand_filename"), F.lit("year").alias("folder_precision"))
+    which = F.when(i % 12 == 0, "exif").when(i % 12 == 3, "folder").when(i % 12 == 6, "takeout_json").otherwise("filename")
+    r = review.accept_candidate(r, r.where("id % 3 = 0").select("id", which.alias("which")))
+    r = review.set_dates(r, r.where("id % 7 = 1").select("id", F.when(i % 2 == 0, "1987-06").otherwise("1987-13").alias("entered")))
+    r = review.set_column(r, r.where("id % 10 = 4").select("id", F.lit("pre-2000").alias("value")), "bucket")
+    return r.select("id", "resolved_date", "resolved_precision", "resolved_source", "status", "bucket")
+
+
+@query
+def match_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of files with a sidecar by source, how many lists a report of at most ten leaves out, and a gate that stays open."""
+    m = _media(spark, d)
+    stats.gate(m.where("id is null"), "files without an id")
+    listed, n = stats.capped(m.where("taken is null"), ["source", "id"], 10)
+    left = n.withColumn("k", F.lit(0)).join(listed.agg(F.count("*").alias("shown"), F.lit(0).alias("k")), "k").select((F.col("n") - F.col("shown")).alias("not_shown"))
+    if reports.unknown_sources(["LOCAL", "elsewhere"], m.where("source = 'LOCAL'")) != ["elsewhere"]:
+        raise AssertionError("a source that is not there was not named")
+    rates = m.groupBy("source").agg(F.count("*").alias("n"), F.count("taken").alias("matched"))
+    return rates.select("source", "matched", (stats.ratio(F.col("matched"), F.col("n"), 1.0) * 1000).cast("bigint").alias("per_mille")).withColumn("k", F.lit(0)).join(left.withColumn("k", F.lit(0)), "k").drop("k")
+
+
 @query
 def placement_plan(spark: SparkSession, d: str) -> DataFrame:
-    return stages.placements(instances(spark, d)).select("id", "disposition", "reason", "dest_rel_path", "use_sidecar", "winner_dest")
+    return stages.placements(_with_raws(spark, d)).select("id", "disposition", "reason", "dest_rel_path", "use_sidecar", "winner_dest")
 
 
 @query
 def quarantine_index(spark: SparkSession, d: str) -> DataFrame:
-    q = placement.quarantine_index(stages.placements(instances(spark, d)))
+    q = placement.quarantine_index(stages.placements(_with_raws(spark, d)))
     return q.select("sha256", "dest_rel_path", F.array_join("sources", ";").alias("sources"), "reason", "winner_dest")
 
 
 @query
 def space_needed(spark: SparkSession, d: str) -> DataFrame:
-    return placement.space_needed(stages.placements(instances(spark, d)))
+    return placement.space_needed(stages.placements(_with_raws(spark, d)))
 
 
 @query

@@ -33,7 +33,11 @@ def differs(a: DataFrame, b: DataFrame) -> bool:
 
 
 class Table:
-    """A table in ``path`` on any Hadoop file system. Readers see the version that the pointer names; a write adds one and moves it."""
+    """A table in ``path`` on any Hadoop file system: folders of Parquet, and numbered pointers that each list the folders of a state.
+
+    Readers see the highest pointer. A write adds a folder and the next pointer; pointers are never changed, so a crash leaves the
+    state before, and of two writers at a time the second is refused.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -41,34 +45,37 @@ class Table:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
-        pointer = f"{self.path}/pointer"
-        if not self._fs.exists(self._path(pointer)):
-            return None
-        return self.spark.read.text(pointer).first()[0]
+    def _state(self) -> tuple[int, list[str]]:
+        found = self._fs.globStatus(self._path(f"{self.path}/pointer-*")) or []
+        last = max((int(f.getPath().getName().split("-")[1]) for f in found), default=0)
+        if not last:
+            return 0, []
+        return last, sorted(r[0] for r in self.spark.read.text(f"{self.path}/pointer-{last:012d}").collect())
 
     def read(self) -> DataFrame | None:
-        version = self._current()
-        return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
+        folders = self._state()[1]
+        return self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders)) if folders else None
+
+    def _add(self, df: DataFrame, number: int, others: list[str]) -> None:
+        folder = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        fresh, pointer = self._path(f"{self.path}/fresh-{folder}"), self._path(f"{self.path}/pointer-{number:012d}")
+        self.spark.createDataFrame([(f,) for f in [*others, folder]], "folder string").coalesce(1).write.text(fresh.toString())
+        if self._fs.exists(pointer) or not self._fs.rename(fresh, pointer):
+            raise OSError(f"{self.path} was written by another at the same time")
 
     def write(self, df: DataFrame, only_if_changed: bool = True) -> bool:
-        """Write a version and move the pointer; False if nothing has changed."""
+        """Make ``df`` the state of the table; False if nothing has changed."""
         before = self.read()
         if only_if_changed and before is not None and set(before.columns) == set(df.columns) and not differs(before, df):
             return False
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        fresh = f"{self.path}/pointer-{version}"
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(fresh)
-        pointer = self._path(f"{self.path}/pointer")
-        self._fs.delete(pointer, True)
-        if not self._fs.rename(self._path(fresh), pointer):
-            raise OSError(f"the pointer of {self.path} was not moved")
+        self._add(df, self._state()[0] + 1, [])
         return True
 
     def append(self, df: DataFrame) -> None:
-        before = self.read()
-        self.write(df if before is None else before.unionByName(df), only_if_changed=False)
+        """Add rows; what is there is not written again."""
+        number, folders = self._state()
+        self._add(df, number + 1, folders)
 
 
 def latest(log: DataFrame, key: str, at: str) -> DataFrame:

@@ -16,7 +16,9 @@ def ingest(spark: SparkSession, folder: str, schema: str, table: store.Table, ch
 
     def merge(batch: DataFrame, _: int) -> None:
         old = table.read()
-        new = batch.dropDuplicates(keys)
+        # of several rows of a key, the largest by its other columns: the same whenever the batch runs
+        others = [c for c in batch.columns if c not in keys]
+        new = batch.groupBy(*keys).agg(F.max(F.struct(*others)).alias("row")).select(*keys, "row.*") if others else batch.distinct()
         table.write(new if old is None else store.upsert(old, new, keys))
 
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
