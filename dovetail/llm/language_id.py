@@ -20,7 +20,8 @@ characters at a time. Columns made here replace others of their name. An empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,65 +123,85 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataF
     return common.map_arrow(rows.select(*kept, "text"), run, f"{schema}, loglik array<double>, letters long")
 
 
-def _softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+def _all(columns: list[Column], combine: Callable[[Column, Column], Column]) -> Column:
+    out = columns[0]
+    for c in columns[1:]:
+        out = combine(out, c)
+    return out
 
 
-def _log_share(counts: Column, above: Column, weight: float) -> Column:
-    """Shares of ``counts`` smoothed by the shares ``above``."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-    return F.zip_with(counts, above, lambda c, p: (c + weight * p) / (total + weight))
+def _shares(rows: DataFrame, logs: list[Column], out: str) -> DataFrame:
+    """``rows`` with ``out``0, ``out``1, ...: the exponentials of ``logs``, as shares. A step a projection, so that nothing is computed twice."""
+    n = range(len(logs))
+    rows = rows.withColumns({f"{out}{i}": c for i, c in zip(n, logs)})
+    rows = rows.withColumn("_top", _all([F.col(f"{out}{i}") for i in n], lambda a, b: F.greatest(a, b)))
+    rows = rows.withColumns({f"{out}{i}": F.exp(F.col(f"{out}{i}") - F.col("_top")) for i in n})
+    rows = rows.withColumn("_sum", _all([F.col(f"{out}{i}") for i in n], lambda a, b: a + b))
+    return rows.withColumns({f"{out}{i}": F.col(f"{out}{i}") / F.col("_sum") for i in n}).drop("_top", "_sum")
+
+
+def _best(langs: list[str], of: str) -> tuple[Column, Column]:
+    """The language of the largest of the columns ``of``0, ..., the first of equal ones; and its value."""
+    columns = [F.col(f"{of}{i}") for i in range(len(langs))]
+    top = _all(columns, lambda a, b: F.greatest(a, b))
+    return F.coalesce(*(F.when(c == top, F.lit(lang)) for c, lang in zip(columns, langs))), top
 
 
 def _sums(rows: DataFrame, key: str, size: int) -> DataFrame:
     """For each ``key``, the summed posteriors by text."""
-    counts = [F.sum(F.when(F.col("letters") > 0, F.get("by_text", F.lit(i))).otherwise(0.0)).alias(f"c{i}") for i in range(size)]
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*counts, F.count("*").alias("rows")).select(key, F.array(*(f"c{i}" for i in range(size))).alias(f"{key}_counts"), "rows")
+    counts = [F.sum(F.when(F.col("letters") > 0, F.col(f"t{i}")).otherwise(0.0)).alias(f"{key}{i}") for i in range(size)]
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*counts, F.count("*").alias("rows"))
 
 
 def identify(rows: DataFrame, langs: list[str], table: np.ndarray, least: float = 0.5) -> DataFrame:
-    """lang, confidence, text_lang, keep for ``rows`` (text, declared, suffix, domain, host; others are passed on)."""
-    size = len(langs)
-    made = ("lang", "confidence", "text_lang", "keep", "th", "row_key", "loglik", "letters", "by_text", "posterior", "salt")
-    passed = [c for c in rows.columns if c not in ("text", "declared", "suffix", "domain", "host", *made)]
+    """lang, confidence, text_lang, keep, th (hash of the text) for ``rows`` (text, declared, suffix, domain, host; others are passed on)."""
+    size, n = len(langs), range(len(langs))
+    used = {"text", "declared", "suffix", "domain", "host", "lang", "confidence", "text_lang", "keep", "th", "row_key", "loglik", "letters", "salt"}
+    made = re.compile(r"(?:[tp]|host|domain|suffix)\d+|_top|_sum")
+    passed = [c for c in rows.columns if c not in used and not made.fullmatch(c)]
     evidence = text_evidence(rows.select(*passed, F.xxhash64("text").alias("row_key"), "declared", "suffix", "domain", "host", "text"), langs, table)
-    start = F.array(*(F.lit(float(np.log(UND_PRIOR if l == "und" else (1 - UND_PRIOR) / max(1, size - 1)))) for l in langs))
-    evidence = common.stash(evidence.withColumn("by_text", _softmax(F.zip_with("loglik", start, lambda a, b: a + b))), "evidence")
-    total_row = evidence.agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("letters") > 0, F.get("by_text", F.lit(i))).otherwise(0.0)).alias(f"c{i}") for i in range(size))).first()
-    whole = np.array([total_row[f"c{i}"] or 0.0 for i in range(size)]) + 1.0
-    whole = F.array(*(F.lit(float(x)) for x in whole / whole.sum()))
-    zero = F.array(*(F.lit(0.0) for _ in langs))
+    start = [float(np.log(UND_PRIOR if lang == "und" else (1 - UND_PRIOR) / max(1, size - 1))) for lang in langs]
+    evidence = common.stash(_shares(evidence, [F.get("loglik", F.lit(i)) + start[i] for i in n], "t"), "evidence")
+    has = F.col("letters") > 0
+    known = F.col("declared").isin(langs[:-1]) if size > 1 else F.lit(False)
+    agrees = _all([F.when(F.col("declared") == lang, F.col(f"t{i}")).otherwise(0.0) for i, lang in enumerate(langs)], lambda a, b: a + b)
+    sums = [F.sum(F.when(has, F.col(f"t{i}")).otherwise(0.0)).alias(f"c{i}") for i in n]
+    row = evidence.agg(F.sum(F.when(known & has, agrees)).alias("right"), F.count(F.when(known & has, 1)).alias("said"), *sums).first()
+    whole = np.array([row[f"c{i}"] or 0.0 for i in n]) + 1.0
+    whole = (whole / whole.sum()).tolist()
+    # how often what is declared agrees with the text, by all rows that declare a known language; the texts were scored out of fold
+    share = ((row.right or 0.0) + 9 * DECLARED_RIGHT) / (row.said + 9)
+    right, wrong = float(np.log(share)), float(np.log(max(1e-6, 1 - share) / max(1, size - 2)))
     joined = evidence
     for key in ("host", "domain", "suffix"):
         joined = common.spread_join(joined, common.stash(_sums(evidence, key, size), f"{key}-counts"), [key], ["loglik", "row_key"])
-    domain = _log_share(F.coalesce("domain_counts", zero), whole, DOMAIN_WEIGHT)
-    host = _log_share(F.coalesce("host_counts", zero), domain, HOST_WEIGHT)
-    # how much likelier the suffix is in each language than overall
-    suffix = F.when(F.col("suffix").isNull(), F.transform(whole, lambda p: F.lit(0.0))).otherwise(F.zip_with(_log_share(F.coalesce("suffix_counts", zero), whole, DOMAIN_WEIGHT), whole, lambda c, p: F.ln(c / p)))
-    known = F.array(*map(F.lit, langs[:-1])) if size > 1 else F.array().cast("array<string>")
-    # how often what is declared agrees with the text, by all rows that declare a known language; the texts were scored out of fold
-    names = F.array(*map(F.lit, langs))
-    agrees = F.get("by_text", F.array_position(names, F.col("declared")).cast("int") - 1)
-    said = evidence.where(F.array_contains(known, F.col("declared")) & (F.col("letters") > 0)).agg(F.sum(agrees).alias("right"), F.count("*").alias("n")).first()
-    share = ((said.right or 0.0) + 9 * DECLARED_RIGHT) / ((said.n or 0) + 9)
-    right, wrong = float(np.log(share)), float(np.log(max(1e-6, 1 - share) / max(1, size - 2)))
-    declared = F.when(F.array_contains(known, F.col("declared")), F.transform(names, lambda l: F.when(l == F.col("declared"), right).otherwise(wrong))).otherwise(F.transform(names, lambda l: F.lit(0.0)))
-    fused = F.zip_with(F.zip_with("loglik", F.transform(host, lambda p: F.ln(p)), lambda a, b: a + b), F.zip_with(declared, suffix, lambda a, b: a + b), lambda a, b: a + b)
-    posterior = _softmax(fused)
-    best = lambda x: F.get(names, F.array_position(x, F.array_max(x)).cast("int") - 1)
-    out = joined.withColumn("posterior", posterior)
-    has = F.col("letters") > 0
-    lang = F.when(has, best(F.col("posterior"))).otherwise("und")
-    return out.select(
+
+    def smoothed(key: str, above: list[Column], weight: float) -> list[Column]:
+        counts = [F.coalesce(F.col(f"{key}{i}"), F.lit(0.0)) for i in n]
+        total = _all(counts, lambda a, b: a + b) + weight
+        return [(c + weight * p) / total for c, p in zip(counts, above)]
+
+    domain = smoothed("domain", [F.lit(x) for x in whole], DOMAIN_WEIGHT)
+    joined = joined.withColumns({f"domain{i}": c for i, c in enumerate(domain)})
+    host = smoothed("host", [F.col(f"domain{i}") for i in n], HOST_WEIGHT)
+    suffix = smoothed("suffix", [F.lit(x) for x in whole], DOMAIN_WEIGHT)
+    logs = []
+    for i, lang in enumerate(langs):
+        said = F.when(known, F.when(F.col("declared") == lang, right).otherwise(wrong)).otherwise(0.0)
+        # how much likelier the suffix is in this language than overall
+        address = F.when(F.col("suffix").isNull(), 0.0).otherwise(F.ln(suffix[i] / whole[i]))
+        logs.append(F.get("loglik", F.lit(i)) + F.ln(host[i]) + said + address)
+    fused = _shares(joined, logs, "p")
+    (lang, confidence), (by_text, _) = _best(langs, "p"), _best(langs, "t")
+    out = fused.select(
         *passed,
-        lang.alias("lang"),
-        F.when(has, F.array_max("posterior")).otherwise(0.0).alias("confidence"),
-        F.when(has, best(F.col("by_text"))).otherwise("und").alias("text_lang"),
-        (has & (lang != "und") & (F.array_max("posterior") >= least)).alias("keep"),
+        F.when(has, lang).otherwise("und").alias("lang"),
+        F.when(has, confidence).otherwise(0.0).alias("confidence"),
+        F.when(has, by_text).otherwise("und").alias("text_lang"),
         F.col("row_key").alias("th"),
     )
+    kept = (F.col("lang") != "und") & (F.col("confidence") >= least)
+    return common.stash(out.select(*passed, "lang", "confidence", "text_lang", kept.alias("keep"), "th"), "identified")
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
