@@ -37,7 +37,9 @@ WINDOW_WORDS, CUT_WINDOW, MIN_WORDS = 8, 12, 20
 SLICE_BYTES, LONG_BYTES, WIDE_BYTES = 1_000_000, 48, 6
 _FIRST = np.iinfo(np.int64).min
 _OTHER_BASE = 0xC2B2AE3D27D4EB4F
-_UNITS = "doc_id long, th long, k1 array<long>, k2 array<long>, first array<int>, last array<int>, own array<int>, start array<int>, end array<int>, words array<int>, line array<int>, size long"
+#: Small differences in place of places that grow, so that the stored table is small: ``reach`` tiles from ``first``, ``gap`` characters
+#: before a tile and ``long`` in it, ``lines`` from the tile before.
+_UNITS = "doc_id long, th long, k1 array<long>, k2 array<long>, first array<int>, reach array<int>, own array<int>, gap array<int>, long array<int>, words array<int>, lines array<int>, size long"
 
 
 def _lowered(text: str) -> bytes:
@@ -171,17 +173,21 @@ def unit_rows(docs: DataFrame) -> DataFrame:
             place = np.concatenate([[0], np.cumsum(digests)])[:-1]
             own = np.flatnonzero(u.own)
             small = pa.int32()
+            head = np.ones(len(u.tile_text), bool)  # first tiles of texts
+            head[1:] = u.tile_text[1:] != u.tile_text[:-1]
+            before = np.where(head, 0, np.roll(u.end, 1)) if len(head) else u.end
+            lines = np.where(head, 0, u.line - np.roll(u.line, 1)) if len(head) else u.line
             columns = [
                 *(pa.array(c, pa.int64()) for c in zip(*keys)),
                 _lists(u.k1, digests, pa.int64()),
                 _lists(u.k2, digests, pa.int64()),
                 _lists(u.first - base[u.text], digests, small),
-                _lists(u.last - base[u.text], digests, small),
+                _lists(u.last - u.first, digests, small),
                 _lists(own - place[u.text[own]], np.bincount(u.text[own], minlength=n), small),
-                _lists(u.start, tiles, small),
-                _lists(u.end, tiles, small),
+                _lists(u.start - before, tiles, small),
+                _lists(u.end - u.start, tiles, small),
                 _lists(u.words, tiles, small),
-                _lists(u.line - u.line[np.minimum(base, max(0, len(u.line) - 1))][u.tile_text] if len(u.line) else u.line, tiles, small),
+                _lists(lines, tiles, small),
                 pa.array(u.size, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -190,13 +196,13 @@ def unit_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_units(units: DataFrame) -> DataFrame:
-    """doc_id, th and ``elsewhere``: the numbers of a row's digests that an earlier document has. ``units``: stored, of ``unit_rows``."""
-    owner = F.coalesce("doc_id", F.lit(_FIRST)).alias("owner")
-    rows = units.select(owner, "doc_id", "th", F.posexplode(F.arrays_zip("k1", "k2")).alias("idx", "k")).select("owner", "doc_id", "th", "idx", "k.k1", "k.k2")
+    """row and ``elsewhere``: the numbers of a row's digests that an earlier document has. ``units``: stored, of ``unit_rows``, with a number ``row``."""
+    rows = units.select("row", F.coalesce("doc_id", F.lit(_FIRST)).alias("owner"), F.posexplode(F.arrays_zip("k1", "k2")).alias("idx", "k"))
+    rows = rows.select("row", "owner", "idx", "k.k1", "k.k2")
     keys = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("owner").alias("first"), F.max("owner").alias("last"))
     keys = common.stash(keys.where("first <> last").select("k1", "k2", "n", "first"), "unit-keys")
-    found = common.spread_join(rows, keys, ["k1", "k2"], ["owner", "th"], "inner", "n").where("first < owner")
-    return found.groupBy("doc_id", "th").agg(F.collect_set("idx").alias("elsewhere"))
+    found = common.spread_join(rows, keys, ["k1", "k2"], ["row"], "inner", "n").where("first < owner")
+    return found.groupBy("row").agg(F.collect_set("idx").alias("elsewhere"))
 
 
 def kept_spans(going: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray, line: np.ndarray, size: int, min_words: int) -> list[tuple[int, int]]:
@@ -223,10 +229,9 @@ def kept_spans(going: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.
 
 def span_rows(units: DataFrame, min_words: int) -> DataFrame:
     """doc_id, th, kept, n_removed for the documents of ``units`` that lose something."""
-    found = repeated_units(units).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "elsewhere")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-    columns = ["doc_id", "th", "first", "last", "own", "start", "end", "words", "line", "size"]
-    touched = units.select(*columns).join(found, same, "left").where(F.col("elsewhere").isNotNull() | (F.size("own") > 0)).select(*columns, "elsewhere")
+    columns = ["doc_id", "th", "first", "reach", "own", "gap", "long", "words", "lines", "size"]
+    joined = units.select("row", *columns).join(repeated_units(units), "row", "left")
+    touched = joined.where(F.col("elsewhere").isNotNull() | (F.size("own") > 0)).select(*columns, "elsewhere")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +240,9 @@ def span_rows(units: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             kept, removed, which = [], [], []
             for i in range(batch.num_rows):
-                first, last, own, start, end, words, line = (batch.column(k)[i].values.to_numpy() for k in range(2, 9))
+                first, reach, own, gap, long, words, lines = (batch.column(k)[i].values.to_numpy() for k in range(2, 9))
+                end = np.cumsum(gap + long)
+                start, last, line = end - long, first + reach, np.cumsum(lines)
                 size, elsewhere = batch.column(9)[i].as_py(), batch.column(10)[i].values
                 places = own if elsewhere is None else np.union1d(own, elsewhere.to_numpy())
                 marks = np.zeros(len(start) + 1, np.int64)
@@ -255,7 +262,7 @@ def span_rows(units: DataFrame, min_words: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with what stays of ``text``, and ``kept`` (start and end of each kept span in the original), n_removed (characters)."""
-    units = common.stash(unit_rows(docs), "units")
+    units = common.stash(unit_rows(docs).withColumn("row", F.monotonically_increasing_id()), "units")
     spans = common.stash(span_rows(units, min_words), "spans").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("kept").alias("_kept"), F.col("n_removed").alias("_gone"))
     old = [c for c in docs.columns if c not in ("kept", "n_removed")]
     joined = docs.select(*old).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
