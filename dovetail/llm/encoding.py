@@ -59,7 +59,7 @@ class _Memo(dict):
 class ChunkEncoder:
     """Texts to ids as little-endian unsigned 32-bit bytes. ``limit``: bytes of chunks and their ids kept at most."""
 
-    def __init__(self, path: str, limit: int = 48_000_000):
+    def __init__(self, path: str, limit: int = 96_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         with open(path, encoding="utf-8") as f:
