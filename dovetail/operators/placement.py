@@ -112,3 +112,11 @@ def space_needed(placed: DataFrame, margin_percent: float = 15.0) -> DataFrame:
     sums = each.agg(of(True).alias("archive_bytes"), of(False).alias("quarantine_bytes"))
     need = (F.col("archive_bytes") + F.col("quarantine_bytes")) * (1 + margin_percent / 100)
     return sums.select("archive_bytes", "quarantine_bytes", need.cast("bigint").alias("required_bytes"))
+
+
+def purge_plan(ledger: DataFrame, report: DataFrame) -> DataFrame:
+    """id, dest_rel_path, size_bytes of what is in quarantine, once the last report (passed) is one that passed; raises otherwise."""
+    passed = [r.passed for r in report.select("passed").limit(2).collect()]
+    if passed != [True]:
+        raise ValueError("quarantine is purged only after a verification that passed")
+    return ledger.where("disposition = 'quarantine' and dest_rel_path is not null").select("id", "dest_rel_path", "size_bytes")

@@ -23,16 +23,26 @@ def date_queue(inventory: DataFrame, resolutions: DataFrame, members: DataFrame,
 
 
 def camera_window(inventory: DataFrame, seconds: int = 3600, most: int = 10) -> DataFrame:
-    """id, other_id: up to ``most`` files of the same camera within the window, nearest first; met by time buckets of the window."""
+    """id, other_id, gap: up to ``most`` files of the same camera within the window, nearest first, ties to the smaller id.
+
+    Files of one camera and second go together. Of each second only the first ``most`` + 1 by id can be among anyone's nearest, and of
+    the seconds only the ``most`` next on each side, so nothing is paired with all there is; a task holds at most the distinct seconds
+    of three windows of a camera.
+    """
     at = F.unix_timestamp(F.try_to_timestamp(F.substring("exif_dto", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     rows = inventory.select("id", "camera_model", at.alias("at")).where("at is not null and camera_model is not null")
-    bucket = F.floor(F.col("at") / seconds)
-    a = rows.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("a")
-    b = rows.withColumn("bucket", bucket).alias("b")
-    near = F.abs(F.col("a.at") - F.col("b.at"))
-    met = a.join(b, ["camera_model", "bucket"]).where((near <= seconds) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("other_id"), near.alias("gap"))
-    first = Window.partitionBy("id").orderBy("gap", "other_id")
-    return met.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= most).select("id", "other_id", "gap")
+    by_id = Window.partitionBy("camera_model", "at").orderBy("id")
+    few = rows.withColumn("rn", F.row_number().over(by_id)).where(F.col("rn") <= most + 1)
+    times = few.groupBy("camera_model", "at").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    step = F.floor(F.col("at") / seconds)
+    spread = times.withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("bucket", step + F.col("shift"))
+    around = Window.partitionBy("camera_model", "bucket").orderBy("at").rowsBetween(-most, most)
+    seen = spread.withColumn("near", F.collect_list(F.struct("at", "ids")).over(around)).where("shift = 0")
+    others = F.flatten(F.transform("near", lambda t: F.transform(t["ids"], lambda i: F.struct(F.abs(t["at"] - F.col("at")).alias("gap"), i.alias("other_id")))))
+    nearest = F.slice(F.array_sort(F.filter(others, lambda o: o["gap"] <= seconds)), 1, most + 1)
+    of_time = seen.select("camera_model", "at", nearest.alias("nearest"))
+    mine = F.slice(F.filter("nearest", lambda o: o["other_id"] != F.col("id")), 1, most)
+    return rows.join(of_time, ["camera_model", "at"]).select("id", F.explode(mine).alias("o")).select("id", "o.other_id", "o.gap")
 
 
 def set_dates(resolutions: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -55,6 +65,26 @@ def accept_candidate(resolutions: DataFrame, chosen: DataFrame) -> DataFrame:
     return joined.withColumns(new).select(*resolutions.columns)
 
 
+#: Candidates that a whole folder can be given.
+BATCH_CANDIDATES = {"folder": ("cand_folder", "folder"), "exif": ("cand_exif", "exif"), "filename": ("cand_filename", "filename")}
+
+
+def batch_accept(resolutions: DataFrame, folder: DataFrame, which: str) -> DataFrame:
+    """``resolutions`` where every conflict among the rows of ``folder`` (id) that has the candidate ``which`` takes it; others stay.
+
+    What a folder says keeps its precision, a day where it has none; other dates are to the second where they have a time.
+    """
+    if which not in BATCH_CANDIDATES:
+        raise ValueError(f"unknown batch action: {which}")
+    column, source = BATCH_CANDIDATES[which]
+    date = F.nullif(F.col(column), F.lit(""))
+    precision = F.coalesce("folder_precision", F.lit("day")) if which == "folder" else F.when(F.contains(date, F.lit("T")), "second").otherwise("day")
+    joined = resolutions.join(folder.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+    hit = F.coalesce("_hit", F.lit(False)) & (F.col("status") == "conflict") & date.isNotNull()
+    new = {"resolved_date": date, "resolved_precision": precision, "resolved_source": F.lit(source), "status": F.lit("reviewed")}
+    return joined.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in resolutions.columns))
+
+
 def set_column(rows: DataFrame, chosen: DataFrame, column: str) -> DataFrame:
     """``rows`` with ``column`` as in ``chosen`` (id, value) where it has the id: skips, buckets, sequence hints."""
     return rows.join(chosen.select("id", F.col("value").alias("_value"), F.lit(True).alias("_hit")), "id", "left").withColumn(column, F.when(F.col("_hit"), F.col("_value")).otherwise(F.col(column))).select(*rows.columns)

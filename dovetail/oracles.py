@@ -274,6 +274,16 @@ SQL: dict[str, str] = {
       CASE WHEN id % 19 <> 0 THEN CAST(2 + CASE WHEN id % 3 <> 2 THEN 1 ELSE 0 END + CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 4 <> 3 THEN 1 ELSE 0 END + CASE WHEN id % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) END AS tags,
       CASE WHEN id % 19 <> 0 THEN width END AS width, CASE WHEN id % 19 <> 0 THEN height END AS height, CASE WHEN id % 19 <> 0 AND id % 17 = 0 THEN 'broken' END AS error FROM inst""",
     "exif_candidates": _with() + "SELECT id, CASE WHEN id % 3 = 0 THEN '2001-02-03T04:05:06' WHEN id % 19 <> 0 AND id % 4 <> 3 THEN od || 'T10:11:12' END AS date, id % 3 <> 0 AND id % 19 <> 0 AND id % 4 <> 3 AS from_create_date FROM inst",
+    "ingest_stage": _with("s AS (SELECT *, id % 13 <> 0 AND (id % 5 = 0 OR id % 7 = 0) AS fresh, id % 19 <> 0 AND id % 29 <> 0 AS dumped FROM inst)")
+    + """SELECT source, rel_path, CASE WHEN NOT fresh THEN 'known' WHEN id % 23 <> 0 THEN sha256 END AS sha256, CASE WHEN fresh AND dumped THEN mime END AS mime, CASE WHEN fresh THEN kind END AS kind,
+      CASE WHEN fresh AND dumped THEN CAST(2 + CASE WHEN id % 3 <> 2 THEN 1 ELSE 0 END + CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 4 <> 3 THEN 1 ELSE 0 END + CASE WHEN id % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) END AS tags,
+      CASE WHEN fresh THEN array_to_string(list_filter([CASE WHEN id % 29 = 0 OR (id % 17 = 0 AND id % 19 <> 0) THEN 'unreadable_metadata' END, CASE WHEN size_bytes = 0 THEN 'zero_byte' END], lambda x: x IS NOT NULL), ';') END AS flags
+      FROM s WHERE fresh OR id % 5 <> 0""",
+    "ingest_summary": _with() + "SELECT source, count(*) FILTER (WHERE id % 13 <> 0) AS discovered, count(*) FILTER (WHERE id % 13 <> 0 AND (id % 5 = 0 OR id % 7 = 0)) AS processed, count(*) FILTER (WHERE id % 13 <> 0 AND id % 5 <> 0 AND id % 7 <> 0) AS unchanged, count(*) FILTER (WHERE id % 13 = 0 AND id % 5 <> 0) AS missing FROM inst GROUP BY source",
+    "run_states": "SELECT event_type AS stage, max(CAST(event_id AS VARCHAR)) AS run_id, arg_max(CASE WHEN event_id % 5 = 0 THEN 'running' WHEN event_id % 3 = 0 THEN 'failed' ELSE 'ok' END, CAST(event_id AS VARCHAR)) AS status, nullif(arg_max(CASE WHEN event_id % 5 <> 0 THEN '01:00' ELSE '' END, CAST(event_id AS VARCHAR)), '') AS finished FROM events GROUP BY event_type",
+    "locked_members": _with(_MEDIA) + "SELECT id, id % 3 <> 0 AND id % 2 = 0 AND id % 5 <> 0 AS archived FROM media WHERE id % 211 IN (SELECT id FROM media WHERE id < 211 AND id % 4 <> 0 AND id % 3 <> 0)",
+    "batch_reviews": _with(_RULED, "b AS (SELECT *, st = 'conflict' AND source = 'LOCAL' AND id % 2 = 0 AND nd IS NOT NULL AS hit FROM resolved)")
+    + "SELECT id, CASE WHEN hit THEN nd ELSE rd END AS resolved_date, CASE WHEN NOT hit THEN rp WHEN contains(nd, 'T') THEN 'second' ELSE 'day' END AS resolved_precision, CASE WHEN hit THEN 'filename' ELSE rs END AS resolved_source, CASE WHEN hit THEN 'reviewed' ELSE st END AS status FROM b",
     "direct_children": _with() + "SELECT id, rel_path FROM inst WHERE source = 'LOCAL' AND dir = 'topical/vac3'",
     "pending_sidecars": _with() + "SELECT id, CASE WHEN id % 2 = 0 THEN 'date' ELSE 'keywords' END AS reason, 'a/' || id AS rel, CASE WHEN id % 2 = 0 THEN od END AS date, CASE WHEN id % 6 = 0 THEN 'a;b' ELSE '' END AS keywords FROM inst WHERE id % 3 = 0 AND id % 5 <> 0 AND id % 11 <> 0 AND id % 4 <> 1 AND id % 7 <> 0",
     "manifests": _with(_FAULTS) + "SELECT i.source, i.rel_path, b.dest AS dest_rel_path, 'a;' || i.source AS keywords FROM book b JOIN inst i USING (id) WHERE b.disposition = 'archive'",

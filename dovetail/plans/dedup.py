@@ -82,6 +82,18 @@ def plan(media: DataFrame, settings: Settings = Settings(), albums: DataFrame |
     return people, found.withColumn("status", status)
 
 
+def locked(people: DataFrame, clusters: DataFrame) -> DataFrame:
+    """id of every file in a cluster that a person has reviewed."""
+    return people.join(clusters.where("status = 'reviewed'").select("cluster_id"), "cluster_id").select("id").distinct()
+
+
+def with_archived(media: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``media`` with archived: in the archive by ``ledger`` (id, disposition, verified_ok) and verified there; false without a row."""
+    there = (F.col("disposition") == "archive") & F.col("verified_ok")
+    held = ledger.groupBy("id").agg(F.bool_or(there).alias("archived"))
+    return media.drop("archived").join(held, "id", "left").withColumn("archived", F.coalesce("archived", F.lit(False)))
+
+
 def replaced(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Members and clusters with those of ``old`` that are not reviewed replaced by ``new``."""
     members_, clusters = old

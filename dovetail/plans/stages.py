@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tomllib
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -43,6 +44,23 @@ class Settings:
             raise ValueError(f"unknown settings: {', '.join(unknown)}")
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
 
+    @classmethod
+    def load(cls, path: str, sections: tuple[str, ...] = ("dates", "duplicates", "placement", "provenance")) -> Settings:
+        """From a TOML file whose ``sections`` group the settings; other sections are errors."""
+        with open(path, "rb") as f:
+            data = tomllib.load(f)
+        unknown = sorted(set(data) - set(sections))
+        if unknown:
+            raise ValueError(f"unknown sections: {', '.join(unknown)}")
+        merged = {}
+        for name in sections:
+            twice = sorted(set(merged) & set(data.get(name, {})))
+            if twice:
+                raise ValueError(f"set in two sections: {', '.join(twice)}")
+            merged.update(data.get(name, {}))
+        pairs = merged.get("camera_years")
+        return cls.of({**merged, "camera_years": [tuple(p) for p in pairs.items()]} if isinstance(pairs, dict) else merged)
+
 
 def date_candidates(media: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``media`` with folder and filename candidates, flags of its camera date, and whether its folder is curated."""

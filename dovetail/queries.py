@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from dovetail.functions import dates, metadata, names, paths
 from dovetail.operators import duplicates, linkage, placement, reconcile, reports, review, stats, verify
-from dovetail.plans import dedup, stages
-from dovetail.sources import files, shared, store
+from dovetail.plans import dedup, ingest, stages
+from dovetail.sources import files, runs, shared, store
 from dovetail.sources.instances import instances
 
 _MEDIA = "kind in ('image', 'video')"
@@ -395,6 +395,57 @@ def exif_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _dumps(spark, d).select("id", metadata.exif_candidate(own, F.col("dump")).alias("c")).select("id", "c.date", "c.from_create_date")
 
 
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What is known, a scan with new, changed and missing files, its contents and its dumps."""
+    inv = instances(spark, d).select("id", "source", "rel_path", "size_bytes", F.col("ts").alias("modified"), "sha256")
+    i = F.col("id")
+    known = inv.where("id % 5 <> 0").withColumn("modified", F.when(i % 7 == 0, "earlier").otherwise(F.col("modified"))).withColumn("sha256", F.lit("known"))
+    contents = inv.where("id % 23 <> 0").select("source", "rel_path", "sha256")
+    dumps = _dumps(spark, d).join(inv.select("id", "source", "rel_path"), "id").where("id % 29 <> 0").select("source", "rel_path", "dump")
+    return known.drop("id"), inv.where("id % 13 <> 0").drop("id", "sha256"), contents, dumps
+
+
+@query
+def ingest_stage(spark: SparkSession, d: str) -> DataFrame:
+    """The inventory after a second scan."""
+    found = ingest.ingested(*_scanned(spark, d))
+    return found.select("source", "rel_path", "sha256", "mime", "kind", "tags", F.array_join("flags", ";").alias("flags"))
+
+
+@query
+def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
+    known, scan, _, _ = _scanned(spark, d)
+    return ingest.summary(known, scan)
+
+
+@query
+def run_states(spark: SparkSession, d: str) -> DataFrame:
+    """The last run of each stage, where some failed and some still run."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", "ts")
+    end = F.when(F.col("event_id") % 3 == 0, "failed").otherwise("ok")
+    started = e.select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("stage"), F.lit("running").alias("event"), F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00")).alias("at"), F.lit("{}").alias("args"))
+    ended = e.where("event_id % 5 <> 0").select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("stage"), end.alias("event"), F.to_timestamp_ntz(F.lit("2001-01-01 01:00:00")).alias("at"), F.lit("{}").alias("args"))
+    return runs.latest(started.union(ended)).select("stage", "run_id", "status", F.date_format("finished", "HH:mm").alias("finished"))
+
+
+@query
+def locked_members(spark: SparkSession, d: str) -> DataFrame:
+    """Files that a reviewed cluster locks, and whether each is archived and verified."""
+    clusters, members, m = _pending(spark, d)
+    ledger = m.where("id % 3 <> 0").select("id", F.when(F.col("id") % 2 == 0, "archive").otherwise("quarantine").alias("disposition"), (F.col("id") % 5 != 0).alias("verified_ok"))
+    held = dedup.with_archived(m.select("id"), ledger)
+    return held.join(dedup.locked(members, review.accept_clusters(clusters)), "id").select("id", "archived")
+
+
+@query
+def batch_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Conflicts of one kind of folder settled by what their names say."""
+    r = stages.resolved(_media(spark, d))
+    columns = ["id", "resolved_date", "resolved_precision", "resolved_source", "status", F.col("filename.date").alias("cand_filename"), F.col("folder.precision").alias("folder_precision")]
+    folder = r.where("source = 'LOCAL' and id % 2 = 0").select("id")
+    return review.batch_accept(r.select(*columns), folder, "filename").select("id", "resolved_date", "resolved_precision", "resolved_source", "status")
+
+
 @query
 def direct_children(spark: SparkSession, d: str) -> DataFrame:
     return reports.direct_children(instances(spark, d), "LOCAL", "topical/vac3").select("id", "rel_path")

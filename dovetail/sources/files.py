@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,20 +18,22 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t) if t is not None else None)
 
 
+def below(path: Column, root: str) -> Column:
+    """What follows ``root`` in ``path``, whatever scheme stands before it."""
+    base = root.rstrip("/") + "/"
+    return F.substring(path, F.instr(path, F.lit(base)) + len(base), F.char_length(path))
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """rel_path (composed), size_bytes, modified of every file below ``root``; contents are not read."""
-    base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    plain = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
-    return files.select(nfc(plain).alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    return files.select(nfc(below(F.col("path"), root)).alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
 def digests(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, size_bytes, sha256 of every file below ``root``."""
-    base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    plain = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
-    return files.select(nfc(plain).alias("rel_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(nfc(below(F.col("path"), root)).alias("rel_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def changed(scan: DataFrame, known: DataFrame) -> DataFrame:
@@ -49,9 +51,49 @@ def tree(listing: DataFrame, ignored_names: list[str], ignored_dirs: list[str])
 
 def json_bodies(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """rel_path and text of every matching file."""
-    base = root.rstrip("/") + "/"
     read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    return read.select(F.expr(f"substring(_metadata.file_path, instr(_metadata.file_path, '{base}') + {len(base)})").alias("rel_path"), F.col("value").alias("text"))
+    # the path comes with escapes; a plus sign in it is one
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return read.select(below(path, root).alias("rel_path"), F.col("value").alias("text"))
+
+
+def archive_members(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path, member, size_bytes, sha256 of every file in the zip archives below ``root``, read in pieces; nothing is unpacked.
+
+    An archive is held whole (2 GB at most), a member never. One that cannot be read gives a row with a null member.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import io
+        import zipfile
+        import zlib
+
+        for batch in batches:
+            for path, content in zip(batch["rel_path"], batch["content"]):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for info in z.infolist():
+                            if not info.is_dir():
+                                digest = hashlib.sha256()
+                                with z.open(info) as f:
+                                    while piece := f.read(1 << 20):
+                                        digest.update(piece)
+                                rows.append((path, info.filename, info.file_size, digest.hexdigest()))
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, OSError):
+                    rows = [(path, None, None, None)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["rel_path", "member", "size_bytes", "sha256"]).astype({"size_bytes": "Int64"})
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
+    return found.select(below(F.col("path"), root).alias("rel_path"), "content").mapInPandas(run, "rel_path string, member string, size_bytes long, sha256 string")
+
+
+def verify_report(spark: SparkSession, path: str) -> DataFrame:
+    """passed, counts, discrepancies of the JSON report that a verification left."""
+    schema = "passed boolean, counts array<struct<disposition: string, n: long, bytes: long>>, discrepancies array<struct<kind: string, subject: string>>"
+    return spark.read.schema(schema).json(path, multiLine=True)
 
 
 def trash_records(texts: DataFrame, root: str) -> DataFrame:
