@@ -52,8 +52,8 @@ def manifest(placed: DataFrame, kind: str) -> DataFrame:
 
 
 def write_csv(report: DataFrame, path: str) -> None:
-    """A report with a header, as CSV files below ``path``."""
-    report.write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+    """A report with a header, as CSV files below ``path``; quotes within quotes are doubled, as CSV readers expect."""
+    report.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def as_json(passed: bool, counts: DataFrame, faults: DataFrame) -> DataFrame:

@@ -97,19 +97,32 @@ def verify_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def trash_records(texts: DataFrame, root: str) -> DataFrame:
-    """original path below ``root`` and entry of each readable trash record (rel_path, text)."""
+    """original_rel, below ``root``, and entry (name without ending) of each readable trash record (rel_path, text).
+
+    Records of paths elsewhere confirm nothing and are left out. Of several for a path the last by name counts, so that no removal
+    meets two.
+    """
     path = F.get_json_object("text", "$.path")
     prefix = root.rstrip("/") + "/"
-    inside = F.when(F.startswith(path, F.lit(prefix)), F.substring(path, F.lit(len(prefix) + 1), F.char_length(path))).otherwise(path)
-    return texts.where(path.isNotNull()).select(inside.alias("original_rel"), F.col("rel_path").alias("entry"))
+    entry = F.regexp_replace(F.substring_index("rel_path", "/", -1), r"(?s)(?<=.)\.[^.]*$", "")
+    inside = texts.where(F.startswith(path, F.lit(prefix))).select(F.substring(path, F.lit(len(prefix) + 1), F.char_length(path)).alias("original_rel"), entry.alias("entry"))
+    return inside.groupBy("original_rel").agg(F.max("entry").alias("entry"))
 
 
 def keyword_map(spark: SparkSession, path: str) -> DataFrame:
-    """folder_name, keyword (null: dropped) of a CSV with folder_name, proposed_keyword, action; other actions raise."""
-    rows = spark.read.option("header", True).schema("folder_name string, proposed_keyword string, action string").csv(path)
-    action = F.lower(F.trim("action"))
-    keyword = F.when(action == "keep", F.col("folder_name")).when(action == "rename", F.col("proposed_keyword")).when(action == "drop", F.lit(None).cast("string"))
-    return rows.select("folder_name", keyword.otherwise(F.raise_error(F.concat(F.lit("unknown action "), F.col("action"))).cast("string")).alias("keyword"))
+    """folder_name, keyword (null: dropped) of a CSV with folder_name, proposed_keyword, action, in any order of columns.
+
+    Keep and rename take what is proposed, or the folder's name where nothing is; no action is keep, any other raises. Rows without a
+    name are left out, and of several rows of a name the last counts. The file is edited by hand, so it is small.
+    """
+    rows = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path)
+    # of names that have nothing but spaces, nothing is left
+    said = {c: F.nullif(F.trim(c), F.lit("")) if c in rows.columns else F.lit(None).cast("string") for c in ("folder_name", "proposed_keyword", "action")}
+    rows = rows.select(F.monotonically_increasing_id().alias("at"), *(said[c].alias(c) for c in said)).where("folder_name is not null")
+    action = F.lower(F.coalesce("action", F.lit("keep")))
+    wrong = F.raise_error(F.concat(F.lit("unknown action "), action, F.lit(" for "), F.col("folder_name"))).cast("string")
+    keyword = F.when(action.isin("keep", "rename"), F.coalesce("proposed_keyword", "folder_name")).when(action != "drop", wrong)
+    return rows.select("folder_name", "at", keyword.alias("keyword")).groupBy("folder_name").agg(F.max(F.struct("at", "keyword")).alias("row")).select("folder_name", "row.keyword")
 
 
 def perceptual_hashes(files: DataFrame) -> DataFrame:
