@@ -1,4 +1,4 @@
-"""Posteriors, verdicts and the whole pipeline against plain versions that share no code with the operators."""
+"""Posteriors, verdicts and the whole pipeline against plain versions of the formulas; the trained tables and trees are the operators' own."""
 
 import math
 import random
