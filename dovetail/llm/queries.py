@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dovetail.llm import chat, common, cross_polytope, decontamination, language_id, line_dedup, ngram_join, packing, sql, trie_counts, url_filter, wavelet
+from dovetail.llm import (
+    chat,
+    common,
+    cross_polytope,
+    decontamination,
+    language_id,
+    line_dedup,
+    ngram_join,
+    packing,
+    source_divergence,
+    sql,
+    suffix_repeats,
+    trie_counts,
+    url_filter,
+    wavelet,
+)
 
 #: Tokenizer files, a parameter of the operators.
 WORD_BPE = "word_bpe_49k.json"
@@ -74,6 +89,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "kept", "n_removed")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(common.table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.digest(suffix_repeats.remove_repeats(common.table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_ngram_jaccard_join,
         op10_line_dedup,
+        op12_source_divergence,
+        op13_suffix_repeats,
         llm_page_languages,
     )
 }
@@ -95,4 +120,6 @@ SQL: dict[str, str] = {
     "op5_decontamination": sql.DECONTAMINATION,
     "op7_chat_formatting": sql.CHAT,
     "op9_ngram_jaccard_join": sql.JACCARD,
+    "op12_source_divergence": sql.DIVERGENCE,
+    "op13_suffix_repeats": sql.REPEATS,
 }

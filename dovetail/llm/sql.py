@@ -51,3 +51,37 @@ WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
   r(node, label) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(label) AS least FROM r GROUP BY node) m USING (doc_id)"""
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(""" + _LOWER.format(t="text") + r""", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  t AS (SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) x GROUP BY ALL),
+  kept AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING count(*) >= 30),
+  v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  c AS (SELECT lang, source, term, sum(t.n) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+  size AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+  p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000 * (CAST(coalesce(c.n, 0) AS HUGEINT) + 5)) // (size.total + 5 * v.v) AS BIGINT) AS p
+    FROM size JOIN v USING (lang) JOIN (SELECT lang, term FROM kept) k USING (lang) LEFT JOIN c USING (lang, source, term)),
+  q AS (SELECT lang, term, CAST(1 + (1000000000 * (CAST(n AS HUGEINT) + 5)) // (v.total + 5 * v.v) AS BIGINT) AS q FROM kept JOIN v USING (lang)),
+  sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+  terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) x)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  c AS (SELECT rid, doc_id, at, substr(h, 2 * at + 1, 354) AS h FROM (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2, 128)) AS at FROM d) x),
+  w AS (SELECT rid, doc_id, at + i AS i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT rid, doc_id, at, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM c WHERE len(h) >= 100) x),
+  twice AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+  hit AS (SELECT rid, i FROM w JOIN twice USING (s) WHERE first < doc_id),
+  cuts AS (SELECT rid, i, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM hit),
+  runs AS (SELECT rid, min(i) AS a, max(i) + 50 AS b FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS g FROM cuts) x GROUP BY rid, g),
+  before AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 1) AS z FROM runs),
+  pieces AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * z - 1, 2 * (a - z)), '' ORDER BY a) AS kept
+    FROM before JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN pieces USING (rid)"""
