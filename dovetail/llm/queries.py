@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dovetail.llm import (
     chat,
     common,
+    conversation_trie,
     cross_polytope,
     decontamination,
     language_id,
@@ -89,6 +90,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "kept", "n_removed")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(common.table(spark, sf_dir, "conversations"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(common.table(spark, sf_dir, "documents"))
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_ngram_jaccard_join,
         op10_line_dedup,
+        op11_conversation_trie,
         op12_source_divergence,
         op13_suffix_repeats,
         llm_page_languages,
@@ -120,6 +126,7 @@ SQL: dict[str, str] = {
     "op5_decontamination": sql.DECONTAMINATION,
     "op7_chat_formatting": sql.CHAT,
     "op9_ngram_jaccard_join": sql.JACCARD,
+    "op11_conversation_trie": sql.TRIE,
     "op12_source_divergence": sql.DIVERGENCE,
     "op13_suffix_repeats": sql.REPEATS,
 }

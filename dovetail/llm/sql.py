@@ -85,3 +85,26 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text,
 SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * last - 1) END)) AS kept_sha256
 FROM d LEFT JOIN pieces USING (rid)"""
+
+#: CRC-32, bit by bit: a digit is taken in, and eight shifts follow it (-1).
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295)"""
+
+TRIE = f"""
+WITH t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, role, text
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) x),
+  c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE {_CRC} % 9 END AS h FROM (SELECT DISTINCT conv_id FROM t) x),
+  r AS (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.base WHERE pos < h
+    UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos >= h),
+  o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, strlen(text) AS size, md5(len(role) || ':' || role || text) AS turn FROM r),
+  p AS (SELECT conv_id, depth, size, md5(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM o),
+  members AS MATERIALIZED (SELECT conv_id, depth, size, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent FROM p
+    UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM c),
+  ends AS (SELECT conv_id, max(depth) AS depth FROM members GROUP BY conv_id),
+  nodes AS MATERIALIZED (SELECT node, depth, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, any_value(size) AS size FROM members GROUP BY node, depth),
+  kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+  closed AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM members JOIN ends USING (conv_id, depth) GROUP BY node),
+  paths AS (SELECT DISTINCT a.node AS top, b.node FROM members a JOIN members b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+  below AS (SELECT top, count(*) FILTER (WHERE kids.n IS NULL) AS leaves, sum((nodes.n_convs - 1) * nodes.size) AS saved FROM paths JOIN nodes USING (node) LEFT JOIN kids USING (node) GROUP BY top)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(closed.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes up ON up.node = n.parent LEFT JOIN kids ON kids.node = n.node LEFT JOIN closed ON closed.node = n.node JOIN below ON below.top = n.node"""
