@@ -104,6 +104,16 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> _U(33)) % _U(parts)).astype(np.int64)
 
 
+def _steps(at: np.ndarray) -> bytes:
+    """Ascending numbers as differences, in two bytes each where they fit."""
+    steps = np.diff(at, prepend=0)
+    return steps.astype("<u2" if steps.max() <= 0xFFFF else "<u4").tobytes()
+
+
+def _from_steps(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int64))
+
+
 def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -123,7 +133,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def _prints(docs: DataFrame, least: int, parts: int) -> DataFrame:
-    """Packed prints: a row for each slice and part with the ordinals of its spans in the slice; with part -1, what the slice's rows are."""
+    """Packed prints: a row for each slice and part, with the ordinals of its spans in the slice (as steps); and a row for each slice that says
+    what its rows are, which any part passes on."""
     names = ["part", "slice", "print", "at", "doc_id", "th", "spans"]
     longs = pa.list_(pa.int64())
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), longs, longs, longs]
@@ -140,14 +151,14 @@ def _prints(docs: DataFrame, least: int, parts: int) -> DataFrame:
                 continue
             counts = np.bincount(spans.text, minlength=len(texts))
             mine = np.flatnonzero(counts)
-            rows = [(-1, task + number, None, None, [keys[i][0] for i in mine], [keys[i][1] for i in mine], counts[mine].tolist())]
+            rows = [(number % parts, task + number, None, None, [keys[i][0] for i in mine], [keys[i][1] for i in mine], counts[mine].tolist())]
             part = s._part(spans.key, parts)
             order = np.argsort(part, kind="stable")
             edges = np.append(np.flatnonzero(np.append(True, np.diff(part[order]) > 0)), len(order))
             print_ = spans.key.astype(np.uint32)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 at = order[a:b]
-                rows.append((int(part[at[0]]), task + number, print_[at].astype("<u4").tobytes(), at.astype("<u4").tobytes(), None, None, None))
+                rows.append((int(part[at[0]]), task + number, print_[at].astype("<u4").tobytes(), s._steps(at), None, None, None))
                 if len(rows) == 64:
                     yield s._batch(names, kinds, rows)
                     rows = []
@@ -167,7 +178,13 @@ def _repeated_keys(prints: DataFrame, partitions: int, hot: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dovetail.llm import suffix_repeats as s
 
-        for part, rows in s._groups(batches):
+        for _, rows in s._groups(batches):
+            about = [(r[0], 0, None, None, *r[3:]) for r in rows if r[1] is None]
+            if about:
+                yield s._batch(names, kinds, about)
+            rows = [r for r in rows if r[1] is not None]
+            if not rows:
+                continue
             print_ = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows])
             order = np.argsort(print_)
             sorted_ = print_[order]
@@ -182,7 +199,7 @@ def _repeated_keys(prints: DataFrame, partitions: int, hot: int) -> DataFrame:
                 begin += len(mine)
                 which = np.flatnonzero(mine > 1)
                 if len(which):
-                    out.append((slice_, 1, np.frombuffer(at, "<u4")[which].tobytes(), (mine[which] > hot).tobytes(), None, None, None))
+                    out.append((slice_, 1, s._from_steps(at, len(mine))[which].astype("<u4").tobytes(), (mine[which] > hot).tobytes(), None, None, None))
                 if len(out) == 64:
                     yield s._batch(names, kinds, out)
                     out = []
@@ -190,13 +207,12 @@ def _repeated_keys(prints: DataFrame, partitions: int, hot: int) -> DataFrame:
                 yield s._batch(names, kinds, out)
 
     schema = "slice long, kind int, at binary, often binary, doc_id array<long>, th array<long>, spans array<long>"
-    dealt = prints.where("part >= 0").repartition(partitions, "part").sortWithinPartitions("part")
+    dealt = prints.repartition(partitions, "part").sortWithinPartitions("part")
     return common.map_arrow(dealt, run, schema)
 
 
-def _marked(repeated: DataFrame, slices: DataFrame, partitions: int) -> DataFrame:
+def _marked(repeated: DataFrame, partitions: int) -> DataFrame:
     """doc_id, th, at (ordinals of the document's spans that go on), often (which of them have a hot key), hot (whether any does)."""
-    both = repeated.unionByName(slices.select("slice", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("often"), "doc_id", "th", "spans"))
     names = ["doc_id", "th", "at", "often", "hot"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
 
@@ -218,7 +234,7 @@ def _marked(repeated: DataFrame, slices: DataFrame, partitions: int) -> DataFram
                 out.append((ids[i], th[i], (at[a:b] - edge[i]).astype("<u4").tobytes(), often[a:b].tobytes(), bool(often[a:b].any())))
             yield s._batch(names, kinds, out)
 
-    dealt = both.repartition(partitions, "slice").sortWithinPartitions("slice", "kind")
+    dealt = repeated.repartition(partitions, "slice").sortWithinPartitions("slice", "kind")
     return common.map_arrow(dealt, run, "doc_id long, th long, at binary, often binary, hot boolean").dropDuplicates(["doc_id", "th"])
 
 
@@ -246,7 +262,7 @@ def _span_bytes(marked: DataFrame, least: int, parts: int) -> DataFrame:
                 size = spans.size[mine]
                 from_ = spans.base[spans.text[mine]] + spans.start[mine]
                 at = np.repeat(from_ - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                rows.append((int(part[a]), [keys[i][0] for i in local], [keys[i][1] for i in local], idx.astype("<u4").tobytes(), spans.start[mine].astype("<i8").tobytes(), size.astype("<u2").tobytes(), spans.data[at].tobytes()))
+                rows.append((int(part[a]), [keys[i][0] for i in local], [keys[i][1] for i in local], idx.astype("<u4").tobytes(), spans.start[mine].astype("<u4").tobytes(), size.astype("<u2").tobytes(), pa.compress(spans.data[at].tobytes(), "zstd", asbytes=True)))
                 if len(rows) == 64:
                     yield s._batch(names, kinds, rows)
                     rows = []
@@ -336,9 +352,10 @@ class Part:
             i = np.frombuffer(idx, "<u4")
             owner.append(np.array([_FIRST if d is None else d for d in ids], np.int64)[i])
             th.append(np.array(hashes, np.int64)[i])
-            start.append(np.frombuffer(from_, "<i8"))
-            at = 0
-            for n in np.frombuffer(size, "<u2").tolist():
+            start.append(np.frombuffer(from_, "<u4").astype(np.int64))
+            at, size = 0, np.frombuffer(size, "<u2")
+            raw = pa.decompress(raw, int(size.sum(dtype=np.int64)), "zstd", asbytes=True)
+            for n in size.tolist():
                 which.append(seen.setdefault(raw[at : at + n], len(seen)))
                 at += n
         self.owner, self.th, self.start, self.which = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, th, start, [np.array(which, np.int64)]))
@@ -485,9 +502,8 @@ def _prepared(docs: DataFrame, least: int, hot: int) -> tuple[DataFrame, int, in
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(64, -(-size // (8 * PART_KEYS)))  # a key for each 16 bytes or so
     partitions = min(MOST_PARTITIONS, parts)
-    prints = common.stash(_prints(docs, least, parts), "prints")
-    repeated = _repeated_keys(prints, partitions, hot)
-    marked = common.stash(_marked(repeated, prints.where("part < 0").select("slice", "doc_id", "th", "spans"), partitions), "marked")
+    repeated = _repeated_keys(_prints(docs, least, parts), partitions, hot)
+    marked = common.stash(_marked(repeated, partitions), "marked")
     many, any_hot = marked.agg(F.sum(F.octet_length("at") / 4), F.max("hot")).first()
     span_parts = max(64, -(-int(many or 0) // PART_SPANS))
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64("d.text") == F.col("m.th"))
