@@ -134,10 +134,16 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
 MOST_REJECTED = 100_000
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` less the rows with the doc_id and text hash (th) of ``rejected``. Null ids are compared as equal."""
-    keys = stash(rejected.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "rejected")
+def quoted(column: str, of: str) -> str:
+    """The name of a column of the frame called ``of``, whatever letters it has."""
+    return f"{of}.`{column.replace('`', '``')}`"
+
+
+def without(docs: DataFrame, rejected: DataFrame, how: str = "left_anti") -> DataFrame:
+    """``docs`` less the rows with the doc_id and text hash (th) of ``rejected``, or only those (``left_semi``). Null ids are compared as equal;
+    columns of ``docs`` may have any names and types."""
+    keys = stash(rejected.select("doc_id", "th").distinct(), "rejected")
     if keys.limit(MOST_REJECTED + 1).count() <= MOST_REJECTED:
         keys = F.broadcast(keys)
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th"))
-    return docs.join(keys, same, "left_anti")
+    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.th"))
+    return docs.alias("d").join(keys.alias("r"), same, how)

@@ -1,24 +1,21 @@
-"""Line and paragraph dedup: digests grouped globally, the earliest occurrence kept, original offsets retained.
-
-1. Every line, every paragraph of several lines, and every window of a line gets a 128-bit digest of its normalised words
-   (letter case and white space do not count). Windows find passages that were set into the middle of a line: a line is cut
-   into tiles after the words that rank least of some ``CUT_WINDOW`` words in a row, by their hash, ends of sentences before others;
-   a window is a tile and those after it up to ``WINDOW_WORDS`` words. Cuts depend on the words around them only, so within
-   ``CUT_WINDOW`` words of its ends a passage is cut alike wherever it stands: of a passage of 51 words that stands in two lines
-   anywhere, 21 at least go from the later. Digests are made once and stored.
-2. Digests are grouped globally for the smallest ``doc_id`` that has them. A later document loses the tiles of a line,
-   paragraph or window that an earlier one has, and those that repeat one further up in itself without overlap.
-3. Only runs of ``min_words`` words or more that go together go, or a document that goes as a whole: so each word that
-   goes has an equal that stays, and a short phrase that many documents use is left alone. ``min_words=1`` removes every repeated
-   line, whatever its length.
-
-Digests that more than a thousandth of all repeated units have are a thousand at most, whatever the corpus; they are found by their
-counts, and the join spreads them over salts. Words that are not ASCII and have no spaces count by their bytes.
-
-Rows are told apart by doc_id and text. Rows that share an id (null is an id, ranked first) count as one document between
-documents: they do not remove each other's units. Equal rows get equal results. Null texts stay null; empty texts stay
-empty. A very long text is hashed in one piece, as its paragraphs may be that long; it needs some 60 bytes a byte. Columns of
-the same names as those made here are replaced and all others kept; an empty table stays empty.
+"""Line dedup: digests of normalised lines grouped globally, the earliest ranked occurrence kept, original offsets retained.
+
+1. Every line gets a 128-bit digest of its normalised words (letter case and white space do not count). Digests are grouped globally
+   for the first row that has them, in the order of (doc_id, hash of the text), null ids first. Every later line goes, whatever its length: in
+   later rows, and further down in the same row. A paragraph that repeats goes with its lines.
+2. Passages that were set into the middle of a line are found by windows: a line is cut into tiles after the words that rank least of
+   some ``CUT_WINDOW`` words in a row, by their hash, ends of sentences before others; a window is a tile and those after it up to
+   ``WINDOW_WORDS`` words. Cuts depend on the words around them only, so within ``CUT_WINDOW`` words of its ends a passage is cut alike
+   wherever it stands: of a passage of 51 words that stands in two lines anywhere, 21 at least go from the later.
+3. Of what only windows mark, runs of ``min_words`` words or more go (lines that go count in), or all of a document; so a short
+   phrase inside lines of many documents is left alone. This floor does not touch whole lines.
+
+Digests are made once and stored. Those that more than a thousandth of all repeated units have are a thousand at most, whatever the corpus; they
+are found by their counts, and the join spreads them over salts. Words that are not ASCII and have no spaces count by their bytes.
+
+Equal rows (of doc_id and text) get equal results and do not remove each other's lines. Null texts stay null; empty texts stay empty. A very
+long text is hashed in one piece, as a line may be that long; it needs some 60 bytes a byte. Other columns are kept, whatever their names and
+types; ``remove_repeats`` replaces columns called ``kept`` and ``n_removed``. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,8 +23,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dovetail.llm import common
@@ -37,8 +35,10 @@ WINDOW_WORDS, CUT_WINDOW, MIN_WORDS = 8, 12, 20
 SLICE_BYTES, LONG_BYTES, WIDE_BYTES = 1_000_000, 48, 6
 _FIRST = np.iinfo(np.int64).min
 _OTHER_BASE = 0xC2B2AE3D27D4EB4F
+#: Tells the digest of a whole line from that of a window with the same words.
+_WHOLE_LINE = np.int64(0x2545F4914F6CDD1D)
 #: Small differences in place of places that grow, so that the stored table is small: ``reach`` tiles from ``first``, ``gap`` characters
-#: before a tile and ``long`` in it, ``lines`` from the tile before.
+#: before a tile and ``long`` in it, ``lines`` from the tile before. The ``reach`` of a whole line is negative.
 _UNITS = "doc_id long, th long, k1 array<long>, k2 array<long>, first array<int>, reach array<int>, own array<int>, gap array<int>, long array<int>, words array<int>, lines array<int>, size long"
 
 
@@ -84,7 +84,7 @@ def _winnowed(h: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 class Units:
     """Tiles and digests of some texts: tiles ``start`` to ``end`` (code points) of text ``tile_text``, with ``words`` and ``line``;
-    digests ``k1``, ``k2`` of tiles ``first`` to before ``last`` of ``text``; ``own`` marks those that repeat one further up."""
+    digests ``k1``, ``k2`` of tiles ``first`` to before ``last`` of ``text``; ``whole`` marks those of lines, ``own`` those that repeat one further up."""
 
     def __init__(self, texts: list[str]):
         from dovetail.llm.shingles import BASE, mix, prefix_sums, span_hashes
@@ -127,20 +127,15 @@ class Units:
         of_line = np.repeat(line_end, np.diff(np.append(heads, tiles)))
         sub_end = np.searchsorted(total, total[:-1] + WINDOW_WORDS, "left")
         fits = np.flatnonzero(sub_end <= of_line) if tiles else np.zeros(0, np.int64)
-        # a line of one window is that window; a paragraph ends at a blank line
-        alone = np.flatnonzero(sub_end[heads] != line_end)
-        gap = np.ones(len(heads), bool)
-        gap[1:] = (self.line[heads[1:]] - self.line[heads[:-1]] > 1) | (self.tile_text[heads[1:]] != self.tile_text[heads[:-1]])
-        paragraph = np.flatnonzero(gap)
-        several = np.diff(np.append(paragraph, len(heads))) > 1
-        paragraph_end = np.append(heads[paragraph[1:]], tiles)[: len(paragraph)]
-        first = np.concatenate([np.arange(tiles)[fits], heads[alone], heads[paragraph[several]]])
-        end = np.concatenate([sub_end[fits], line_end[alone], paragraph_end[several]])
-        order = np.lexsort((end, first))
-        self.first, self.last = first[order], end[order]
+        first = np.concatenate([np.arange(tiles)[fits], heads])
+        end = np.concatenate([sub_end[fits], line_end])
+        whole = np.arange(len(first)) >= len(fits)
+        order = np.lexsort((whole, end, first))
+        self.first, self.last, self.whole = first[order], end[order], whole[order]
         self.text = self.tile_text[self.first]
         with np.errstate(over="ignore"):
             self.k1 = span_hashes(prefix_sums(one), edge[self.first], edge[self.last]).view(np.int64)
+            self.k1[self.whole] ^= _WHOLE_LINE
             self.k2 = span_hashes(prefix_sums(mix(two), _OTHER_BASE), edge[self.first], edge[self.last], _OTHER_BASE).view(np.int64)
         assert BASE != _OTHER_BASE
         order = np.lexsort((self.first, self.k2, self.k1, self.text))
@@ -182,7 +177,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                 _lists(u.k1, digests, pa.int64()),
                 _lists(u.k2, digests, pa.int64()),
                 _lists(u.first - base[u.text], digests, small),
-                _lists(u.last - u.first, digests, small),
+                _lists(np.where(u.whole, u.first - u.last, u.last - u.first), digests, small),
                 _lists(own - place[u.text[own]], np.bincount(u.text[own], minlength=n), small),
                 _lists(u.start - before, tiles, small),
                 _lists(u.end - u.start, tiles, small),
@@ -196,24 +191,27 @@ def unit_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_units(units: DataFrame) -> DataFrame:
-    """row and ``elsewhere``: the numbers of a row's digests that an earlier document has. ``units``: stored, of ``unit_rows``, with a number ``row``."""
-    rows = units.select("row", F.coalesce("doc_id", F.lit(_FIRST)).alias("owner"), F.posexplode(F.arrays_zip("k1", "k2")).alias("idx", "k"))
-    rows = rows.select("row", "owner", "idx", "k.k1", "k.k2")
-    keys = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("owner").alias("first"), F.max("owner").alias("last"))
+    """row and ``elsewhere``: the numbers of a row's digests that an earlier row has. ``units``: stored, of ``unit_rows``, with a number ``row``."""
+    rank = F.struct(F.coalesce("doc_id", F.lit(_FIRST)).alias("owner"), "th")
+    rows = units.select("row", rank.alias("rank"), F.posexplode(F.arrays_zip("k1", "k2")).alias("idx", "k"))
+    rows = rows.select("row", "rank", "idx", "k.k1", "k.k2")
+    keys = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last"))
     keys = common.stash(keys.where("first <> last").select("k1", "k2", "n", "first"), "unit-keys")
-    found = common.spread_join(rows, keys, ["k1", "k2"], ["row"], "inner", "n").where("first < owner")
+    found = common.spread_join(rows, keys, ["k1", "k2"], ["row"], "inner", "n").where("first < rank")
     return found.groupBy("row").agg(F.collect_set("idx").alias("elsewhere"))
 
 
-def kept_spans(going: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray, line: np.ndarray, size: int, min_words: int) -> list[tuple[int, int]]:
-    """What stays of a text of ``size`` characters without the runs of ``going`` tiles that have ``min_words`` words, or are all of it."""
+def kept_spans(sure: np.ndarray, going: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray, line: np.ndarray, size: int, min_words: int) -> list[tuple[int, int]]:
+    """What stays of a text of ``size`` characters without the ``sure`` tiles and the runs of ``going`` tiles that have ``min_words`` words, or are all of it."""
     n = len(going)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], going.astype(np.int8), [0]])))
+    goes = sure.copy()
+    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+        if (a == 0 and b == n) or words[a:b].sum() >= min_words:
+            goes[a:b] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], goes.astype(np.int8), [0]])))
     out, at = [], 0
     for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
-        whole = a == 0 and b == n
-        if not whole and words[a:b].sum() < min_words:
-            continue
         begin = 0 if a == 0 else int(start[a])
         # what follows moves up; but where only the end of a line goes, its line break stays
         ends_line = b < n and line[b] != line[b - 1]
@@ -242,13 +240,15 @@ def span_rows(units: DataFrame, min_words: int) -> DataFrame:
             for i in range(batch.num_rows):
                 first, reach, own, gap, long, words, lines = (batch.column(k)[i].values.to_numpy() for k in range(2, 9))
                 end = np.cumsum(gap + long)
-                start, last, line = end - long, first + reach, np.cumsum(lines)
+                start, last, line = end - long, first + np.abs(reach), np.cumsum(lines)
                 size, elsewhere = batch.column(9)[i].as_py(), batch.column(10)[i].values
                 places = own if elsewhere is None else np.union1d(own, elsewhere.to_numpy())
-                marks = np.zeros(len(start) + 1, np.int64)
-                np.add.at(marks, first[places], 1)
-                np.add.at(marks, last[places], -1)
-                spans = kept_spans(np.cumsum(marks[:-1]) > 0, start, end, words, line, size, min_words)
+                marks = np.zeros((2, len(start) + 1), np.int64)  # of whole lines, of all
+                for k, some in enumerate((places[reach[places] < 0], places)):
+                    np.add.at(marks[k], first[some], 1)
+                    np.add.at(marks[k], last[some], -1)
+                sure, going = np.cumsum(marks[:, :-1], 1) > 0
+                spans = kept_spans(sure, going, start, end, words, line, size, min_words)
                 gone = size - sum(b - a for a, b in spans)
                 if gone:
                     which.append(i)
@@ -260,15 +260,40 @@ def span_rows(units: DataFrame, min_words: int) -> DataFrame:
     return common.map_arrow(touched, run, "doc_id long, th long, kept array<struct<start:long,end:long>>, n_removed long").distinct()
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with what stays of ``text``, and ``kept`` (start and end of each kept span in the original), n_removed (characters)."""
+def _cut(docs: DataFrame, min_words: int) -> tuple[DataFrame, dict[str, Column]]:
+    """``docs`` beside what stays of each row, and columns of it: ``text``, ``kept`` and ``n_removed``."""
     units = common.stash(unit_rows(docs).withColumn("row", F.monotonically_increasing_id()), "units")
-    spans = common.stash(span_rows(units, min_words), "spans").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("kept").alias("_kept"), F.col("n_removed").alias("_gone"))
-    old = [c for c in docs.columns if c not in ("kept", "n_removed")]
-    joined = docs.select(*old).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
-    left = F.array_join(F.transform("_kept", lambda s: F.substring(F.col("text"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))), "")
-    size = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")
+    spans = common.stash(span_rows(units, min_words), "spans")
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.th"))
+    joined = docs.alias("d").join(spans.alias("s"), same, "left")
+    text, touched = F.col("d.text"), F.col("s.kept").isNotNull()
+
+    @F.pandas_udf("string")
+    def pieces(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else "".join([t[x:y] for x, y in zip(a, b)]) for t, a, b in zip(text, start, end)], dtype=object)
+
+    part = lambda f: F.transform("s.kept", lambda k: k[f])
+    left = pieces(F.when(touched, text), part("start"), part("end"))
+    size = F.coalesce(F.char_length(text), F.lit(0)).cast("bigint")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     whole = F.when(size > 0, F.array(F.struct(F.lit(0).cast("bigint").alias("start"), size.alias("end")))).otherwise(none)
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(left)
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in old), F.coalesce("_kept", whole).alias("kept"), F.coalesce("_gone", F.lit(0).cast("bigint")).alias("n_removed"))
+    made = {
+        "text": F.when(touched, left).otherwise(text),
+        "kept": F.coalesce(F.col("s.kept"), whole),
+        "n_removed": F.coalesce(F.col("s.n_removed"), F.lit(0).cast("bigint")),
+    }
+    return joined, {name: column.alias(name) for name, column in made.items()}
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with what stays of ``text``, and ``kept`` (start and end of each kept span in the original), n_removed (characters)."""
+    joined, made = _cut(docs, min_words)
+    others = [c for c in docs.columns if c not in ("kept", "n_removed")]
+    return joined.select(*(made["text"] if c == "text" else F.col(common.quoted(c, "d")) for c in others), made["kept"], made["n_removed"])
+
+
+def cut_texts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with what stays of ``text`` and, where there is a column of that name, its length as ``n_chars``; all other columns as they are."""
+    joined, made = _cut(docs, min_words)
+    made["n_chars"] = F.char_length(made["text"]).cast("bigint").alias("n_chars")
+    return joined.select(*(made[c] if c in ("text", "n_chars") else F.col(common.quoted(c, "d")) for c in docs.columns))

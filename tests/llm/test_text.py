@@ -53,21 +53,23 @@ def test_component_of_a_path(spark):
     assert {r.root for r in components.components(edges).collect()} == {0}
 
 
-def _brute_lines(rows, min_words):
-    """What stays when whole lines go that an earlier id has, or the text itself further up; lines of under 8 words only."""
-    first: dict[str, int] = {}
+def _brute_lines(spark, rows):
+    """What stays by plain line hashing: of equal lines, that of the first row by (doc_id, hash of the text) stays, the first in it."""
     key = lambda line: " ".join(line.lower().split())
-    rank = lambda d: -(10**9) if d is None else d
-    for d, t, *_ in sorted(rows, key=lambda r: rank(r[0])):
+    texts = [(t,) for t in {t for _, t, *_ in rows}]
+    hashes = {r.text: r.th for r in spark.createDataFrame(texts, "text string").select("text", F.xxhash64("text").alias("th")).collect()}
+    rank = lambda d, t: (-(1 << 63) if d is None else d, hashes[t])
+    first: dict[str, tuple] = {}
+    for d, t, *_ in sorted(rows, key=lambda r: rank(r[0], r[1])):
         for line in (t or "").split("\n"):
-            first.setdefault(key(line), rank(d))
+            first.setdefault(key(line), rank(d, t))
     out = []
     for d, t, *_ in rows:
         lines = re.findall(r"[^\n]*\n|[^\n]+", t or "")
         seen, gone = set(), []
         for line in lines:
             k = key(line)
-            gone.append(bool(k) and (first[k] < rank(d) or k in seen))
+            gone.append(bool(k) and (first[k] < rank(d, t) or k in seen))
             seen.add(k)
         worded = [i for i, line in enumerate(lines) if line.split()]
         kept, run = list(lines), []
@@ -75,7 +77,7 @@ def _brute_lines(rows, min_words):
             if i is not None and gone[i]:
                 run.append(i)
                 continue
-            if run and (len(run) == len(worded) or sum(len(lines[j].split()) for j in run) >= min_words):
+            if run:  # blank lines inside a run go with it
                 for j in range(run[0], i if i is not None else len(lines)):
                     kept[j] = ""
                 if run[0] == worded[0]:
@@ -93,9 +95,9 @@ def test_line_dedup_against_brute_force(spark):
     # ids that two rows share, one long and one short, with a line that is nowhere else
     rows += [(7, "only here and\nnowhere else\n" * 3 + pool[5], "en", "s", 1), (7, "short", "en", "s", 1)]
     df = frame(spark, rows).withColumn("kept", F.lit(1)).withColumn("own", F.lit("mine"))
-    for least in (1, 6):
+    for least in (6, 20):
         got = line_dedup.remove_repeats(df, min_words=least).collect()
-        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(_brute_lines(rows, least), key=str)
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(_brute_lines(spark, rows), key=str)
         texts = {}
         for d, t, *_ in rows:
             texts.setdefault(d, []).append(t)
@@ -127,10 +129,21 @@ def test_passages_inside_lines(spark):
         assert got[d].text.count("\n") == 2
 
 
-def test_short_phrases_stay_and_whole_copies_go(spark):
+def test_short_lines_and_whole_copies_go(spark):
     rows = [(1, "All rights reserved here.\nA tale of the sea.", "en", "s", 1), (2, "Something else.\nAll rights reserved here.", "en", "s", 1), (3, "Two words", "en", "s", 1), (4, "two  WORDS", "en", "s", 1), (5, "文字列の長い行。次の行。", "en", "s", 1), (6, "文字列の長い行。次の行。", "en", "s", 1)]
     got = {r.doc_id: r.text for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
-    assert got == {1: rows[0][1], 2: rows[1][1], 3: "Two words", 4: "", 5: rows[4][1], 6: ""}
+    assert got == {1: rows[0][1], 2: "Something else.\n", 3: "Two words", 4: "", 5: rows[4][1], 6: ""}
+    phrase = "quite a few words that many use"
+    rows = [(i, f"own{i} start {phrase} and end{i} here", "en", "s", 1) for i in range(5)]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {i: t for i, t, *_ in rows}  # a short phrase inside lines stays
+
+
+def test_a_footer_goes_from_all_but_the_first(spark):
+    footer = "ten words that stand at the foot of every page"
+    rows = [(i if i % 3 else None, f"text {i} alone\n{footer}", "en", "s", 1) for i in range(60)]
+    got = line_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert sum(footer in r.text for r in got) == 1 and sum(r.n_removed > 0 for r in got) == 59
 
 
 @settings(max_examples=60, deadline=None)

@@ -164,7 +164,7 @@ def test_run_against_brute_force(spark, tmp_path):
     label = link_classes([r[1] for r in kept])
     kept = [r for i, (r, c) in enumerate(zip(kept, label)) if i == c]
     assert len(kept) == len(rows) - 6
-    kept = _brute_lines(kept, 20)
+    kept = _brute_lines(spark, kept)
     assert sum(len(t) for _, t in kept) < sum(len(r[1]) for r in rows if r[0] in {d for d, _ in kept})
     bad = {d for d, *_, hit in _contaminated(kept, items) if hit}
     assert bad
