@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: that of the smallest id, then of the smallest text hash; a null id comes last.
 
-    Of rows with that id and text, one stays: that of the smallest other columns. Texts without words are linked with nothing.
+    Of rows with that id and text, one stays: that whose other columns come first as JSON. Texts without words are linked with nothing.
     """
     found = common.stash(ngram_join.similarity_classes(docs), "classes")
     grouped = common.stash(found.where("n_shingles > 0").groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")), "grouped")
@@ -31,22 +31,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     best = common.stash(grouped.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("rows")), "best")
     judged = common.spread_join(grouped, best, ["root"], ["doc_id", "th"], "inner")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
-    kept = common.without(docs, judged.where(~stays).select("doc_id", "th"))
+    kept = common.without(docs, judged.where(~stays))
     again = common.stash(judged.where(stays & (F.col("n") > 1)).select("doc_id", "th"), "again")
     if again.isEmpty():
         return kept
-    once = common.without(kept, again)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.xxhash64("d.text") == F.col("a.th"))
-    rows = kept.alias("d").join(again.alias("a"), same, "left_semi").withColumn("th", F.xxhash64("text"))
-    one = rows.groupBy("doc_id", "th").agg(F.min(F.struct(*others, "text")).alias("row"))
-    return once.unionByName(one.select("doc_id", "row.*").select(*docs.columns))
+    whole = [F.col(common.quoted(c, "k")) for c in docs.columns]
+    others = [F.col(common.quoted(c, "k")) for c in docs.columns if c not in ("doc_id", "text")]
+    rank = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = common.without(kept, again, "left_semi").alias("k")
+    one = rows.groupBy(F.col("k.doc_id").alias("of"), F.xxhash64("k.text").alias("hash")).agg(F.min_by(F.struct(*whole), rank).alias("row"))
+    return common.without(kept, again).unionByName(one.select("row.*"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines and passages that an earlier one, or they themselves further up, have."""
-    kept = line_dedup.remove_repeats(docs)
-    return kept.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    return line_dedup.cut_texts(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
