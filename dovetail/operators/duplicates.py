@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dovetail.functions import dates, names, paths, scoring
+from dovetail.operators import pairing
 from dovetail.sources import shared
 
 
@@ -78,34 +76,26 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def pair_raw_jpeg(images: DataFrame, within_seconds: float = 1.0) -> DataFrame:
-    """raw_id, jpeg_id: each raw file with the first free picture of its directory of the same name, or camera and second.
+def pair_raw_jpeg(images: DataFrame, within_seconds: int = 1) -> DataFrame:
+    """raw_id, jpeg_id: each raw file with the first free picture of its directory of the same name, else of its camera and second.
 
-    Choices depend on those before, by source and path, so a directory is one group.
+    Raw files choose by source and path. A name or a camera's second in a directory is one list (see ``pairing``), not a directory.
     """
-    rows = images.where("kind = 'image'").select("id", "source", "rel_path", paths.dirname(F.col("rel_path")).alias("dir"), paths.stem(F.col("rel_path")).alias("stem"), F.lower(paths.ext(F.col("rel_path"))).isin(names.RAW_EXTENSIONS).alias("raw"), "camera_model", F.unix_timestamp(F.try_to_timestamp(F.substring("exif_dto", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))).cast("double").alias("at"))
+    second = F.unix_timestamp(F.try_to_timestamp(F.substring("exif_dto", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    rows = images.where("kind = 'image'").select("id", "source", "rel_path", paths.dirname(F.col("rel_path")).alias("dir"), paths.stem(F.col("rel_path")).alias("stem"), F.lower(paths.ext(F.col("rel_path"))).isin(names.RAW_EXTENSIONS).alias("raw"), F.nullif("camera_model", F.lit("")).alias("camera"), second.alias("second"))
     both = rows.groupBy("dir").agg(F.bool_or("raw").alias("has_raw"), F.bool_or(~F.col("raw")).alias("has_other")).where("has_raw and has_other").select("dir")
-
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["source", "rel_path", "id"], kind="stable")
-        free = dict.fromkeys(group.index[~group["raw"]])
-        by_stem: dict[str, list] = {}
-        by_camera: dict[str, list] = {}
-        for k in free:
-            by_stem.setdefault(group.at[k, "stem"], []).append(k)
-            if group.at[k, "camera_model"]:
-                by_camera.setdefault(group.at[k, "camera_model"], []).append(k)
-        found = []
-        for r in group.index[group["raw"]]:
-            match = next((k for k in by_stem.get(group.at[r, "stem"], ()) if k in free), None)
-            if match is None and group.at[r, "camera_model"] and pd.notna(group.at[r, "at"]):
-                match = next((k for k in by_camera.get(group.at[r, "camera_model"], ()) if k in free and pd.notna(group.at[k, "at"]) and abs(group.at[k, "at"] - group.at[r, "at"]) <= within_seconds), None)
-            if match is not None:
-                del free[match]
-                found.append((group.at[r, "id"], group.at[match, "id"]))
-        return pd.DataFrame(found, columns=["raw_id", "jpeg_id"], dtype="int64")
-
-    return rows.join(both, "dir", "left_semi").groupBy("dir").applyInPandas(pair, "raw_id long, jpeg_id long")
+    order = ["dir", "source", "rel_path", "id"]
+    queue = rows.join(both, "dir", "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
+    queue = shared.stash(queue.withColumn("place", F.monotonically_increasing_id()), "queue")
+    named = F.struct(F.lit(0).alias("level"), F.to_json(F.struct("dir", "stem")).alias("list"))
+    timed = lambda s: F.when(F.col("camera").isNotNull() & F.col("second").isNotNull(), F.struct(F.lit(1).alias("level"), F.to_json(F.struct("dir", "camera", s.alias("second"))).alias("list")))
+    span = range(-int(within_seconds), int(within_seconds) + 1)
+    lists = lambda *x: F.explode(F.array_compact(F.array(named, *x))).alias("l")
+    asks = queue.where("raw").select(F.col("place").alias("ask"), lists(*(timed(F.col("second") + k) for k in span))).select("ask", "l.level", "l.list")
+    offers = queue.where("not raw").select(F.col("place").alias("offer"), lists(timed(F.col("second")))).select("offer", "l.list")
+    found = pairing.in_turn(asks, offers)
+    of = queue.select("id", "place")
+    return found.join(of.select(F.col("id").alias("raw_id"), F.col("place").alias("ask")), "ask").join(of.select(F.col("id").alias("jpeg_id"), F.col("place").alias("offer")), "offer").select("raw_id", "jpeg_id")
 
 
 def pair_live(media: DataFrame) -> DataFrame:
