@@ -73,8 +73,8 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 
 REPEATS = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-  c AS (SELECT rid, doc_id, at, substr(h, 2 * at + 1, 354) AS h FROM (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2, 128)) AS at FROM d) x),
-  w AS (SELECT rid, doc_id, at + i AS i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT rid, doc_id, at, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM c WHERE len(h) >= 100) x),
+  c AS (SELECT rid, doc_id, z, substr(h, 2 * z + 1, 354) AS h FROM (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2, 128)) AS z FROM d) x),
+  w AS (SELECT rid, doc_id, z + i AS i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT rid, doc_id, z, h, unnest(range(1, least(128, len(h) // 2 - 49) + 1)) AS i FROM c WHERE len(h) >= 100) x),
   twice AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
   hit AS (SELECT rid, i FROM w JOIN twice USING (s) WHERE first < doc_id),
   cuts AS (SELECT rid, i, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM hit),

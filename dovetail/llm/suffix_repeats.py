@@ -12,9 +12,9 @@
    the same occurrences, so this is every byte covered by a window that also starts in a document with a smaller ``doc_id``.
 
 A repeat longer than a span comes as overlapping pieces, one for each span, each with all occurrences of that piece. Keys that more than
-``HOT`` spans share (a phrase that many documents use) are not gathered in one place: their windows are grouped by a 128-bit
-digest, counted before they travel, and met again over salts; each such group is a repeat of ``least`` bytes. Everything else
-is compared byte by byte.
+``HOT`` spans share (a phrase that many documents use) are not gathered in one place: equal spans are grouped by a 128-bit digest before
+they travel, the windows of what is left by another, and all places meet them again over salts; each window that repeats is a
+repeat of ``least`` bytes. Everything else is compared byte by byte.
 
 A null id counts as the smallest. Rows of one id do not remove each other's bytes. Null texts are empty; texts shorter than ``least``
 bytes stay. Repeated rows get equal results, told apart by doc_id and a 64-bit hash of the text. A very long text is hashed in one piece, at
@@ -238,19 +238,45 @@ def _marked(repeated: DataFrame, partitions: int) -> DataFrame:
     return common.map_arrow(dealt, run, "doc_id long, th long, at binary, often binary, hot boolean").dropDuplicates(["doc_id", "th"])
 
 
-def _span_bytes(marked: DataFrame, least: int, parts: int) -> DataFrame:
-    """Packed spans without a hot key: a row for each slice and part; ``rows`` are its documents, ``idx`` the document of each span."""
-    names = ["part", "doc_id", "th", "idx", "start", "size", "bytes"]
+def _digests(spans: Spans, p: np.ndarray, least: int) -> tuple[np.ndarray, list[bytes | None]]:
+    """128-bit digests of the spans ``p``, and of the windows of the first of equal ones."""
+    from dovetail.llm.shingles import mix, prefix_sums, span_hashes
+
+    bytes_ = spans.data.astype(np.uint64) + _U(1)
+    one, two = prefix_sums(bytes_), prefix_sums(mix(bytes_), _OTHER)
+    digest = lambda a, b: np.stack([span_hashes(one, a, b), span_hashes(two, a, b, _OTHER)], 1).astype("<u8")
+    begin = spans.base[spans.text[p]] + spans.start[p]
+    whole = digest(begin, begin + spans.size[p])
+    windows: list[bytes | None] = [None] * len(p)
+    for i in np.unique(whole[:, 0], return_index=True)[1].tolist():
+        at = begin[i] + np.arange(spans.size[p[i]] - least + 1)
+        windows[i] = digest(at, at + least).tobytes()
+    return whole, windows
+
+
+def _span_bytes(texts: DataFrame, least: int, parts: int) -> DataFrame:
+    """Packed spans: a row for each slice and part with its documents, and in ``idx`` the document of each span. Those with a hot key are one row
+    of any part, with digests in place of their bytes, and in ``windows`` the digests of the windows of the first of equal ones."""
+    names = ["part", "doc_id", "th", "idx", "start", "size", "bytes", "windows"]
     longs = pa.list_(pa.int64())
-    kinds = [pa.int64(), longs, longs, *[pa.binary()] * 4]
+    kinds = [pa.int64(), longs, longs, *[pa.binary()] * 4, pa.list_(pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dovetail.llm import suffix_repeats as s
 
-        for keys, texts in s._slices(batches, 4):
+        for number, (keys, texts) in enumerate(s._slices(batches, 4)):
             spans = s.Spans(texts, least)
             first = np.searchsorted(spans.text, np.arange(len(texts)))
-            picked = np.concatenate([np.frombuffer(k[2], "<u4").astype(np.int64)[~np.frombuffer(k[3], bool)] + first[i] for i, k in enumerate(keys)])
+            marked_ = np.concatenate([np.frombuffer(k[2], "<u4").astype(np.int64) + first[i] for i, k in enumerate(keys)])
+            hot = np.concatenate([np.frombuffer(k[3], bool) for k in keys])
+            packed = lambda p: [[keys[i][c] for i in np.unique(spans.text[p])] for c in (0, 1)]
+            if hot.any():
+                p = marked_[hot]
+                idx = np.unique(spans.text[p], return_inverse=True)[1]
+                digests, windows = s._digests(spans, p, least)
+                small = (idx.astype("<u4").tobytes(), spans.start[p].astype("<u4").tobytes(), spans.size[p].astype("<u2").tobytes())
+                yield s._batch(names, kinds, [(number % parts, *packed(p), *small, digests.tobytes(), windows)])
+            picked = marked_[~hot]
             part = s._part(spans.key[picked], parts)
             picked = picked[np.lexsort((spans.key[picked], part))]
             part = s._part(spans.key[picked], parts)
@@ -258,18 +284,18 @@ def _span_bytes(marked: DataFrame, least: int, parts: int) -> DataFrame:
             rows = []
             for a, b in zip(edges[:-1], edges[1:]):
                 mine = picked[a:b]
-                local, idx = np.unique(spans.text[mine], return_inverse=True)
+                idx = np.unique(spans.text[mine], return_inverse=True)[1]
                 size = spans.size[mine]
                 from_ = spans.base[spans.text[mine]] + spans.start[mine]
                 at = np.repeat(from_ - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                rows.append((int(part[a]), [keys[i][0] for i in local], [keys[i][1] for i in local], idx.astype("<u4").tobytes(), spans.start[mine].astype("<u4").tobytes(), size.astype("<u2").tobytes(), pa.compress(spans.data[at].tobytes(), "zstd", asbytes=True)))
+                rows.append((int(part[a]), *packed(mine), idx.astype("<u4").tobytes(), spans.start[mine].astype("<u4").tobytes(), size.astype("<u2").tobytes(), pa.compress(spans.data[at].tobytes(), "zstd", asbytes=True), None))
                 if len(rows) == 64:
                     yield s._batch(names, kinds, rows)
                     rows = []
             if rows:
                 yield s._batch(names, kinds, rows)
 
-    return common.map_arrow(marked.select("doc_id", "th", "at", "often", "text"), run, "part long, doc_id array<long>, th array<long>, idx binary, start binary, size binary, bytes binary")
+    return common.map_arrow(texts.select("doc_id", "th", "at", "often", "text"), run, "part long, doc_id array<long>, th array<long>, idx binary, start binary, size binary, bytes binary, windows array<binary>")
 
 
 def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -348,7 +374,7 @@ class Part:
 
     def __init__(self, rows: list[tuple], least: int):
         owner, th, start, seen, which = [], [], [], {}, []
-        for ids, hashes, idx, from_, size, raw in rows:
+        for ids, hashes, idx, from_, size, raw, _ in rows:
             i = np.frombuffer(idx, "<u4")
             owner.append(np.array([_FIRST if d is None else d for d in ids], np.int64)[i])
             th.append(np.array(hashes, np.int64)[i])
@@ -427,109 +453,118 @@ class Part:
                 number += 1
 
 
-def _removed_of_parts(spans: DataFrame, least: int, partitions: int) -> DataFrame:
-    """owner, th, start, end of what goes by the repeats of each part."""
-    names = ["owner", "th", "start", "end"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dovetail.llm import suffix_repeats as s
+_FOUND = "repeat long, owner long, th long, start long, size long, s1 long, s2 long, windows binary"
 
-        for _, rows in s._groups(batches):
-            part = s.Part(rows, least)
-            rows.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part.removed()], names=names)
-
-    dealt = spans.repartition(partitions, "part").sortWithinPartitions("part")
-    return common.map_arrow(dealt, run, "owner long, th long, start long, end long")
 
+def _of_parts(spans: DataFrame, least: int, partitions: int, whole_groups: bool) -> DataFrame:
+    """What the parts find: owner, th, start and size of what goes, or of all occurrences of every ``repeat``; and all spans with a hot key, which
+    have digests (s1, s2), unpacked."""
+    names = [c.split()[0] for c in _FOUND.split(", ")]
 
-def _groups_of_parts(spans: DataFrame, least: int, partitions: int) -> DataFrame:
-    names = ["repeat", "length", "doc_id", "th", "start"]
+    def made(repeat, owner, th, start, size, s1=None, s2=None, windows=None) -> pa.RecordBatch:  # noqa: ANN001
+        n = len(owner)
+        columns = [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (repeat, owner, th, start, size, s1, s2)]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()) if windows is None else pa.array(windows, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from dovetail.llm import suffix_repeats as s
 
-        for part, rows in s._groups(batches):
-            for number, length, owner, th, start in s.Part(rows, least).groups(part):
-                n = len(owner)
-                columns = (np.full(n, number), np.full(n, length), owner, th, start)
-                arrays = [pa.array(c, pa.int64()) for c in columns]
-                arrays[2] = pa.array(owner, pa.int64(), mask=owner == _FIRST)
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for number, rows in s._groups(batches):
+            for ids, hashes, idx, from_, size, digests, windows in (r for r in rows if r[6] is not None):
+                i, both = np.frombuffer(idx, "<u4"), np.frombuffer(digests, "<i8").reshape(-1, 2)
+                owner = np.array([s._FIRST if d is None else d for d in ids], np.int64)[i]
+                start, size = np.frombuffer(from_, "<u4").astype(np.int64), np.frombuffer(size, "<u2").astype(np.int64)
+                yield made(None, owner, np.array(hashes, np.int64)[i], start, size, both[:, 0], both[:, 1], windows)
+            rows = [r for r in rows if r[6] is None]
+            if not rows:
+                continue
+            part = s.Part(rows, least)
+            rows.clear()
+            if whole_groups:
+                for repeat, length, owner, th, start in part.groups(number):
+                    yield made(np.full(len(owner), repeat), owner, th, start, np.full(len(owner), length))
+            else:
+                owner, th, start, end = part.removed()
+                yield made(None, owner, th, start, end - start)
 
     dealt = spans.repartition(partitions, "part").sortWithinPartitions("part")
-    return common.map_arrow(dealt, run, "repeat long, length long, doc_id long, th long, start long")
+    return common.map_arrow(dealt, run, _FOUND)
 
 
-def _hot_windows(marked: DataFrame, least: int) -> DataFrame:
-    """owner, th, start, k1, k2 (digest) of every window of the spans with a hot key."""
-    names = ["owner", "th", "start", "k1", "k2"]
+def _hot_windows(kinds: DataFrame) -> DataFrame:
+    """s1, s2, first, offset, k1, k2 of the windows of distinct spans that stand more than once, with ``least``, the smallest owner of the same bytes."""
+    names = ["s1", "s2", "first", "places", "offset", "k1", "k2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from dovetail.llm import suffix_repeats as s
-        from dovetail.llm.shingles import mix, prefix_sums, span_hashes
-
-        for keys, texts in s._slices(batches, 4):
-            spans = s.Spans(texts, least)
-            first = np.searchsorted(spans.text, np.arange(len(texts)))
-            picked = np.concatenate([np.frombuffer(k[2], "<u4").astype(np.int64)[np.frombuffer(k[3], bool)] + first[i] for i, k in enumerate(keys)])
-            bytes_ = spans.data.astype(np.uint64) + _U(1)
-            one, two = prefix_sums(bytes_), prefix_sums(mix(bytes_), s._OTHER)
-            owner, th = (np.array([s._FIRST if k[c] is None else k[c] for k in keys], np.int64) for c in (0, 1))
-            for a in range(0, len(picked), 4096):
-                p = picked[a : a + 4096]
-                windows = spans.size[p] - least + 1
-                start = np.repeat(spans.start[p] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-                text = np.repeat(spans.text[p], windows)
-                at = spans.base[text] + start
-                columns = (owner[text], th[text], start, span_hashes(one, at, at + least).view(np.int64), span_hashes(two, at, at + least, s._OTHER).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-    return common.map_arrow(marked.where("hot").select("doc_id", "th", "at", "often", "text"), run, "owner long, th long, start long, k1 long, k2 long")
-
-
-def _hot_groups(marked: DataFrame, least: int) -> DataFrame:
-    """Windows of hot keys that stand more than once, with ``first``, the smallest owner of the same bytes."""
-    windows = _hot_windows(marked, least)
-    keys = common.stash(windows.groupBy("k1", "k2").agg(F.min("owner").alias("first"), F.count("*").alias("rows")).where("rows > 1"), "hot-keys")
-    return common.spread_join(windows, keys, ["k1", "k2"], ["owner", "th", "start"], "inner")
-
-
-def _prepared(docs: DataFrame, least: int, hot: int) -> tuple[DataFrame, int, int, bool]:
-    """Documents with their repeated spans marked; parts and partitions for the spans; whether there are hot keys."""
+        for batch in batches:
+            both = [np.frombuffer(w, "<i8").reshape(-1, 2) for w in batch.column(4).to_pylist()]
+            n = np.array([len(w) for w in both], np.int64)
+            all_ = np.concatenate(both) if both else np.zeros((0, 2), np.int64)
+            offset = np.arange(len(all_)) - np.repeat(np.cumsum(n) - n, n)
+            columns = (*(np.repeat(batch.column(i).to_numpy(), n) for i in range(4)), offset, all_[:, 0], all_[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    windows = common.map_arrow(kinds.select("s1", "s2", "first", "rows", "windows"), run, ", ".join(f"{n} long" for n in names))
+    keys = windows.groupBy("k1", "k2").agg(F.min("first").alias("least"), F.sum("places").alias("n"), F.count("*").alias("rows")).where("n > 1").drop("n")
+    return common.spread_join(windows.drop("places"), common.stash(keys, "hot-keys"), ["k1", "k2"], ["s1", "offset"], "inner")
+
+
+def _hot(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The spans with a hot key among what the parts found, the distinct ones (s1, s2, first, rows, windows), and the windows of those."""
+    spans = found.where("s1 is not null")
+    kinds = common.stash(spans.groupBy("s1", "s2").agg(F.min("owner").alias("first"), F.count("*").alias("rows"), F.max("windows").alias("windows")), "hot-kinds")
+    return spans.select("owner", "th", "start", "size", "s1", "s2"), kinds, _hot_windows(kinds)
+
+
+def _hot_groups(found: DataFrame, least: int) -> DataFrame:
+    """repeat, length, owner, th, start of the windows of hot keys that stand more than once."""
+    spans, kinds, windows = _hot(found)
+    seen = windows.groupBy("s1", "s2").agg(F.collect_list(F.struct("offset", F.xxhash64("k1", "k2").alias("repeat"))).alias("w"))  # RUN at most
+    placed = common.spread_join(spans, kinds.select("s1", "s2", "rows").join(seen, ["s1", "s2"]), ["s1", "s2"], ["owner", "th", "start"], "inner")
+    each = placed.select("owner", "th", "start", F.explode("w").alias("w"))
+    return each.select(F.col("w.repeat").alias("repeat"), F.lit(least).cast("long").alias("length"), "owner", "th", (F.col("start") + F.col("w.offset")).alias("start"))
+
+
+def _hot_removed(found: DataFrame, least: int) -> DataFrame:
+    """owner, th, start, end of what goes of the spans with a hot key."""
+    spans, kinds, windows = _hot(found)
+    earlier = windows.where("least < first").groupBy("s1", "s2").agg(F.collect_list("offset").alias("offsets"))  # RUN at most
+    placed = common.spread_join(spans, kinds.select("s1", "s2", "first", "rows").join(earlier, ["s1", "s2"], "left"), ["s1", "s2"], ["owner", "th", "start"], "inner")
+    whole = placed.where("owner > first").select("owner", "th", "start", (F.col("start") + F.col("size")).alias("end"))
+    part = placed.where("owner = first").select("owner", "th", "start", F.explode("offsets").alias("offset"))
+    return whole.unionByName(part.select("owner", "th", (F.col("start") + F.col("offset")).alias("start"), (F.col("start") + F.col("offset") + least).alias("end")))
+
+
+def _found(docs: DataFrame, least: int, hot: int, whole_groups: bool) -> tuple[DataFrame, bool]:
+    """What the parts find, stored; and whether there are hot keys."""
     if least < 8:
         raise ValueError("repeats have 8 bytes at least")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(64, -(-size // (8 * PART_KEYS)))  # a key for each 16 bytes or so
     partitions = min(MOST_PARTITIONS, parts)
-    repeated = _repeated_keys(_prints(docs, least, parts), partitions, hot)
-    marked = common.stash(_marked(repeated, partitions), "marked")
+    marked = common.stash(_marked(_repeated_keys(_prints(docs, least, parts), partitions, hot), partitions), "marked")
     many, any_hot = marked.agg(F.sum(F.octet_length("at") / 4), F.max("hot")).first()
-    span_parts = max(64, -(-int(many or 0) // PART_SPANS))
+    parts = max(64, -(-int(many or 0) // PART_SPANS))
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64("d.text") == F.col("m.th"))
-    texts = docs.select("doc_id", "text").alias("d").join(marked.alias("m"), same).select("m.doc_id", "m.th", "m.at", "m.often", "m.hot", "d.text")
-    return texts, span_parts, min(MOST_PARTITIONS, span_parts), bool(any_hot)
+    texts = docs.select("doc_id", "text").alias("d").join(marked.alias("m"), same).select("m.doc_id", "m.th", "m.at", "m.often", "d.text")
+    return common.stash(_of_parts(_span_bytes(texts, least, parts), least, min(MOST_PARTITIONS, parts), whole_groups), "found"), bool(any_hot)
 
 
 def maximal_repeats(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """repeat (a number), length (bytes), doc_id, th, start (byte) of all occurrences of every maximal repeat, one row each."""
-    texts, parts, partitions, any_hot = _prepared(docs, least, hot)
-    found = _groups_of_parts(_span_bytes(texts, least, parts), least, partitions)
-    if not any_hot:
-        return found
-    windows = _hot_groups(texts, least)
-    doc_id = F.when(F.col("owner") != _FIRST, F.col("owner"))
-    return found.unionByName(windows.select(F.xxhash64("k1", "k2").alias("repeat"), F.lit(least).cast("long").alias("length"), doc_id.alias("doc_id"), "th", "start"))
+    found, any_hot = _found(docs, least, hot, True)
+    groups = found.where("s1 is null").select("repeat", F.col("size").alias("length"), "owner", "th", "start")
+    if any_hot:
+        groups = groups.unionByName(_hot_groups(found, least))
+    return groups.select("repeat", "length", F.when(F.col("owner") != _FIRST, F.col("owner")).alias("doc_id"), "th", "start")
 
 
 def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """owner (doc_id, or the smallest number for null), th, spans (start and end in bytes, in any order) of documents that lose something."""
-    texts, parts, partitions, any_hot = _prepared(docs, least, hot)
-    gone = _removed_of_parts(_span_bytes(texts, least, parts), least, partitions)
+    found, any_hot = _found(docs, least, hot, False)
+    gone = found.where("s1 is null").select("owner", "th", "start", (F.col("start") + F.col("size")).alias("end"))
     if any_hot:
-        windows = _hot_groups(texts, least).where("first < owner")
-        gone = gone.unionByName(windows.select("owner", "th", "start", (F.col("start") + least).alias("end")))
-    gone = common.stash(gone, "gone")
+        gone = gone.unionByName(_hot_removed(found, least))
     return gone.groupBy("owner", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from dovetail.llm import common, held
 
 MARK = "▁"
-#: Characters of text whose distinct new pre-tokens share one trie, and pre-tokens kept: what a worker holds at most.
+#: Characters of text whose distinct new pre-tokens share one trie, and pre-tokens kept in each of two generations: what a worker holds at most.
 SLICE_CHARS, KEPT = 2_000_000, 300_000
 #: Longer pre-tokens are counted by themselves.
 LONG_CHARS = 256
@@ -58,6 +58,7 @@ class TrieCounter:
         self.longest = max(map(len, scores), default=1)
         self.byte_score = min(scores.values(), default=0.0) - 10.0
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.nodes = 0
 
     def insert(self, words: Iterable[str]) -> None:
@@ -119,9 +120,12 @@ class TrieCounter:
             new: set[str] = set()
             for words in held:
                 new.update(words)
-            if len(self.known) > KEPT:
-                self.known.clear()
+            if len(self.known) > KEPT:  # words that are met again move up; the others of the older generation go
+                self.older, self.known = self.known, {}
             new.difference_update(self.known)
+            again = new.intersection(self.older)
+            self.known.update(zip(again, map(self.older.__getitem__, again)))
+            new.difference_update(again)
             long = {w: self.long_count(w) for w in new if len(w) > LONG_CHARS}
             new.difference_update(long)
             self.insert(new)
