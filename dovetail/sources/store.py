@@ -66,10 +66,11 @@ class Table:
 
     def write(self, df: DataFrame, only_if_changed: bool = True) -> bool:
         """Make ``df`` the state of the table; False if nothing has changed."""
-        before = self.read()
+        number, folders = self._state()  # first, so that a state that another writer makes meanwhile is not overwritten
+        before = self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders)) if folders else None
         if only_if_changed and before is not None and set(before.columns) == set(df.columns) and not differs(before, df):
             return False
-        self._add(df, self._state()[0] + 1, [])
+        self._add(df, number + 1, [])
         return True
 
     def append(self, df: DataFrame) -> None:
