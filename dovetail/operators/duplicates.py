@@ -22,14 +22,17 @@ def representatives(media: DataFrame) -> DataFrame:
     return media.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
-def banded_pairs(images: DataFrame, phash_most: int = 6, band_width: int = 4, dhash_most: int = 8) -> DataFrame:
-    """a, b, d_phash, d_dhash, weak for images that share a 16-bit band and are near in both hashes and in shape. ``weak``: beyond ``phash_most``."""
+def bands(images: DataFrame) -> DataFrame:
+    """id, phash, dhash, width, height of images with a hash, once for each 16-bit band: its place ``i`` and value ``v``."""
     columns = ["id", "phash", "dhash", "width", "height"]
-    bands = images.where("length(phash) = 16").select(*columns, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), scoring.band(F.col("phash"), i).alias("v")) for i in range(4)))).alias("band"))
-    bands = bands.select(*columns, F.col("band.i").alias("i"), F.col("band.v").alias("v"))
-    a, b = bands.alias("a"), bands.alias("b")
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), scoring.band(F.col("phash"), i).alias("v")) for i in range(4)))).alias("band")
+    return images.where("length(phash) = 16").select(*columns, each).select(*columns, "band.i", "band.v")
+
+
+def band_matches(left: DataFrame, right: DataFrame, phash_most: int = 6, band_width: int = 4, dhash_most: int = 8) -> DataFrame:
+    """a, b, d_phash, d_dhash, weak for images of two tables of ``bands`` that are near; a pair that shares several bands is made at the first only."""
+    a, b = left.alias("a"), right.alias("b")
     d_p, d_d = scoring.hamming(F.col("a.phash"), F.col("b.phash")), scoring.hamming(F.col("a.dhash"), F.col("b.dhash"))
-    # a pair that shares several bands is made at the first of them only
     first = F.lit(True)
     for k in range(4):
         first = first & ((F.col("a.i") <= k) | (scoring.band(F.col("a.phash"), k) != scoring.band(F.col("b.phash"), k)))
@@ -39,16 +42,38 @@ def banded_pairs(images: DataFrame, phash_most: int = 6, band_width: int = 4, dh
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d_p.alias("d_phash"), d_d.alias("d_dhash"), (d_p > phash_most).alias("weak"))
 
 
-def video_pairs(videos: DataFrame, most: int = 6) -> DataFrame:
-    """a, b of clips with similar signatures; met by whole seconds of length and by shape, not all with all."""
+def banded_pairs(images: DataFrame, phash_most: int = 6, band_width: int = 4, dhash_most: int = 8) -> DataFrame:
+    """a, b, d_phash, d_dhash, weak for images that share a 16-bit band and are near in both hashes and in shape. ``weak``: beyond ``phash_most``."""
+    each = bands(images)
+    return band_matches(each, each, phash_most, band_width, dhash_most)
+
+
+def clip_places(videos: DataFrame) -> DataFrame:
+    """id, sig, second and shape of clips with a signature: shapes that agree within one in a hundred are in the same step of a twentieth of
+    their logarithm, or in the next."""
     parsed = videos.select("id", scoring.video_signature(F.col("video_sig")).alias("sig")).where(F.col("sig").isNotNull())
-    # shapes that agree within one in a hundred are in the same step of a twentieth of their logarithm, or in the next
-    shape = F.floor(20 * F.ln(F.try_divide(F.col("sig.width"), F.col("sig.height"))))
+    return parsed.select("id", "sig", F.floor("sig.seconds").alias("second"), F.floor(20 * F.ln(F.try_divide(F.col("sig.width"), F.col("sig.height")))).alias("shape"))
+
+
+def around(places: DataFrame) -> DataFrame:
+    """``clip_places`` with the seconds and shapes next to them."""
     near = lambda c: F.array(c - 1, c, c + 1)
-    left = parsed.select("id", "sig", F.explode(near(F.floor(F.col("sig.seconds")))).alias("second"), shape.alias("shape")).withColumn("shape", F.explode(near(F.col("shape"))))
-    right = parsed.select("id", "sig", F.floor("sig.seconds").alias("second"), shape.alias("shape"))
+    return places.withColumn("second", F.explode(near(F.col("second")))).withColumn("shape", F.explode(near(F.col("shape"))))
+
+
+def clip_matches(left: DataFrame, right: DataFrame, most: int = 6) -> DataFrame:
+    """a, b (smaller id first) of clips of ``around`` and of ``clip_places`` that are similar."""
     a, b = left.alias("a"), right.alias("b")
-    return a.join(b, (F.col("a.second") == F.col("b.second")) & (F.col("a.shape") == F.col("b.shape")) & (F.col("a.id") < F.col("b.id")) & scoring.videos_similar(F.col("a.sig"), F.col("b.sig"), most)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    in_order = F.col("a.id") < F.col("b.id")
+    first, second = F.when(in_order, F.col("a.sig")).otherwise(F.col("b.sig")), F.when(in_order, F.col("b.sig")).otherwise(F.col("a.sig"))
+    met = a.join(b, (F.col("a.second") == F.col("b.second")) & (F.col("a.shape") == F.col("b.shape")) & (F.col("a.id") != F.col("b.id")) & scoring.videos_similar(first, second, most))
+    return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
+def video_pairs(videos: DataFrame, most: int = 6) -> DataFrame:
+    """a, b of clips with similar signatures; met by whole seconds of length and by shape, not all with all."""
+    places = clip_places(videos)
+    return clip_matches(around(places), places, most)
 
 
 def without_edits(pairs: DataFrame, edits: DataFrame) -> DataFrame:

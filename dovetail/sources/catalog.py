@@ -72,11 +72,13 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """Tables in ``path``. ``keys``: the key columns of each table. ``migrations``: for each table, functions from a frame of one schema version to the
+    """Tables in ``path``. ``keys``: the key columns of each table; ``by``: the first of them that a slot hashes, all unless given, which ``lookup``
+    then asks for. ``migrations``: for each table, functions from a frame of one schema version to the
     next, in order; applied to what was written before them."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: dict[str, list[str]], migrations: dict[str, list[Callable[[DataFrame], DataFrame]]] | None = None, rows_per_file: int = ROWS_PER_FILE):
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, list[str]], migrations: dict[str, list[Callable[[DataFrame], DataFrame]]] | None = None, rows_per_file: int = ROWS_PER_FILE, by: dict[str, list[str]] | None = None):
         self.spark, self.path, self.keys, self.migrations, self.rows_per_file = spark, path, keys, migrations or {}, rows_per_file
+        self.by = {**keys, **(by or {})}
         jvm = spark.sparkContext._jvm
         self._jpath = jvm.org.apache.hadoop.fs.Path
         conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -104,7 +106,7 @@ class Catalog:
         if held[1].where(F.col("version") != version).isEmpty():
             return held[1].drop("version")
         rows = self._rows(name, [(r.file, r.version) for r in held[0].select("file", "version").collect()])
-        return shared.stash(digests(rows.withColumn("slot", slot_of(self.keys[name])), ["slot"]), "digests")
+        return shared.stash(digests(rows.withColumn("slot", slot_of(self.by[name])), ["slot"]), "digests")
 
     def files(self, name: str, number: int | None = None) -> list[str]:
         held = self._manifest(name, self.number() if number is None else number)
@@ -130,7 +132,7 @@ class Catalog:
         keys, folder = self.keys[name], f"{name}/v-{uuid.uuid4().hex}"
         if "slot" in rows.columns:
             raise ValueError("a column may not be called slot")
-        rows = shared.stash(rows.withColumn("slot", slot_of(keys)), "rows")
+        rows = shared.stash(rows.withColumn("slot", slot_of(self.by[name])), "rows")
         total, bad = rows.agg(F.count("*"), F.count_if(reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys)))).first()
         if bad:
             raise ValueError(f"{bad} rows of {name} have a null key")
@@ -170,7 +172,8 @@ class Catalog:
 
     def _merged(self, name: str, new: DataFrame, keep: list[str], number: int) -> dict | None:
         keys, held = self.keys[name], self._manifest(name, number)
-        new = shared.stash(new.withColumn("slot", slot_of(keys)), "new")
+        slot = slot_of(self.by[name])
+        new = shared.stash(new.withColumn("slot", slot), "new")
         if held is None:
             return self._change(name, number, [], new.drop("slot"), digests(new, ["slot"])) if not new.isEmpty() else None
         touched = self._touched(name, held, new)
@@ -183,8 +186,8 @@ class Catalog:
         for c in old.columns:  # columns that the new rows do not have are null in them
             rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(old.schema[c].dataType))
         rows = shared.stash(rows, "merged")
-        replaced = old.join(new.select(*keys), keys, "left_semi").withColumn("slot", slot_of(keys))
-        come, go = digests(rows.withColumn("slot", slot_of(keys)), ["slot"]), digests(replaced, ["slot"])
+        replaced = old.join(new.select(*keys), keys, "left_semi").withColumn("slot", slot)
+        come, go = digests(rows.withColumn("slot", slot), ["slot"]), digests(replaced, ["slot"])
         delta = come.unionByName(go.select("slot", *((-F.col(c)).alias(c) for c in ("n", "d1", "d2"))))
         delta = shared.stash(delta.groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("n", "d1", "d2"))), "delta")
         if delta.where("n <> 0 or d1 <> 0 or d2 <> 0").isEmpty():
@@ -193,8 +196,8 @@ class Catalog:
         return self._change(name, number, touched, stays.unionByName(rows, allowMissingColumns=True), delta)
 
     def _replaced(self, name: str, df: DataFrame, number: int) -> dict | None:
-        keys, held = self.keys[name], self._manifest(name, number)
-        df = df.withColumn("slot", slot_of(keys))
+        held, slot = self._manifest(name, number), slot_of(self.by[name])
+        df = df.withColumn("slot", slot)
         now = shared.stash(digests(df, ["slot"]), "digests")
         if held is None:
             return self._change(name, number, [], df.drop("slot"), now) if not now.isEmpty() else None
@@ -207,7 +210,7 @@ class Catalog:
         rows = df.join(F.broadcast(unlike), "slot", "left_semi").drop("slot")
         old = self._rows(name, hit)
         if old is not None:
-            stays = old.withColumn("slot", slot_of(keys)).join(F.broadcast(unlike), "slot", "left_anti").drop("slot")
+            stays = old.withColumn("slot", slot).join(F.broadcast(unlike), "slot", "left_anti").drop("slot")
             rows = rows.unionByName(stays.select(*rows.columns) if set(rows.columns) <= set(stays.columns) else stays, allowMissingColumns=True)
         both = now.join(unlike, "slot", "left_semi").unionByName(slots.join(unlike, "slot", "left_semi").select("slot", *((-F.col(c)).alias(c) for c in ("n", "d1", "d2"))))
         return self._change(name, number, hit, rows, both.groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("n", "d1", "d2"))))
@@ -270,6 +273,30 @@ class Catalog:
         """Put the rows of ``new`` in place of those with the same keys; columns in ``keep`` hold their old values. False if nothing changes."""
         return self._commit([self._merged(name, new, list(keep), self.number())])
 
+    def _appended(self, name: str, new: DataFrame, number: int) -> dict | None:
+        new = shared.stash(new, "new")
+        return None if new.isEmpty() else self._change(name, number, [], new, digests(new.withColumn("slot", slot_of(self.by[name])), ["slot"]))
+
+    def change(self, merged: dict[str, DataFrame], appended: dict[str, DataFrame]) -> bool:
+        """Merge into some tables and add rows with new keys to others, all at once. What is appended is not looked up."""
+        number = self.number()
+        return self._commit([*(self._merged(n, df, [], number) for n, df in merged.items()), *(self._appended(n, df, number) for n, df in appended.items())])
+
+    def hit(self, name: str, asked: DataFrame) -> list[tuple[str, int]]:
+        """Files with slots that ``asked`` (the columns that a slot hashes) has."""
+        held = self._manifest(name, self.number())
+        if held is None:
+            return []
+        slots = asked.select(slot_of(self.by[name]).alias("slot")).distinct()
+        spread = held[0].select("file", "version", F.explode(F.sequence("low.slot", "high.slot")).alias("slot"))
+        return sorted((r.file, r.version) for r in spread.join(slots, "slot").select("file", "version").distinct().collect())
+
+    def lookup(self, name: str, asked: DataFrame) -> DataFrame | None:
+        """The rows of a table for ``asked`` (the columns that a slot hashes, others ignored), from the files that may hold them; None if none does."""
+        by = self.by[name]
+        rows = self._rows(name, self.hit(name, asked))
+        return None if rows is None else rows.join(asked.select(*by).distinct(), by, "left_semi")
+
     def write(self, name: str, df: DataFrame) -> bool:
         """Make ``df`` the whole table; False if nothing changes."""
         return self.publish({name: df})
@@ -282,7 +309,7 @@ class Catalog:
     def changed(self, name: str, df: DataFrame) -> bool:
         """Whether ``df`` has other rows than the table, each as often as it stands. Reads digests of the table only."""
         held = self._manifest(name, self.number())
-        now = digests(df.withColumn("slot", slot_of(self.keys[name])), ["slot"])
+        now = digests(df.withColumn("slot", slot_of(self.by[name])), ["slot"])
         return not now.isEmpty() if held is None else not differing(shared.stash(now, "digests"), self._slots(name, held)).isEmpty()
 
     def vacuum(self, keep: int = 1) -> list[str]:
