@@ -30,6 +30,12 @@ def components(path: Column) -> Column:
     return F.slice(parts, F.lit(1), F.size(parts) - 1)
 
 
+def ancestors(directory: Column) -> Column:
+    """A directory and all above it, outermost first."""
+    parts = F.split(directory, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
 def under(path: Column, prefixes: list[str]) -> Column:
     """Whether ``path`` is one of ``prefixes`` or lies below one."""
     out = F.lit(False)

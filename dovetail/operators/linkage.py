@@ -51,11 +51,27 @@ def through_edits(media: DataFrame, sidecars: DataFrame, edits: DataFrame) -> Da
     return other.select(*media.columns, *(chosen[c].alias(c) for c in columns))
 
 
-def directory_provenance(media: DataFrame, sidecars: DataFrame, matched: DataFrame, threshold: float = 0.5, curated: list[str] = (), derived: list[str] = ()) -> DataFrame:
+def prefix_overrides(dirs: DataFrame, overrides: DataFrame) -> DataFrame:
+    """source, dir, override of the directories in ``dirs`` that are, or lie below, a prefix of ``overrides`` (prefix, classification). Curated
+    prefixes come first. A directory meets prefixes by itself and those above it, so thousands of prefixes are one join."""
+    above = dirs.select("source", "dir", F.explode(paths.ancestors(F.col("dir"))).alias("prefix"))
+    met = above.join(overrides.select(F.rtrim("prefix", F.lit("/")).alias("prefix"), "classification").distinct(), "prefix")
+    any_curated = F.bool_or(F.col("classification") == "curated")
+    return met.groupBy("source", "dir").agg(F.when(any_curated, "curated").otherwise(F.min("classification")).alias("override"))
+
+
+def trusted(media: DataFrame, provenance: DataFrame) -> DataFrame:
+    """``media`` with the trust that the classification of its directory gives it; files of unknown directories keep theirs."""
+    of = provenance.select(F.col("source"), F.col("dir").alias("of_dir"), F.when(F.col("classification") == "curated", "curated").otherwise("takeout").alias("given"))
+    joined = media.withColumn("of_dir", paths.dirname(F.col("rel_path"))).join(of, ["source", "of_dir"], "left")
+    return joined.withColumn("trust", F.coalesce("given", "trust")).select(*media.columns)
+
+
+def directory_provenance(media: DataFrame, sidecars: DataFrame, matched: DataFrame, threshold: float = 0.5, curated: list[str] = (), derived: list[str] = (), overrides: DataFrame | None = None) -> DataFrame:
     """source, dir, counts, ratios, signal, classification, override of each directory.
 
     ``media`` (source, dir, media_name, recompressed), ``sidecars`` (source, dir, json_name), ``matched`` (source, dir, json_name,
-    media_name). Prefixes in ``curated`` and ``derived`` override the signal.
+    media_name). Prefixes in ``curated`` and ``derived``, or in a table ``overrides`` (prefix, classification), override the signal.
     """
     files = media.groupBy("source", "dir").agg(F.count("*").alias("media_count"), F.count_if("recompressed").alias("recompressed_count"))
     speaks = names.sidecar_name(F.col("json_name")).isNotNull()
@@ -68,7 +84,10 @@ def directory_provenance(media: DataFrame, sidecars: DataFrame, matched: DataFra
     named = F.exists(F.split("dir", "/"), lambda c: c.rlike(names.EXPORT_DIR))
     descriptor = F.coalesce("descriptor", F.lit(False))
     signal = scoring.trust_signal(matched_ratio, named, descriptor, recompressed_ratio)
-    is_curated, is_derived = paths.under(F.col("dir"), list(curated)), paths.under(F.col("dir"), list(derived))
+    named_ = [(p, "curated") for p in curated] + [(p, "takeout_derived") for p in derived]
+    listed = media.sparkSession.createDataFrame(named_, "prefix string, classification string")
+    listed = listed if overrides is None else listed.unionByName(overrides.select("prefix", "classification"))
+    joined = joined.join(prefix_overrides(joined.select("source", "dir"), listed), ["source", "dir"], "left")
     return joined.select(
         "source",
         "dir",
@@ -79,8 +98,8 @@ def directory_provenance(media: DataFrame, sidecars: DataFrame, matched: DataFra
         descriptor.alias("descriptor"),
         F.round(recompressed_ratio, 4).alias("recompressed_ratio"),
         signal.alias("signal"),
-        F.when(is_curated, "curated").when(is_derived | (signal >= threshold), "takeout_derived").otherwise("curated").alias("classification"),
-        F.when(is_curated, "config:curated").when(is_derived, "config:takeout_derived").alias("override"),
+        F.coalesce("override", F.when(signal >= threshold, "takeout_derived").otherwise("curated")).alias("classification"),
+        F.concat(F.lit("config:"), "override").alias("override"),
     )
 
 

@@ -298,10 +298,32 @@ SQL: dict[str, str] = {
       FROM (SELECT *, id % 7 = 1 AND id % 2 = 0 AS typed, CASE which WHEN 'exif' THEN exif_dto WHEN 'folder' THEN '2001-01-01' WHEN 'takeout_json' THEN taken WHEN 'filename' THEN '2002-02-02' END AS got
       FROM (SELECT *, CASE id % 12 WHEN 0 THEN 'exif' WHEN 3 THEN 'folder' WHEN 6 THEN 'takeout_json' WHEN 9 THEN 'filename' END AS which FROM resolved) x) y""",
     "match_rates": _with(_MEDIA) + "SELECT source, count(taken) AS matched, CAST(floor(1000.0 * count(taken) / count(*)) AS BIGINT) AS per_mille, (SELECT greatest(count(*) - 10, 0) FROM media WHERE taken IS NULL) AS not_shown FROM media GROUP BY source",
-    "audit_sample": "SELECT CAST(least(200, count(*)) AS BIGINT) AS n FROM documents",
+    "audit_sample": _with() + "SELECT id, dir FROM (SELECT id, dir, row_number() OVER (PARTITION BY dir ORDER BY md5('42:' || id), id) AS k, count(*) OVER (PARTITION BY dir) AS n FROM inst) x WHERE k <= greatest(5, ceil(n * 0.01))",
+    "states_at_errors": """WITH log AS (SELECT user_id, event_id, event_type FROM events WHERE event_type <> 'error'), f AS (SELECT user_id, arg_min(event_type, event_id) AS first_type FROM log GROUP BY user_id)
+SELECT a.event_id, a.user_id, l.event_type AS last_type, l.event_id AS last_id, f.first_type FROM (SELECT * FROM events WHERE event_type = 'error') a
+  ASOF LEFT JOIN log l ON a.user_id = l.user_id AND a.event_id >= l.event_id LEFT JOIN f ON f.user_id = a.user_id""",
 }
 
 SQL["verify_json"] = (
     "WITH c AS (" + SQL["bytes_by_disposition"] + "), f AS (" + SQL["discrepancy_union"] + """)
 SELECT to_json({'passed': false, 'counts': (SELECT list({'disposition': disposition, 'n': n, 'bytes': bytes} ORDER BY disposition) FROM c), 'discrepancies': (SELECT list({'kind': kind, 'subject': CAST(n AS VARCHAR)} ORDER BY kind) FROM f)})::VARCHAR AS report"""
 )
+
+SQL["catalog_merge"] = SQL["keyed_merge"]
+SQL["catalog_changes"] = SQL["changed_rows"]
+SQL["imported_clusters"] = SQL["near_clusters"]
+
+
+def _provenance_dates() -> str:
+    """The dates, with what ``dir_provenance`` says of a directory in place of the trust that the inventory has."""
+    inst0 = _INST.replace("inst AS", "inst0 AS", 1)
+    chain = SQL["dir_provenance"].removeprefix("WITH RECURSIVE ").replace(_INST + ", ", "", 1).replace("FROM inst ", "FROM inst0 ")
+    parts, _, last = chain.rpartition(" SELECT source, dir, media_count")
+    given = "given AS (SELECT source, dir, media_count" + last + ")"
+    inst = "inst AS MATERIALIZED (SELECT i.*, coalesce(g.classification, 'curated') AS prov FROM inst0 i LEFT JOIN given g USING (source, dir))"
+    ruled = _RULED.replace("source = 'LOCAL' AS cur", "prov = 'curated' AS cur")
+    tail = " SELECT id, CASE WHEN cur THEN 'curated' ELSE 'takeout' END AS trust, rd AS resolved_date, rp AS resolved_precision, rs AS resolved_source, st AS status, rule FROM resolved"
+    return "WITH RECURSIVE " + ", ".join((inst0, parts.strip(), given, inst, ruled)) + tail
+
+
+SQL["provenance_dates"] = _provenance_dates()

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dovetail.functions import dates, metadata, names, paths
-from dovetail.operators import duplicates, linkage, placement, reconcile, reports, review, stats, verify
-from dovetail.plans import dedup, ingest, stages
+from dovetail.operators import duplicates, history, linkage, placement, reconcile, reports, review, stats, verify
+from dovetail.plans import dedup, incremental, ingest, stages
 from dovetail.sources import files, runs, shared, store
+from dovetail.sources.catalog import Catalog
 from dovetail.sources.instances import instances
 
 _MEDIA = "kind in ('image', 'video')"
@@ -657,4 +658,64 @@ def sidecar_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def audit_sample(spark: SparkSession, d: str) -> DataFrame:
-    return stats.sample(instances(spark, d).select("id", "source"), "id", 200, seed=42).groupBy().agg(F.count("*").alias("n"))
+    """Five files of each directory, or one in a hundred, by the smallest hashes."""
+    return stats.stratified_sample(instances(spark, d).select("id", "dir"), "dir", "id", least=5, share=0.01, seed=42)
+
+
+@query
+def states_at_errors(spark: SparkSession, d: str) -> DataFrame:
+    """At each error, the last thing that its user did before, and the first thing of all."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type")
+    log, asks = events.where("event_type <> 'error'"), events.where("event_type = 'error'").select("user_id", "event_id")
+    found = history.as_of(log.withColumn("log_id", F.col("event_id")), asks, "user_id", "event_id")
+    first = history.first_of(log, "user_id", "event_id").select("user_id", F.col("event_type").alias("first_type"))
+    return found.join(first, "user_id", "left").select("event_id", "user_id", F.col("state.event_type").alias("last_type"), F.col("state.log_id").alias("last_id"), "first_type")
+
+
+def _catalog(spark: SparkSession, name: str, keys: list[str]) -> Catalog:
+    return Catalog(spark, f"{shared.shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {"files": keys})
+
+
+@query
+def catalog_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``keyed_merge`` from a stored table that the new rows are merged into."""
+    inv = instances(spark, d).select("id", "size_bytes", "tags")
+    new = inv.where("id % 3 = 0").select((F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(1_000_000)).alias("id"), (F.col("size_bytes") * 2).alias("size_bytes"), F.lit(None).cast("bigint").alias("tags"))
+    table = _catalog(spark, "merged", ["id"])
+    table.write("files", inv)
+    table.merge("files", new, keep=["tags"])
+    return table.read("files").select("id", "size_bytes", "tags")
+
+
+@query
+def catalog_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a stored table and of a new one in slots whose digests differ, without those in both: what ``changed_rows`` has."""
+    inv = instances(spark, d).select("id", "size_bytes")
+    new = inv.where("id % 10 <> 1").withColumn("size_bytes", F.when(F.col("id") % 9 == 0, F.lit(0).cast("bigint")).otherwise(F.col("size_bytes")))
+    table = _catalog(spark, "changes", ["id"])
+    table.write("files", inv)
+    gone, come = table.changes("files", new)
+    return come.select("id", "size_bytes", F.lit("new").alias("side")).unionByName(gone.select("id", "size_bytes", F.lit("old").alias("side")))
+
+
+@query
+def imported_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters after the files of the export were imported into indexes of the local ones: what ``near_clusters`` finds over all."""
+    media = shared.stash(_media(spark, d), "media")
+    new = media.where("source <> 'LOCAL'")
+    table = incremental.indexes(spark, f"{shared.shared_dir(spark)}/imported-{uuid.uuid4().hex}")
+    incremental.build(table, media.where("source = 'LOCAL'"))
+    incremental.import_files(table, new, linkage.edited_pairs(new))
+    return incremental.clusters(table).groupBy("cluster_id", "cluster_kind", "weak").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+
+
+@query
+def provenance_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates of the media, trusted as the classification of their directories says."""
+    sidecars, media = _sidecars(spark, d)
+    where = F.concat_ws("|", "source", "dir").alias("dir")
+    matched = linkage.match_sidecars(sidecars.select(where, "json_name"), media.select(where, "media_name"))
+    matched = matched.select(F.substring_index("dir", "|", 1).alias("source"), F.expr("substring(dir, instr(dir, '|') + 1)").alias("dir"), "json_name", "media_name")
+    named = spark.createDataFrame([("topical", "curated"), ("misc", "takeout_derived")], "prefix string, classification string")
+    found = shared.stash(linkage.directory_provenance(media, sidecars, matched, overrides=named), "provenance")
+    return stages.resolved(linkage.trusted(_media(spark, d), found)).select("id", "trust", "resolved_date", "resolved_precision", "resolved_source", "status", "rule")

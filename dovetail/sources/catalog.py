@@ -312,6 +312,21 @@ class Catalog:
         now = digests(df.withColumn("slot", slot_of(self.by[name])), ["slot"])
         return not now.isEmpty() if held is None else not differing(shared.stash(now, "digests"), self._slots(name, held)).isEmpty()
 
+    def changes(self, name: str, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows that the table has and ``df`` has not, and the other way, each as often as it stands; only slots that differ are read."""
+        slot, held = slot_of(self.by[name]), self._manifest(name, self.number())
+        rows = df.withColumn("slot", slot)
+        if held is None:
+            return df.limit(0), df
+        unlike = F.broadcast(shared.stash(differing(shared.stash(digests(rows, ["slot"]), "digests"), self._slots(name, held)), "unlike"))
+        spread = held[0].select("file", "version", F.explode(F.sequence("low.slot", "high.slot")).alias("slot"))
+        old = self._rows(name, sorted((r.file, r.version) for r in spread.join(unlike, "slot").select("file", "version").distinct().collect()))
+        new = rows.join(unlike, "slot", "left_semi").drop("slot")
+        if old is None:
+            return df.limit(0), new
+        old = old.select(*df.columns).withColumn("slot", slot).join(unlike, "slot", "left_semi").drop("slot")
+        return old.exceptAll(new), new.exceptAll(old)
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete what the last ``keep`` states do not use: pointers, manifests and files; the paths that went. No other writer may be at work."""
         last = self.number()

@@ -24,21 +24,22 @@ FROM (
            || ':' || substr({sha}('y' || CAST(block % 5 AS STRING){end}, 1, 16) || ':?' END AS video_sig,
          CASE WHEN id % 20 IN (0, 19) THEN 'c' || CAST(block AS STRING) END AS content_id
   FROM (
-    SELECT d.doc_id AS id, CAST(floor(d.doc_id / 20.0) AS BIGINT) AS block, o.od, e.ts, l.quality,
+    SELECT d.doc_id AS id, CAST(floor(d.doc_id / 20.0) AS BIGINT) AS block, d.od, d.ts, d.quality,
            CASE WHEN CAST(substr(d.source, 4) AS INT) % 2 = 0 THEN 'LOCAL' ELSE 'TAKEOUT:t' END AS source,
            CASE d.doc_id % 20 WHEN 19 THEN 'video' WHEN 18 THEN 'other' WHEN 17 THEN 'sidecar_json' WHEN 16 THEN 'sidecar_xmp' ELSE 'image' END AS kind,
-           CASE d.doc_id % 7 WHEN 0 THEN substr(o.od, 1, 4) WHEN 1 THEN substr(o.od, 1, 7) WHEN 2 THEN o.od || '_trip' WHEN 3 THEN 'topical/vac' || CAST(d.doc_id % 13 AS STRING)
-             WHEN 4 THEN 'Photos from ' || substr(o.od, 1, 4) WHEN 5 THEN 'card_' || replace(o.od, '-', '') ELSE 'misc/' || substr(o.od, 1, 4) || '?' END AS dir,
-           CASE d.doc_id % 5 WHEN 0 THEN 'IMG_' || replace(substr(e.ts, 1, 10), '-', '') || '_' || replace(substr(e.ts, 12, 8), ':', '') WHEN 1 THEN 'scan'
-             WHEN 2 THEN o.od || ' pic' WHEN 3 THEN 'a_' || replace(substr(o.od, 1, 7), '-', '') || '_b' ELSE 'DSC' END AS stem,
+           CASE d.doc_id % 7 WHEN 0 THEN substr(d.od, 1, 4) WHEN 1 THEN substr(d.od, 1, 7) WHEN 2 THEN d.od || '_trip' WHEN 3 THEN 'topical/vac' || CAST(d.doc_id % 13 AS STRING)
+             WHEN 4 THEN 'Photos from ' || substr(d.od, 1, 4) WHEN 5 THEN 'card_' || replace(d.od, '-', '') ELSE 'misc/' || substr(d.od, 1, 4) || '?' END AS dir,
+           CASE d.doc_id % 5 WHEN 0 THEN 'IMG_' || replace(substr(d.ts, 1, 10), '-', '') || '_' || replace(substr(d.ts, 12, 8), ':', '') WHEN 1 THEN 'scan'
+             WHEN 2 THEN d.od || ' pic' WHEN 3 THEN 'a_' || replace(substr(d.od, 1, 7), '-', '') || '_b' ELSE 'DSC' END AS stem,
            {sha}(d.text{end} AS sha256, d.n_chars AS size_bytes, d.n_chars % 61 AS tags,
            CAST(CASE d.doc_id % 3 WHEN 0 THEN 4000 WHEN 1 THEN 2000 ELSE 1000 END AS INT) AS width,
            substr({sha}(CAST(d.doc_id % 100 AS STRING){end}, 1, 12) || substr({sha}('m' || CAST(d.doc_id AS STRING){end}, 1, 4) AS phash,
            substr({sha}('d' || CAST(d.doc_id % 100 AS STRING){end}, 1, 13) || substr({sha}('n' || CAST(d.doc_id AS STRING){end}, 1, 3) AS dhash,
-           CASE WHEN d.doc_id % 3 <> 0 THEN e.ts END AS exif_dto, CASE WHEN d.doc_id % 2 = 0 THEN 'Pixel' ELSE 'Canon' END AS camera_model,
+           CASE WHEN d.doc_id % 3 <> 0 THEN d.ts END AS exif_dto, CASE WHEN d.doc_id % 2 = 0 THEN 'Pixel' ELSE 'Canon' END AS camera_model,
            CASE WHEN d.doc_id % 4 = 1 THEN CAST(d.doc_id % 90 AS DOUBLE) + 0.5 END AS gps_lat
-    FROM {documents} d JOIN (SELECT o_orderkey, {day} AS od FROM {orders}) o ON o.o_orderkey = d.doc_id
-      JOIN (SELECT event_id, {second} AS ts FROM {events}) e ON e.event_id = d.doc_id LEFT JOIN {labels} l ON l.doc_id = d.doc_id
+    FROM (SELECT t.doc_id, t.text, t.source, t.n_chars, coalesce(o.od, '2001-02-03') AS od, coalesce(e.ts, '2001-02-03T04:05:06') AS ts, l.quality
+      FROM {documents} t LEFT JOIN (SELECT o_orderkey, {day} AS od FROM {orders}) o ON o.o_orderkey = t.doc_id
+        LEFT JOIN (SELECT event_id, {second} AS ts FROM {events}) e ON e.event_id = t.doc_id LEFT JOIN {labels} l ON l.doc_id = t.doc_id) d
   ) b
 ) c
 """
