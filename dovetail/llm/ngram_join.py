@@ -36,6 +36,8 @@ from dovetail.llm import common, components
 
 #: Bytes of text that are hashed together; postings in a part of the hash space, on average; classes and bytes in a block.
 SLICE_BYTES, PART_ROWS, BLOCK_CLASSES, BLOCK_BYTES = 1_500_000, 2_000_000, 256, 256_000
+#: Bits of a part's number at most; partitions of a shuffle at most, in which parts beyond that follow one another.
+PART_BITS, MOST_PARTITIONS = 24, 32_768
 _I = np.int64
 
 
@@ -66,10 +68,9 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Itera
         first = batch.column(0)
         keys = zip(*(c.to_pylist() for c in first.flatten())) if pa.types.is_struct(first.type) else first.to_pylist()
         for key, text in zip(keys, batch.column(1)):
-            text = text.as_py()
             ids.append(key)
-            texts.append(text)
-            size += len(text or "")
+            texts.append(text.as_py())
+            size += text.as_buffer().size if text.is_valid else 0
             if size >= most:
                 yield ids, texts
                 ids, texts, size = [], [], 0
@@ -103,8 +104,14 @@ def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
+def _left_out(parts: int) -> int:
+    """How many low bits of a shingle its part stands for: all of the part's own, and at least 16, so that 48 are packed."""
+    return max(16, parts.bit_length() - 1)
+
+
 def _blocks(docs: DataFrame, width: int, parts: int) -> DataFrame:
     """Packed postings: a row for each slice of text and part of the hash space; ``cls`` holds the digests of its sets."""
+    shift = _left_out(parts)
     names = ["part", "high", "low", "idx", "cls", "n"]
     kinds = [pa.int32(), *[pa.binary()] * 5]
 
@@ -125,21 +132,18 @@ def _blocks(docs: DataFrame, width: int, parts: int) -> DataFrame:
             owner = np.repeat(np.arange(len(cls)), sizes)
             mine = keep[owner]
             hashes, owner = hashes[mine], owner[mine]
-            part = (hashes % np.uint64(parts)).astype(np.int32)
-            order = np.lexsort((owner, hashes >> np.uint64(16), part))
-            part, top, owner = part[order], hashes[order] >> np.uint64(16), owner[order]
+            part = (hashes & np.uint64(parts - 1)).astype(np.int32)
+            order = np.lexsort((owner, hashes >> np.uint64(shift), part))
+            part, top, owner = part[order], hashes[order] >> np.uint64(shift), owner[order]
             del hashes, order
-            cuts = np.searchsorted(part, np.arange(parts + 1))
+            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)).tolist()
             rows = []
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                if a == b:
-                    continue
+            for a, b in zip(cuts[:-1], cuts[1:]):
                 local, index = np.unique(owner[a:b], return_inverse=True)
                 t = top[a:b]
                 high, low = (t >> np.uint64(16)).astype("<u4").tobytes(), (t & np.uint64(0xFFFF)).astype("<u2").tobytes()
                 index = index.astype("<u4" if len(local) > 0xFFFF else "<u2").tobytes()
-                rows.append((p, high, low, index, cls[local].astype("<i8").tobytes(), sizes[local].astype("<u4").tobytes()))
+                rows.append((int(part[a]), high, low, index, cls[local].astype("<i8").tobytes(), sizes[local].astype("<u4").tobytes()))
                 if len(rows) == 32:
                     yield _rows(names, kinds, rows)
                     rows = []
@@ -165,6 +169,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 
 def _shared(blocks: DataFrame, parts: int, homes: int) -> DataFrame:
     """From the blocks of each part of the hash space, the shingles in two classes or more, packed for the classes' homes."""
+    shift = _left_out(parts)
     names = ["home", "token", "df", "cls", "n", "runs"]
     kinds = [pa.int32(), *[pa.binary()] * 5]
 
@@ -204,7 +209,7 @@ def _shared(blocks: DataFrame, parts: int, homes: int) -> DataFrame:
             home = (c.view(np.uint64) % np.uint64(homes)).astype(np.int32)
             order = np.lexsort((t, d, c, home))
             t, c, d, n, df, home = t[order], c[order], d[order], n[order], df[order], home[order]
-            token = (t << np.uint64(16)) | np.uint64(part)
+            token = (t << np.uint64(shift)) | np.uint64(part)
             cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, _I)
             out = []
             for a, b in zip(cuts, [*cuts[1:], len(home)]):
@@ -215,7 +220,7 @@ def _shared(blocks: DataFrame, parts: int, homes: int) -> DataFrame:
             if out:
                 yield _rows(names, kinds, out)
 
-    dealt = blocks.repartition(parts, "part").sortWithinPartitions("part")
+    dealt = blocks.repartition(min(MOST_PARTITIONS, parts), "part").sortWithinPartitions("part")
     return common.map_arrow(dealt, run, "home int, token binary, df binary, cls binary, n binary, runs binary")
 
 
@@ -250,7 +255,7 @@ def _active(shared: DataFrame, homes: int, percent: int) -> DataFrame:
             if out:
                 yield _rows(names, kinds, out)
 
-    dealt = shared.repartition(homes, "home").sortWithinPartitions("home")
+    dealt = shared.repartition(min(MOST_PARTITIONS, homes), "home").sortWithinPartitions("home")
     return common.map_arrow(dealt, run, "c1 long, c2 long, n long, tokens binary, prefix array<long>, places array<long>")
 
 
@@ -432,7 +437,7 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """
     rows = common.stash(shingle_sets(docs, width), "sets")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = min(1 << 16, max(64, -(-total // PART_ROWS)))  # a part number fills the 16 bits that a block leaves out
+    parts = 1 << min(PART_BITS, max(6, int(total // PART_ROWS).bit_length()))  # a part is the low bits of a shingle, which its block leaves out
     homes = max(64, parts // 4)
     found = _active(_shared(_blocks(docs, width, parts), parts, homes), homes, percent)
     # from here on, the classes that may link go by a number: that of their row in the stored table
