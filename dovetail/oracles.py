@@ -327,3 +327,9 @@ def _provenance_dates() -> str:
 
 
 SQL["provenance_dates"] = _provenance_dates()
+SQL["ledger_by_layout"] = (
+    _with()
+    + """SELECT 'missing' AS disposition, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM inst WHERE id % 17 = 3 HAVING count(*) > 0
+UNION ALL SELECT CASE WHEN id % 31 = 7 THEN 'lost' WHEN kind IN ('image', 'video') THEN CASE WHEN id % 5 = 2 THEN 'quarantine' ELSE 'archive' END ELSE 'excluded' END AS disposition, count(*), CAST(sum(size_bytes) AS BIGINT)
+FROM inst WHERE id % 17 <> 3 GROUP BY 1"""
+)

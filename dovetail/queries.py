@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dovetail.functions import dates, metadata, names, paths
 from dovetail.operators import duplicates, history, linkage, placement, reconcile, reports, review, stats, verify
 from dovetail.plans import dedup, incremental, ingest, stages
-from dovetail.sources import files, runs, shared, store
+from dovetail.sources import files, layout, runs, shared, store
 from dovetail.sources.catalog import Catalog
 from dovetail.sources.instances import instances
 
@@ -719,3 +719,13 @@ def provenance_dates(spark: SparkSession, d: str) -> DataFrame:
     named = spark.createDataFrame([("topical", "curated"), ("misc", "takeout_derived")], "prefix string, classification string")
     found = shared.stash(linkage.directory_provenance(media, sidecars, matched, overrides=named), "provenance")
     return stages.resolved(linkage.trusted(_media(spark, d), found)).select("id", "trust", "resolved_date", "resolved_precision", "resolved_source", "status", "rule")
+
+
+@query
+def ledger_by_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Files without a row in the ledger, and bytes by disposition, from tables in buckets by id."""
+    inv, ledger, _ = _ledger(spark, d)
+    inv = layout.bucketed(inv.select("id", "source", "rel_path", "size_bytes"), ["id"])
+    ledger = layout.bucketed(ledger, ["id"])
+    missing = verify.missing_placement(inv, ledger).groupBy(F.lit("missing").alias("disposition")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
+    return missing.unionByName(verify.counters(inv, ledger))
