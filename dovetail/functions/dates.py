@@ -99,11 +99,14 @@ def filename_candidate(path: Column, patterns: tuple[str, ...] = FILENAME_PATTER
     return F.when(name.rlike(RANGE_NAME), F.lit(None).cast(_FOUND)).otherwise(F.coalesce(*(_filename_date(name, p) for p in patterns)))
 
 
+#: Fixed value: the shape of a camera's date text.
+EXIF_DATE = r"^(\d{4}):(\d{2}):(\d{2})[ T](\d{2}):(\d{2}):(\d{2})(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
+
+
 def exif_to_iso(value: Column) -> Column:
     """A camera's date text as ISO; null if it is none, or zero."""
     text = F.trim(value)
-    shape = r"^(\d{4}):(\d{2}):(\d{2})[ T](\d{2}):(\d{2}):(\d{2})(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
-    g = [F.regexp_extract(text, shape, k) for k in range(9)]
+    g = [F.regexp_extract(text, EXIF_DATE, k) for k in range(9)]
     zone = F.when(g[8] == "Z", "+00:00").otherwise(g[8])
     iso = F.concat(g[1], F.lit("-"), g[2], F.lit("-"), g[3], F.lit("T"), g[4], F.lit(":"), g[5], F.lit(":"), g[6], g[7], zone)
     return F.when((g[0] != "") & (g[1] != "0000") & (g[2] != "00") & (g[3] != "00"), iso)

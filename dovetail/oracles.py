@@ -277,7 +277,8 @@ SQL: dict[str, str] = {
     "ingest_stage": _with("s AS (SELECT *, id % 13 <> 0 AND (id % 5 = 0 OR id % 7 = 0) AS fresh, id % 19 <> 0 AND id % 29 <> 0 AS dumped FROM inst)")
     + """SELECT source, rel_path, CASE WHEN NOT fresh THEN 'known' WHEN id % 23 <> 0 THEN sha256 END AS sha256, CASE WHEN fresh AND dumped THEN mime END AS mime, CASE WHEN fresh THEN kind END AS kind,
       CASE WHEN fresh AND dumped THEN CAST(2 + CASE WHEN id % 3 <> 2 THEN 1 ELSE 0 END + CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 4 <> 3 THEN 1 ELSE 0 END + CASE WHEN id % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) END AS tags,
-      CASE WHEN fresh THEN array_to_string(list_filter([CASE WHEN id % 29 = 0 OR (id % 17 = 0 AND id % 19 <> 0) THEN 'unreadable_metadata' END, CASE WHEN size_bytes = 0 THEN 'zero_byte' END], lambda x: x IS NOT NULL), ';') END AS flags
+      CASE WHEN fresh THEN array_to_string(list_filter([CASE WHEN NOT dumped AND kind <> 'other' THEN 'mime_from_extension' END, CASE WHEN id % 29 = 0 OR (id % 17 = 0 AND id % 19 <> 0) THEN 'unreadable_metadata' END, CASE WHEN size_bytes = 0 THEN 'zero_byte' END], lambda x: x IS NOT NULL), ';') END AS flags,
+      CASE WHEN fresh AND dumped AND (id % 3 = 0 OR id % 4 <> 3) THEN od || 'T10:11:12' END AS dated, CASE WHEN fresh THEN dumped AND id % 3 <> 0 AND id % 4 <> 3 END AS from_create_date
       FROM s WHERE fresh OR id % 5 <> 0""",
     "ingest_summary": _with() + "SELECT source, count(*) FILTER (WHERE id % 13 <> 0) AS discovered, count(*) FILTER (WHERE id % 13 <> 0 AND (id % 5 = 0 OR id % 7 = 0)) AS processed, count(*) FILTER (WHERE id % 13 <> 0 AND id % 5 <> 0 AND id % 7 <> 0) AS unchanged, count(*) FILTER (WHERE id % 13 = 0 AND id % 5 <> 0) AS missing FROM inst GROUP BY source",
     "run_states": "SELECT event_type AS stage, max(CAST(event_id AS VARCHAR)) AS run_id, arg_max(CASE WHEN event_id % 5 = 0 THEN 'running' WHEN event_id % 3 = 0 THEN 'failed' ELSE 'ok' END, CAST(event_id AS VARCHAR)) AS status, nullif(arg_max(CASE WHEN event_id % 5 <> 0 THEN '01:00' ELSE '' END, CAST(event_id AS VARCHAR)), '') AS finished FROM events GROUP BY event_type",
@@ -288,7 +289,7 @@ SQL: dict[str, str] = {
     "pending_sidecars": _with() + "SELECT id, CASE WHEN id % 2 = 0 THEN 'date' ELSE 'keywords' END AS reason, 'a/' || id AS rel, CASE WHEN id % 2 = 0 THEN od END AS date, CASE WHEN id % 6 = 0 THEN 'a;b' ELSE '' END AS keywords FROM inst WHERE id % 3 = 0 AND id % 5 <> 0 AND id % 11 <> 0 AND id % 4 <> 1 AND id % 7 <> 0",
     "manifests": _with(_FAULTS) + "SELECT i.source, i.rel_path, b.dest AS dest_rel_path, 'a;' || i.source AS keywords FROM book b JOIN inst i USING (id) WHERE b.disposition = 'archive'",
     "tag_facts": _with()
-    + """SELECT id, array_to_string(list_filter([CASE WHEN id % 6 = 0 THEN 'unreadable_metadata' END, CASE WHEN id % 5 = 0 AND kind <> 'other' THEN 'mime_from_extension' END, CASE WHEN size_bytes = 0 THEN 'zero_byte' END, CASE WHEN kind = 'image' AND id % 2 <> 0 THEN 'corrupt' END, CASE WHEN id % 13 = 0 THEN 'no_video' END], lambda x: x IS NOT NULL), ';') AS flags,
+    + """SELECT id, array_to_string(list_filter([CASE WHEN id % 5 = 0 AND kind <> 'other' THEN 'mime_from_extension' END, CASE WHEN id % 6 = 0 THEN 'unreadable_metadata' END, CASE WHEN size_bytes = 0 THEN 'zero_byte' END, CASE WHEN kind = 'image' AND id % 2 <> 0 THEN 'corrupt' END, CASE WHEN id % 13 = 0 THEN 'no_video' END], lambda x: x IS NOT NULL), ';') AS flags,
       CAST(CASE WHEN id % 4 = 0 THEN 3 ELSE 2 END AS BIGINT) AS richness, 'c' || id AS identifier, mime = 'image/jpeg' AND id % 4 <> 0 AND id % 3 = 0 AS recompressed,
       CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'Trip' ELSE regexp_extract(dir, '[^/]*$') END WHEN id % 7 <> 4 THEN regexp_extract(dir, '[^/]*$') END AS album FROM inst""",
     "stored_rows": _with() + "SELECT id, source, size_bytes FROM inst WHERE CASE WHEN source = 'LOCAL' THEN id % 8 = 0 ELSE id % 4 <= 2 END",
@@ -333,3 +334,7 @@ SQL["ledger_by_layout"] = (
 UNION ALL SELECT CASE WHEN id % 31 = 7 THEN 'lost' WHEN kind IN ('image', 'video') THEN CASE WHEN id % 5 = 2 THEN 'quarantine' ELSE 'archive' END ELSE 'excluded' END AS disposition, count(*), CAST(sum(size_bytes) AS BIGINT)
 FROM inst WHERE id % 17 <> 3 GROUP BY 1"""
 )
+SQL["normalised_export"] = f"""WITH found AS ({SQL["sidecar_match"]}), m AS (SELECT source, dir, {_NAME} AS name, recompressed FROM ({duckdb_select()}) i WHERE kind IN ('image', 'video')),
+  s AS (SELECT split_part(dir, '|', 1) AS source, count(*) FILTER (WHERE method = 'exact') AS exact, count(*) FILTER (WHERE method = 'numbered') AS numbered, count(*) FILTER (WHERE method = 'truncation') AS truncation FROM found GROUP BY 1),
+  n AS (SELECT source, count(*) AS media, count(*) FILTER (WHERE recompressed) AS recompressed, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.dir = m.source || '|' || m.dir AND f.media_name = m.name)) AS unmatched_media FROM m GROUP BY source)
+SELECT source, media, exact, numbered, truncation, unmatched_media, recompressed, 0::BIGINT AS not_stored FROM n JOIN s USING (source)"""

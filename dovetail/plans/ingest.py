@@ -12,15 +12,22 @@ KEYS = ["source", "rel_path"]
 
 
 def described(fresh: DataFrame, contents: DataFrame, dumps: DataFrame) -> DataFrame:
-    """``fresh`` (source, rel_path, size_bytes, modified) with content hash, kind, typed metadata and flags.
+    """``fresh`` (source, rel_path, size_bytes, modified) with content hash, kind, typed metadata, flags, and ``dated``: the camera's date or else
+    the first creation date that can be read (``from_create_date``).
 
-    ``contents`` (source, rel_path, sha256), ``dumps`` (source, rel_path, dump). Files without either stay, with nulls.
+    ``contents`` (source, rel_path, sha256, and where pictures and clips were decoded: decoded, video_flag), ``dumps`` (source, rel_path, dump). Files
+    without either stay, with nulls.
     """
-    read = fresh.join(contents.select(*KEYS, "sha256"), KEYS, "left").join(dumps.select(*KEYS, "dump"), KEYS, "left")
+    for name, default in (("decoded", F.lit(True)), ("video_flag", F.lit(None).cast("string"))):
+        contents = contents if name in contents.columns else contents.withColumn(name, default)
+    read = fresh.join(contents.select(*KEYS, "sha256", "decoded", "video_flag"), KEYS, "left").join(dumps.select(*KEYS, "dump"), KEYS, "left")
     f = metadata.fields(F.col("dump"))
     rows = read.withColumns({k: f[k] for k in ("mime", "exif_dto", "gps_lat", "gps_lon", "camera_make", "camera_model", "tags", "width", "height", "error")})
-    flags = F.array_compact(F.array(F.when(F.col("error").isNotNull() | F.col("dump").isNull(), "unreadable_metadata"), F.when(F.col("size_bytes") == 0, "zero_byte")))
-    return rows.withColumns({"kind": names.kind(F.col("mime"), F.col("rel_path")), "flags": flags}).drop("dump", "error")
+    dated = metadata.exif_candidate(F.col("exif_dto"), F.col("dump"))
+    rows = rows.withColumns({"kind": names.kind(F.col("mime"), F.col("rel_path")), "dated": dated["date"], "from_create_date": dated["from_create_date"]})
+    error = F.coalesce("error", F.when(F.col("dump").isNull(), "no dump"))
+    flags = names.file_flags(F.col("mime"), F.col("kind"), F.col("size_bytes"), error, F.coalesce("decoded", F.lit(True)), F.col("video_flag"))
+    return rows.withColumn("flags", flags).drop("dump", "error", "decoded", "video_flag")
 
 
 def ingested(known: DataFrame, scan: DataFrame, contents: DataFrame, dumps: DataFrame) -> DataFrame:

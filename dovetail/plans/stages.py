@@ -63,7 +63,12 @@ class Settings:
 
 
 def date_candidates(media: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``media`` with folder and filename candidates, flags of its camera date, and whether its folder is curated."""
+    """``media`` with folder and filename candidates, flags of its camera date, and whether its folder is curated.
+
+    Where ingest has told the date to go by (``dated``), that is its camera date from here on.
+    """
+    if "dated" in media.columns:
+        media = media.withColumn("exif_dto", F.col("dated"))
     marked = linkage.mass_identical(media, settings.mass_identical)
     year = F.lit(None).cast("int")
     for model, first in settings.camera_years:

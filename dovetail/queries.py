@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dovetail.functions import dates, metadata, names, paths
 from dovetail.operators import duplicates, history, linkage, placement, reconcile, reports, review, stats, verify
-from dovetail.plans import dedup, incremental, ingest, stages
+from dovetail.plans import dedup, incremental, ingest, normalise, stages
 from dovetail.sources import files, layout, runs, shared, store
 from dovetail.sources.catalog import Catalog
 from dovetail.sources.instances import instances
@@ -410,7 +410,7 @@ def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
 def ingest_stage(spark: SparkSession, d: str) -> DataFrame:
     """The inventory after a second scan."""
     found = ingest.ingested(*_scanned(spark, d))
-    return found.select("source", "rel_path", "sha256", "mime", "kind", "tags", F.array_join("flags", ";").alias("flags"))
+    return found.select("source", "rel_path", "sha256", "mime", "kind", "tags", F.array_join("flags", ";").alias("flags"), "dated", "from_create_date")
 
 
 @query
@@ -729,3 +729,21 @@ def ledger_by_layout(spark: SparkSession, d: str) -> DataFrame:
     ledger = layout.bucketed(ledger, ["id"])
     missing = verify.missing_placement(inv, ledger).groupBy(F.lit("missing").alias("disposition")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
     return missing.unionByName(verify.counters(inv, ledger))
+
+
+@query
+def normalised_export(spark: SparkSession, d: str) -> DataFrame:
+    """What normalisation finds in each source, from its stored tables."""
+    sidecars, media = _sidecars(spark, d)
+    exif = F.create_map(F.lit("EXIF:Software"), F.when(F.col("recompressed"), "Google").otherwise("Cam"))
+    files_ = media.select("id", "source", F.concat_ws("/", "dir", "media_name").alias("rel_path"), F.lit("image").alias("kind"), F.lit("image/jpeg").alias("mime"), exif.alias("exif"))
+    jsons = sidecars.select((F.xxhash64("source", "dir", "json_name") % (1 << 40) - (1 << 41)).alias("id"), "source", F.concat_ws("/", "dir", "json_name").alias("rel_path"), F.lit("sidecar_json").alias("kind"), F.lit("application/json").alias("mime"), F.lit(None).cast("map<string,string>").alias("exif"))
+    all_ = shared.stash(files_.unionByName(jsons), "export")
+    texts = all_.where("kind = 'sidecar_json'").select("id", F.to_json(F.struct(F.col("rel_path").alias("title"))).alias("text"))
+    table = normalise.tables(spark, f"{shared.shared_dir(spark)}/normalised-{uuid.uuid4().hex}")
+    changed, found = normalise.normalise(table, all_, texts, "first")
+    again, _ = normalise.normalise(table, all_, texts, "second", sources=["LOCAL"])
+    if not changed or again:
+        raise AssertionError("a first run writes, a second finds nothing new")
+    kept = table.read("sidecars").groupBy("source").agg(F.count("*").alias("stored"))
+    return found.join(kept, "source", "left").select("source", "media", "exact", "numbered", "truncation", "unmatched_media", "recompressed", (F.col("stored") - F.col("sidecars")).alias("not_stored"))

@@ -301,10 +301,14 @@ class Catalog:
         """Make ``df`` the whole table; False if nothing changes."""
         return self.publish({name: df})
 
-    def publish(self, tables: dict[str, DataFrame]) -> bool:
-        """Make each of ``tables`` the whole of the table of its name, all at once; False if nothing changes."""
+    def publish(self, tables: dict[str, DataFrame], then_append: dict[str, DataFrame] | None = None) -> bool:
+        """Make each of ``tables`` the whole of the table of its name, all at once; False if nothing changes. ``then_append``: rows with new keys, added
+        to other tables in the same step if anything changes."""
         number = self.number()
-        return self._commit([self._replaced(name, df, number) for name, df in tables.items()])
+        changes = [c for c in (self._replaced(name, df, number) for name, df in tables.items()) if c]
+        if changes:
+            changes += [self._appended(name, df, number) for name, df in (then_append or {}).items()]
+        return self._commit(changes)
 
     def changed(self, name: str, df: DataFrame) -> bool:
         """Whether ``df`` has other rows than the table, each as often as it stands. Reads digests of the table only."""
@@ -327,6 +331,16 @@ class Catalog:
         old = old.select(*df.columns).withColumn("slot", slot).join(unlike, "slot", "left_semi").drop("slot")
         return old.exceptAll(new), new.exceptAll(old)
 
+    def compact(self, name: str) -> bool:
+        """Put files of under half of ``rows_per_file`` together; False if there are fewer than two. The rows stay as they are."""
+        number = self.number()
+        held = self._manifest(name, number)
+        small = [] if held is None else sorted((r.file, r.version) for r in held[0].where(F.col("rows") * 2 < self.rows_per_file).select("file", "version").collect())
+        if len(small) < 2:
+            return False
+        rows = self._rows(name, small)
+        return self._commit([self._change(name, number, small, rows, digests(rows.limit(0).withColumn("slot", slot_of(self.by[name])), ["slot"]))])
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete what the last ``keep`` states do not use: pointers, manifests and files; the paths that went. No other writer may be at work."""
         last = self.number()

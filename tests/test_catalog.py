@@ -125,3 +125,26 @@ def test_maps_and_random_merges(spark, tmp_path):
         held |= new
         assert c.merge("t", df) == changed
         assert {r.k: r.v for r in c.read("t").collect()} == held
+
+
+def test_small_files_are_put_together(spark, table):
+    table.write("files", _rows(spark, _start(200)))
+    for i in range(4):
+        table.change({}, {"files": _rows(spark, [("n", f"p{i}", i, None)])})
+    rows, before = _data(table.read("files")), len(table.files("files"))
+    assert table.compact("files") and len(table.files("files")) <= before - 3
+    assert _data(table.read("files")) == rows and not table.changed("files", table.read("files")) and not table.compact("files")
+
+
+def test_batches_of_a_stream(spark, table, tmp_path):
+    from dovetail.streaming import inventory
+
+    table.write("files", _rows(spark, _start(300)))
+    before = set(table.files("files"))
+    new = _rows(spark, [("s", "d0/f1", 1, "a"), ("s", "d0/f1", 2, "b"), ("n", "n", 3, None)]).coalesce(1)
+    new.write.parquet(f"{tmp_path}/in")
+    for k in range(2):  # a batch that runs again changes nothing
+        inventory.ingest_keyed(spark, f"{tmp_path}/in", "source string, path string, size long, note string", table, "files", f"{tmp_path}/check{k}").awaitTermination()
+        assert table.number() == 2 and len(before - set(table.files("files"))) <= 2
+    got = {r[1]: r for r in _data(table.read("files"))}
+    assert len(got) == 301 and got["d0/f1"] == ("s", "d0/f1", 2, "b")

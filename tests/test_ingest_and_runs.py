@@ -82,3 +82,21 @@ def test_camera_window_against_all_pairs(spark):
             near = sorted((abs(s - t), j) for j, k, t in rows if j != i and c is not None and k == c and abs(s - t) <= seconds)
             want |= {(i, j, g) for g, j in near[:most]}
         assert {(r.id, r.other_id, r.gap) for r in review.camera_window(df, seconds, most).collect()} == want
+
+
+def test_flags_and_creation_dates_reach_the_date_stage(spark):
+    from dovetail.functions.dates import SCANNED_TYPES
+    from dovetail.plans import ingest, stages
+
+    fresh = spark.createDataFrame([("s", n, k, "t") for n, k in (("a/1.png", 5), ("a/2.jpg", 0), ("a/3.jpg", 9), ("a/4.dat", 1))], "source string, rel_path string, size_bytes long, modified string")
+    contents = spark.createDataFrame([("s", "a/1.png", "x", True, None), ("s", "a/2.jpg", "y", False, None), ("s", "a/3.jpg", "z", True, "no_video")], "source string, rel_path string, sha256 string, decoded boolean, video_flag string")
+    created = {"File:MIMEType": SCANNED_TYPES[0], "XMP:CreateDate": "2011:02:03 04:05:06"}
+    own = {"File:MIMEType": "image/jpeg", "EXIF:DateTimeOriginal": "2001:02:03 04:05:06", "EXIF:CreateDate": "2011:02:03 04:05:06"}
+    dumps = spark.createDataFrame([("s", "a/1.png", json.dumps(created)), ("s", "a/3.jpg", json.dumps(own))], "source string, rel_path string, dump string")
+    found = ingest.described(fresh, contents, dumps)
+    rows = {r.rel_path: r for r in found.collect()}
+    assert rows["a/2.jpg"].flags == ["mime_from_extension", "unreadable_metadata", "zero_byte", "corrupt"] and rows["a/2.jpg"].kind == "image"
+    assert rows["a/3.jpg"].flags == ["no_video"] and rows["a/3.jpg"].dated == "2001-02-03T04:05:06" and not rows["a/3.jpg"].from_create_date
+    assert rows["a/1.png"].exif_dto is None and rows["a/1.png"].dated == "2011-02-03T04:05:06" and rows["a/1.png"].from_create_date
+    dated = {r.rel_path: r for r in stages.date_candidates(found.withColumn("trust", F.lit("curated"))).collect()}
+    assert dated["a/1.png"].exif_flags == ["scanner_createdate"] and dated["a/1.png"].exif_dto == "2011-02-03T04:05:06" and dated["a/3.jpg"].exif_flags == []
