@@ -8,6 +8,7 @@ formatted text, in code points, over the assistant's texts.
 
 Null texts and roles are empty. Turns stand in the order of turn, role, text (nulls first), repeated rows as often as they
 stand. Texts that are lists of parts (some text, or an object with a ``text``) are the parts one after the other. Records that
+several mappings fit take that with the most paths, of equal ones the first by name, and what that does not name is left out. Records that
 no mapping fits give no turns and a null layout: broken or very deep JSON, no messages at all, and any message that is no
 object, has a role that is no text, or a text that is neither text nor parts. Very long texts are handled whole; a conversation is
 one row, so all of it is held at a time. Other columns are ignored. An empty table gives no rows.

@@ -65,7 +65,7 @@ def encode_turns(turns: DataFrame) -> DataFrame:
 
 def share_openings(turns: DataFrame, group: int = 5, most: int = 8) -> tuple[DataFrame, DataFrame]:
     """Conversations (conv_id, length) and turns (conv_id, pos, id, bytes) rebuilt: conversation c opens with the first h turns of conversation c - c % ``group``,
-    h being its CRC-32 (of the decimal id) modulo ``most`` + 1, in place of its own first h."""
+    h being its CRC-32 (of the decimal id) modulo ``most`` + 1, in place of its own first h. Remainders have the sign of c."""
     convs = turns.where("pos = 0").select("conv_id", "n")
     base = F.col("conv_id") - F.col("conv_id") % group
     convs = convs.withColumn("base", base).withColumn("h", F.when(base == F.col("conv_id"), 0).otherwise(F.crc32(F.col("conv_id").cast("string").cast("binary")) % (most + 1)))

@@ -5,7 +5,8 @@ axis: its bucket, in each of ``tables`` tables. A query looks into the ``probes`
 and all candidates of a bucket are ranked exactly against all queries that look into it, as a product of blocks. Queries that find fewer than
 ``k`` although there are more candidates look into all buckets of a table, which is exact. Equal
 vectors are one class that keeps its ``k + 1`` smallest ids, which is all that a list of ``k`` can need. Buckets are cut
-into blocks of bounded rows, by counted sizes, and so are their queries; no candidate is left out.
+into blocks of bounded rows, by counted sizes, and so are their queries; no candidate is left out. A vector is one row and held whole: it is
+padded to the next power of two components, and blocks hold ``BLOCK_ROWS`` of them, so they are meant for some thousands of components at most.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id. Rows
 repeated with id and vector count once. Only vectors of the same number of components meet. Score ties go to the smaller

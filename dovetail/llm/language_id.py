@@ -15,7 +15,8 @@ and a small prior. A row is kept if its text has letters and the best language i
 
 Null and empty texts, and those without letters, are ``und`` and not kept. Null hosts, suffixes and declared languages
 are no evidence. Ties go to the language first by name. Equal rows get equal results. Very long texts are read whole, some
-characters at a time. Columns made here replace others of their name. An empty table gives no rows; without labelled rows all is ``und``.
+characters at a time. One row a language passes through the driver, and the plan has some columns a language, so labels are to be languages: some
+hundreds at most, not free text. Columns made here replace others of their name. An empty table gives no rows; without labelled rows all is ``und``.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ all labelled rows by last label of the host, smoothed by the overall rate; up to
 more are joined by shuffle with the frequent ones salted.
 
 Null URLs and those without ``://`` have an empty host and path, no rule, and zero features. Equal rows get equal
-verdicts; other columns are kept, columns of the names made here are replaced; an empty table stays empty.
+verdicts. A very long URL is one text like others: its features are counts over its letters. Other columns are kept, columns of the names made here are replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
