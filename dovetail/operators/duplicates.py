@@ -198,11 +198,15 @@ def guardrails(members: DataFrame, kinds: DataFrame, margin: float = 0.5) -> Dat
 def merged_facts(members: DataFrame) -> DataFrame:
     """cluster_id, lat, lon, gps_source, descriptions, titles, merged_from. ``members``: ranked, with gps_*, side_lat, side_lon, description, title.
 
-    The winner's own place first, then any camera's, then any sidecar's.
+    The winner's own place first, then any camera's, then any sidecar's; members of a pair (``fixed_role``) in the order of winner, companion, copies.
     """
     has, side = F.col("gps_lat").isNotNull(), F.col("side_lat").isNotNull()
     place = F.when(has, F.struct(F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon"), F.lit("exif").alias("source"))).when(side, F.struct(F.col("side_lat").alias("lat"), F.col("side_lon").alias("lon"), F.lit("takeout").alias("source")))
-    order = F.when(has | side, F.struct(F.when(has, 0).otherwise(1), F.when(F.col("rank") == 1, 0).otherwise(1), F.col("id")))
+    turn = F.when(F.col("rank") == 1, 0).otherwise(1)
+    if "fixed_role" in members.columns:
+        role = F.col("fixed_role")
+        turn = F.when(role == "winner", 0).when(role == "companion", 1).when(role == "loser", 2).otherwise(turn)
+    order = F.when(has | side, F.struct(F.when(has, 0).otherwise(1), turn, F.col("id")))
     spoken = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
     grouped = members.groupBy("cluster_id").agg(F.min_by(place, order).alias("gps"), spoken("description").alias("descriptions"), spoken("title").alias("titles"), F.array_sort(F.collect_list(F.concat_ws(":", "source", "rel_path"))).alias("merged_from"))
     return grouped.select("cluster_id", "gps.lat", "gps.lon", F.col("gps.source").alias("gps_source"), "descriptions", "titles", "merged_from")

@@ -257,7 +257,7 @@ SQL: dict[str, str] = {
     "dedup_facts": _with_clusters(
         "w AS (SELECT *, CASE WHEN taken IS NOT NULL THEN id / 100.0::DOUBLE END AS side, CASE WHEN id % 6 = 0 THEN 'd' || id % 4 END AS said FROM rk)",
         f"words AS (SELECT cid, unnest(CASE WHEN {_RAW} THEN ['raws', 'b' || (id // 20)] ELSE {_TOPICS} END) AS word FROM rk UNION SELECT cid, 'album' || id % 3 FROM rk WHERE id % 10 = 7)",
-        "g AS (SELECT cid, arg_min(coalesce(gps_lat, side), (CASE WHEN gps_lat IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN rk = 1 THEN 0 ELSE 1 END, id)) FILTER (WHERE gps_lat IS NOT NULL OR side IS NOT NULL) AS lat, CASE WHEN bool_or(gps_lat IS NOT NULL) THEN 'exif' WHEN bool_or(side IS NOT NULL) THEN 'takeout' END AS gps_source, coalesce(array_to_string(list_sort(list(DISTINCT said) FILTER (WHERE said IS NOT NULL)), ';'), '') AS descriptions, count(*) AS n FROM w GROUP BY cid)",
+        "g AS (SELECT cid, arg_min(coalesce(gps_lat, side), (CASE WHEN gps_lat IS NOT NULL THEN 0 ELSE 1 END, CASE coalesce(fr, '') WHEN 'winner' THEN 0 WHEN 'companion' THEN 1 WHEN 'loser' THEN 2 ELSE CASE WHEN rk = 1 THEN 0 ELSE 1 END END, id)) FILTER (WHERE gps_lat IS NOT NULL OR side IS NOT NULL) AS lat, CASE WHEN bool_or(gps_lat IS NOT NULL) THEN 'exif' WHEN bool_or(side IS NOT NULL) THEN 'takeout' END AS gps_source, coalesce(array_to_string(list_sort(list(DISTINCT said) FILTER (WHERE said IS NOT NULL)), ';'), '') AS descriptions, count(*) AS n FROM w GROUP BY cid)",
     )
     + "SELECT g.cid AS cluster_id, c.winner_id, g.lat, g.gps_source, g.descriptions, coalesce((SELECT string_agg(DISTINCT word, ';' ORDER BY word) FROM words WHERE words.cid = g.cid), '') AS keywords, g.n FROM g JOIN clu c USING (cid)",
     "cluster_audit": _with_clusters() + "SELECT c.cid AS cluster_id, c.k AS cluster_kind, c.status, i.rel_path AS winner FROM clu c JOIN inst i ON i.id = c.winner_id ORDER BY CASE WHEN c.status = 'pending' THEN 0 ELSE 1 END, c.k, i.rel_path, c.cid LIMIT 200",

@@ -48,7 +48,7 @@ def members(media: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def plan(media: DataFrame, settings: Settings = Settings(), albums: DataFrame | None = None, reviewed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Members (cluster_id, id, role, score, rank, gap) and clusters (cluster_id, cluster_kind, winner_id, status, guardrails and merged facts).
+    """Members (cluster_id, id, role, score, rank, gap) and clusters (cluster_id, cluster_kind, winner_id, status, guardrails, merged facts, merge_flags).
 
     ``media``: resolved, with side_lat, side_lon, description and title of its sidecar where there are any. ``albums`` (id, album).
     ``reviewed`` (id): files of clusters that a person has settled.
@@ -78,6 +78,7 @@ def plan(media: DataFrame, settings: Settings = Settings(), albums: DataFrame |
     pair = F.startswith("cluster_kind", F.lit("pair_"))
     found = kinds.join(winners, "cluster_id").join(rails, "cluster_id").join(dates, "cluster_id").join(facts, "cluster_id").join(topics, "cluster_id", "left")
     found = found.withColumn("guardrails", F.when(pair, none).otherwise(F.col("guardrails"))).withColumn("keywords", F.coalesce("keywords", none))
+    found = found.withColumn("merge_flags", F.concat("flags", F.when(F.col("gps_source") == "takeout", F.array(F.lit("gps_from_takeout"))).otherwise(none)))
     status = F.when((F.size("guardrails") == 0) & ~F.col("disagrees"), "auto").otherwise("pending")
     return people, found.withColumn("status", status)
 
