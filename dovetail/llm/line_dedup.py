@@ -192,7 +192,10 @@ def unit_rows(docs: DataFrame) -> DataFrame:
 
 def repeated_units(units: DataFrame) -> DataFrame:
     """row and ``elsewhere``: the numbers of a row's digests that an earlier row has. ``units``: stored, of ``unit_rows``, with a number ``row``."""
-    rank = F.struct(F.coalesce("doc_id", F.lit(_FIRST)).alias("owner"), "th")
+    rank = F.coalesce("doc_id", F.lit(_FIRST))
+    twice = units.select(rank.alias("owner"), "th").groupBy("owner").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b")
+    if not twice.isEmpty():  # where ids are told apart by themselves, the hash need not travel with every digest
+        rank = F.struct(rank.alias("owner"), "th")
     rows = units.select("row", rank.alias("rank"), F.posexplode(F.arrays_zip("k1", "k2")).alias("idx", "k"))
     rows = rows.select("row", "rank", "idx", "k.k1", "k.k2")
     keys = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last"))
