@@ -335,6 +335,7 @@ class Repeats:
         padded = np.append(data, np.zeros(least + RUN + 8, np.uint8))
         words = lambda k, n: np.stack([padded[at + k + j] for j in range(n)], 1)
         tail = words(least, RUN)  # no more bytes than that follow a window in its span
+        tail[np.arange(RUN) >= (left - least)[:, None]] = 0  # what follows the span is not of it: zeros, then the shorter first, is the order of suffixes
         order = np.lexsort((left, *tail.view(">u8").astype(np.uint64).T[::-1], hashes))
         head = words(0, least)
         same = (head[order[1:]] == head[order[:-1]]).all(1) | (hashes[order[1:]] != hashes[order[:-1]])

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,15 @@ def test_stack_scan():
         assert set(suffix_repeats.intervals(lcp, 50)) == want
 
 
+def test_bytes_after_a_span_do_not_part_a_repeat():
+    """A span that ends where two others go on, followed in memory by bytes that sort between theirs."""
+    w = bytes(range(60, 110))
+    spans = [w, b"m" * 60, w + b"ma", w + b"mz"]
+    r = suffix_repeats.Repeats(np.frombuffer(b"".join(spans), np.uint8), np.array([len(s) for s in spans]), 50)
+    found = {(n, tuple(sorted(zip(r.span[a:b].tolist(), r.offset[a:b].tolist())))) for n, a, b in zip(r.length.tolist(), r.low, r.high)}
+    assert {(51, ((2, 0), (3, 0))), (50, ((0, 0), (2, 0), (3, 0)))} <= found
+
+
 def test_repeats_of_nothing(spark):
     for rows in ([], [(None, None), (1, ""), (2, "short")]):
         df = spark.createDataFrame(rows, "doc_id long, text string")
