@@ -57,3 +57,11 @@ def test_prefixes_by_a_join(spark):
     media = spark.createDataFrame([(1, "s", "a/f.jpg", "curated"), (2, "s", "z/f.jpg", "curated")], "id long, source string, rel_path string, trust string")
     prov = spark.createDataFrame([("s", "a", "takeout_derived")], "source string, dir string, classification string")
     assert {(r.id, r.trust) for r in linkage.trusted(media, prov).collect()} == {(1, "takeout"), (2, "curated")}
+
+
+def test_the_inventory_neither_sorts_nor_holds_the_longer_tables(spark):
+    from dovetail.sources.instances import instances
+
+    plan = instances(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 3 and "BuildRight" not in plan and "SortMergeJoin" not in plan
+    assert "text#" not in plan.split("Exchange", 1)[0]  # above the first exchange, texts are hashes
