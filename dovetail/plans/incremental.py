@@ -45,19 +45,14 @@ def _first_files(media: DataFrame) -> DataFrame:
     return duplicates.representatives(media.select(*MEDIA))
 
 
-def _pairs(first: DataFrame, edits: DataFrame, settings: Settings, bands: DataFrame, clips: DataFrame, old_bands: DataFrame | None = None, old_clips: DataFrame | None = None) -> DataFrame:
-    """a, b, weak among new first files, and between them and old ones."""
-    limits = (settings.phash_most, settings.band_width, settings.dhash_most)
+def _ties(edits: DataFrame, settings: Settings, bands: DataFrame, clips: DataFrame, old_bands: DataFrame | None = None, old_clips: DataFrame | None = None) -> DataFrame:
+    """a, b, weak with the components of the links among new first files, and between them and old ones."""
     columns = ["id", "phash", "dhash", "width", "height", "i", "v"]
-    near = duplicates.band_matches(bands.select(columns), bands.select(columns), *limits)
+    every = bands.select(*columns, F.lit(False).alias("old"))
     if old_bands is not None:
-        old = old_bands.select(columns)
-        near = near.unionByName(duplicates.band_matches(old, bands.select(columns), *limits)).unionByName(duplicates.band_matches(bands.select(columns), old, *limits))
-    place = ["id", "sig", "second", "shape"]
-    alike = duplicates.clip_matches(duplicates.around(clips.select(place)), clips.select(place))
-    if old_clips is not None:
-        alike = alike.unionByName(duplicates.clip_matches(duplicates.around(clips.select(place)), old_clips.select(place)))
-    return duplicates.without_edits(near.select("a", "b", "weak").unionByName(alike.withColumn("weak", F.lit(True))), edits)
+        every = every.unionByName(old_bands.select(*columns, F.lit(True).alias("old")))
+    near = duplicates.image_ties(every, edits, settings.phash_most, settings.band_width, settings.dhash_most)
+    return near.unionByName(duplicates.clip_ties(clips, edits, old_clips).withColumn("weak", F.lit(True)))
 
 
 def build(catalog: Catalog, media: DataFrame, settings: Settings = Settings()) -> None:
@@ -65,7 +60,7 @@ def build(catalog: Catalog, media: DataFrame, settings: Settings = Settings()) -
     media = shared.stash(media.where("kind in ('image', 'video')").select(*MEDIA), "media")
     first = shared.stash(_first_files(media), "first")
     bands, clips = duplicates.bands(first.where("kind = 'image'")), duplicates.clip_places(first.where("kind = 'video'"))
-    pairs = shared.stash(_pairs(first, linkage.edited_pairs(media), settings, bands, clips), "pairs")
+    pairs = shared.stash(_ties(linkage.edited_pairs(media), settings, bands, clips), "pairs")
     least = media.groupBy("sha256").agg(F.min("id").alias("least"))
     named = shared.stash(first.join(least, "sha256"), "named")
     label = named.select(F.col("id").alias("node"), "least")
@@ -117,7 +112,7 @@ def import_files(catalog: Catalog, new: DataFrame, edits: DataFrame, settings: S
     clips = shared.stash(duplicates.clip_places(first.where("kind = 'video'")), "new-clips")
     old_bands = catalog.lookup("bands", bands)
     old_clips = catalog.lookup("clips", duplicates.around(clips))
-    pairs = shared.stash(_pairs(first, edits, settings, bands, clips, old_bands, old_clips), "new-pairs")
+    pairs = shared.stash(_ties(edits, settings, bands, clips, old_bands, old_clips), "new-pairs")
     # labels of all first files that the pairs name: of new contents their smallest id, of old ones what they are merged into by now
     least = new.groupBy("sha256").agg(F.min("id").alias("least"))
     fresh = first.select("id", "sha256").join(least, "sha256").select("id", F.col("least").alias("now"))
