@@ -101,3 +101,31 @@ def test_manual(spark, text, wanted):
 @pytest.mark.parametrize("text, wanted", [("pre-2000", "pre-2000"), ("2004-2009", "2004-2009"), ("2009-2004", None), ("2004", None)])
 def test_bucket(spark, text, wanted):
     assert _one(spark, text, dates.coarse_bucket) == wanted
+
+
+def test_running_numbers_are_no_dates(spark):
+    from pyspark.sql import functions as F
+
+    from dovetail import queries
+    from dovetail.functions import dates
+
+    names = ["d/scan_x199001.jpg", "d/DSC_x20080415.DNG", "d/a_200804_b_x199001.jpg", "d/2001-02-03 pic_x200001.jpg"]
+    df = spark.createDataFrame([(n,) for n in names], "p string")
+    got = [r.d for r in df.select(dates.filename_candidate(F.col("p"), serial=queries._SERIAL)["date"].alias("d")).collect()]
+    assert got == [None, None, "2008-04-01", "2001-02-03"]
+    # without a pattern of running numbers, digits count as before
+    assert df.limit(1).select(dates.filename_candidate(F.col("p"))["date"].alias("d")).first().d == "1990-01-01"
+
+
+def test_raws_of_the_query_have_one_picture_of_their_name(spark):
+    from dovetail import queries
+    from dovetail.functions import paths
+    from pyspark.sql import functions as F
+
+    base = spark.range(0, 8000).select("id", F.lit("image").alias("kind"), F.lit("").alias("rel_path"), F.lit("").alias("exif_dto"))
+    saved, queries.instances = queries.instances, lambda s, d: base
+    try:
+        rows = queries._raws(spark, "")
+        assert rows.groupBy("rel_path").count().where("count > 1").isEmpty()
+    finally:
+        queries.instances = saved
