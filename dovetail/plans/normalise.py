@@ -27,7 +27,8 @@ def normalised(files: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:
     sidecar files; a file without a text has no facts."""
     p = F.col("rel_path")
     placed = files.select("id", "source", "kind", "mime", "exif", "rel_path", paths.dirname(p).alias("in_dir"), paths.basename(p).alias("name"))
-    placed = shared.stash(placed.withColumn("dir", F.to_json(F.struct("source", "in_dir"))), "placed")
+    # dealt by id: the names of sidecars are long to read, and all sidecars of an export may stand in one file
+    placed = shared.stash(placed.withColumn("dir", F.to_json(F.struct("source", "in_dir"))).repartition("id"), "placed")
     media = placed.where("kind in ('image', 'video')")
     jsons = placed.where("kind = 'sidecar_json'").join(texts.select("id", "text"), "id", "left")
     found = linkage.match_sidecars(jsons.select("dir", F.col("name").alias("json_name")), media.select("dir", F.col("name").alias("media_name")))

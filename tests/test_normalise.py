@@ -1,6 +1,7 @@
 """Normalisation as one step: what it stores, what a rerun writes, sources by themselves."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from dovetail.plans import normalise
 
@@ -54,3 +55,15 @@ def test_all_or_nothing(spark, tmp_path, export):
     assert c.number() == 0 and c.read("sidecars") is None
     with pytest.raises(ValueError):
         normalise.normalise(c, files, texts, "one", sources=["TAKEOUT:none"])
+
+
+def test_sidecars_that_stand_in_one_file_are_dealt(spark, export, monkeypatch):
+    files, texts = export
+    kept, stash = {}, normalise.shared.stash
+    monkeypatch.setattr(normalise.shared, "stash", lambda df, name: kept.setdefault(name, stash(df, name)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        normalise.normalised(files.coalesce(1), texts)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert kept["placed"].where("kind = 'sidecar_json'").select(F.input_file_name()).distinct().count() > 1
