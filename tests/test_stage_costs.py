@@ -52,3 +52,9 @@ def test_facts_are_merged_once(spark, stored):
     count = Counter(n for n, _ in stored)
     assert count["pool"] == count["people"] == count["clusters"] == 0
     assert {"gps_lat", "side_lat", "description"} <= set(dict(stored)["ranked"])
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_a_second_run_reads_the_first_ones_dates(spark, stored):
+    QUERIES["replaced_clusters"](spark, str(DATA))
+    assert Counter(n for n, _ in stored)["resolved"] == 1
