@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dovetail.functions import dates
-from dovetail.operators import duplicates, tiles
+from dovetail.operators import duplicates, linkage, tiles
 from dovetail.queries import QUERIES
 from dovetail.sources import instances, shared
 
@@ -92,6 +92,16 @@ def test_dates_merge_without_meeting_their_members_again(spark):
     assert [(r.date, r.flags, r.disagrees) for r in found.collect()] == [("2001-02-03", ["date_disagreement"], True)]
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["quarantine_index", "space_needed"])
+def test_placements_make_what_they_read(spark, monkeypatch, name):
+    seen = []
+    for module, f in ((duplicates, "guardrails"), (linkage, "edited_pairs")):
+        monkeypatch.setattr(module, f, lambda *a, f=f, real=getattr(module, f): (seen.append(f), real(*a))[1])
+    QUERIES[name](spark, str(DATA))
+    assert seen == ["edited_pairs"]
+
+
 def test_a_group_of_a_date_is_taken_once(spark):
     names = spark.createDataFrame([("x/IMG_20070408_010203.jpg",), ("2001-02-03 trip/scan.jpg",)], "p string")
     found = names.select(dates.filename_candidate(F.col("p")).alias("f"), dates.folder_candidate(F.col("p")).alias("d"))
